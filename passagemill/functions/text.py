@@ -119,7 +119,8 @@ def with_planted(answer: Column, sentence: Column) -> Column:
 
 def unit_score(value: Column) -> Column:
     """A number or boolean as a double between 0 and 1; null stays. [H20]"""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value.cast("double")))
+    number = value.cast("double")
+    return F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
 
 
 # Words and shapes that mark a line as page chrome.

@@ -32,7 +32,7 @@ def citations(answers: DataFrame) -> DataFrame:
     marker = F.coalesce(_number(F.regexp_extract("raw", PAGE, 1)), _number(F.regexp_extract("raw", PAGE, 2)))
     # only the first marker is taken out: what stands before it and after it stays
     first = F.regexp_extract("raw", PAGE, 0)
-    left = F.when(first == "", F.col("raw")).otherwise(F.concat(F.substring_index("raw", first, 1), F.expr("substring(raw, instr(raw, first) + length(first))")))
+    left = F.when(F.col("first") == "", F.col("raw")).otherwise(F.concat(F.call_function("substring_index", F.col("raw"), F.col("first"), F.lit(1)), F.expr("substring(raw, instr(raw, first) + length(first))")))
     d = d.withColumn("first", first).withColumn("page", marker).withColumn("known", known)
     d = d.withColumn("body", F.regexp_replace(left, EDGE, ""))
     head = F.regexp_replace(F.regexp_replace("body", SUFFIX, ""), EDGE, "")
@@ -64,15 +64,20 @@ def _braces(reply: Column, left: str, right: str) -> Column:
     return F.regexp_extract(clean, rf"(?s)\{left}.*\{right}", 0)
 
 
+def _is_one(body: Column) -> Column:
+    """Whether a string is exactly one JSON value: as the only item of a list, since readers ignore what follows a value."""
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1, F.lit(False))
+
+
 BAD_REPLY = "judge response was not valid JSON"
 
 
 def judge_reply(reply: Column) -> Column:
     """struct(correctness, faithfulness, completeness, reason) from a judge's reply; 0 and a reason if unreadable. [H10]"""
     body = _braces(reply, "{", "}")
-    valid = F.try_parse_json(body)
-    get = lambda name: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.get_json_object(body, f"$.{name}").try_cast("double"))), F.lit(0.0))
-    bad = (body == "") | valid.isNull()
+    number = lambda name: F.get_json_object(body, f"$.{name}").try_cast("double")
+    get = lambda name: F.when(number(name).isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number(name))))
+    bad = (body == "") | ~_is_one(body)
     score = lambda name: F.when(bad, 0.0).otherwise(F.when(F.isnan(get(name)), 0.0).otherwise(get(name))).alias(name)
     reason = F.when(bad, F.lit(BAD_REPLY)).otherwise(F.substring(F.coalesce(F.get_json_object(body, "$.reason"), F.lit("")), 1, 1000))
     return F.struct(score("correctness"), score("faithfulness"), score("completeness"), reason.alias("reason"))
@@ -81,13 +86,13 @@ def judge_reply(reply: Column) -> Column:
 def list_reply(reply: Column, item: str) -> Column:
     """Items of a model's list reply as array<item schema>; empty if unreadable. [H11]"""
     body = _braces(reply, "[", "]")
-    return F.coalesce(F.from_json(body, f"array<{item}>"), F.array().cast(f"array<{item}>"))
+    return F.when((body != "") & _is_one(body), F.coalesce(F.from_json(body, f"array<{item}>"), F.array().cast(f"array<{item}>"))).otherwise(F.array().cast(f"array<{item}>"))
 
 
 def object_reply(reply: Column, schema: str) -> Column:
     """A model's object reply as a struct of the schema; null if unreadable. [H11]"""
     body = _braces(reply, "{", "}")
-    return F.when((body != "") & F.try_parse_json(body).isNotNull(), F.from_json(body, schema))
+    return F.when((body != "") & _is_one(body), F.from_json(body, schema))
 
 
 def excerpts(retrieved: Column, n: int = 3, length: int = 400) -> Column:

@@ -148,9 +148,9 @@ def random_draw(examples: DataFrame, draws: int = 5) -> DataFrame:
     Whether a target that is listed twice counts twice is up to the counts that come in.
     """
     size = F.size("counts")
-    mask_sum = lambda s: F.aggregate(F.transform("counts", lambda c, i: F.when(F.getbit(s, i) == 1, c).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
+    mask_sum = lambda s: F.aggregate(F.transform("counts", lambda c, i: F.when(F.call_function("getbit", s, i) == 1, c).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
     miss = lambda n: F.aggregate(F.sequence(F.lit(0), F.lit(draws - 1)), F.lit(1.0), lambda p, j: p * F.greatest(F.lit(0.0), (F.col("total") - n - j) / (F.col("total") - j)))
-    subsets = F.transform(F.sequence(F.lit(1), F.shiftleft(F.lit(1), size) - 1), lambda s: F.struct(F.bit_count(s).alias("k"), mask_sum(s).alias("n")))
+    subsets = F.transform(F.sequence(F.lit(1), F.pow(F.lit(2), size).cast("int") - 1), lambda s: F.struct(F.bit_count(s).alias("k"), mask_sum(s).alias("n")))
     signed = F.aggregate(F.filter(subsets, lambda x: x["n"] <= F.col("total")), F.lit(0.0), lambda a, x: a + F.when(x["k"] % 2 == 1, miss(x["n"])).otherwise(-miss(x["n"])))
     none_hit = miss(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))
     chance = F.when(F.col("mode") == "any", 1 - none_hit).otherwise(1 - signed)

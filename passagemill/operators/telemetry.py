@@ -28,7 +28,7 @@ def histogram(rows: DataFrame, value: str, label: str) -> DataFrame:
     """
     counted = rows.groupBy(label, bucket(F.col(value)).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"))
     per = counted.groupBy(label).agg(F.sum("n").cast("long").alias("total"), F.round(F.sum("s"), 6).alias("sum"), F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
-    edges = F.array(*(F.struct(F.lit(i).alias("b"), F.lit(str(b)).alias("bound")) for i, b in enumerate(BOUNDS)), F.struct(F.lit(len(BOUNDS)), F.lit("+Inf")))
+    edges = F.array(*(F.struct(F.lit(i).alias("b"), F.lit(str(b)).alias("bound")) for i, b in enumerate(BOUNDS)), F.struct(F.lit(len(BOUNDS)).alias("b"), F.lit("+Inf").alias("bound")))
     full = per.select(label, "total", "sum", "m", F.explode(edges).alias("e")).withColumn("n", F.coalesce(F.try_element_at("m", F.col("e.b")), F.lit(0)))
     running = F.sum("n").over(Window.partitionBy(label).orderBy("e.b").rowsBetween(Window.unboundedPreceding, 0))
     return full.select(label, F.col("e.bound").alias("bound"), running.cast("long").alias("cumulative"), "total", "sum")

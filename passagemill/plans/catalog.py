@@ -831,14 +831,14 @@ def decode_texts(spark, sf):
 
 
 @query("""WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_id, event_type, value FROM events)
-  SELECT user_id::VARCHAR AS document_id, 1 AS page, md5('Report ' || user_id || chr(10) || string_agg('log row ' || (i + 2) || ' event: ' || event_id || ' | kind: ' || event_type, chr(10) ORDER BY i)) AS digest FROM r GROUP BY 1""")
+  SELECT user_id::VARCHAR AS document_id, 1 AS page, md5('Report ' || user_id || chr(10) || string_agg('log row ' || (i + 2) || ' event: ' || event_id || ' | kind: ' || event_type, chr(10) ORDER BY i)) AS digest FROM r GROUP BY user_id""")
 def sheet_lines(spark, sf):
     """A user's events as a worksheet with a title row and a header."""
     e = v.table(spark, sf, "events")
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) + 2
-    rows = e.select("user_id", n.alias("row"), F.explode(F.array(F.struct(F.lit(1).alias("col"), F.col("event_id").cast("string").alias("value")), F.struct(F.lit(2), F.col("event_type")))).alias("c")).select("user_id", "row", "c.col", "c.value")
+    rows = e.withColumn("row", n).select("user_id", "row", F.explode(F.array(F.struct(F.lit(1).alias("col"), F.col("event_id").cast("string").alias("value")), F.struct(F.lit(2).alias("col"), F.col("event_type").alias("value")))).alias("c")).select("user_id", "row", "c.col", "c.value")
     users = e.select("user_id").distinct()
-    head = users.select("user_id", F.explode(F.array(F.struct(F.lit(1).alias("row"), F.lit(1).alias("col"), F.concat(F.lit("Report "), F.col("user_id").cast("string")).alias("value")), F.struct(F.lit(2), F.lit(1), F.lit("event")), F.struct(F.lit(2), F.lit(2), F.lit("kind")))).alias("c")).select("user_id", "c.row", "c.col", "c.value")
+    head = users.select("user_id", F.explode(F.array(F.struct(F.lit(1).alias("row"), F.lit(1).alias("col"), F.concat(F.lit("Report "), F.col("user_id").cast("string")).alias("value")), F.struct(F.lit(2).alias("row"), F.lit(1).alias("col"), F.lit("event").alias("value")), F.struct(F.lit(2).alias("row"), F.lit(2).alias("col"), F.lit("kind").alias("value")))).alias("c")).select("user_id", "c.row", "c.col", "c.value")
     all_cells = rows.unionByName(head).select(F.col("user_id").cast("string").alias("document_id"), F.lit(1).alias("sheet_no"), F.lit("log").alias("sheet"), "row", "col", "value", F.lit("str").alias("value_type"), F.lit("General").alias("number_format"))
     return cells.sheet_pages(all_cells).select("document_id", "page", F.md5("text").alias("digest"))
 
