@@ -15,7 +15,10 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length long, content bin
 
 
 def corpus_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[DataFrame, DataFrame]:
-    """(files, rejects): files below a folder with a readable suffix and content; the rest with a reason. [A1 A2]"""
+    """(files, rejects): files below a folder with a readable suffix and content; the rest with a reason. [A1 A2]
+
+    Spark's file sources pass over files of no bytes, so those show up as rejects only in tables and streams of files.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return split_files(found, suffixes)
 
