@@ -17,9 +17,9 @@ from .arrowtext import row_groups, text_rows
 from .shared import materialize
 
 #: About so many labelled rows of either class are learned from (the documented bound of the sample).
-ROWS_PER_CLASS = 20_000
+ROWS_PER_CLASS = 8_000
 #: Entries of the lexicon and of the exception list at most, letters of a stem, and rows that must hold an entry.
-ENTRIES, STEMS, SUPPORT = 2048, (4, 5, 6, 7), 6
+ENTRIES, STEMS, SUPPORT = 2048, (4, 5, 6), 6
 #: A term enters the lexicon if toxic rows hold it so many times as often as other rows, even after shrinking.
 ODDS = 12.0
 # Letters of other scripts that look like Latin ones, and digits and signs written for letters.
@@ -77,10 +77,10 @@ def _terms(text: str) -> set[str]:
 
 
 def _pairs(text: str, hits: set[str]) -> set[str]:
-    """Two-word phrases with a word that an entry matches."""
+    """Two-word phrases with a word that an entry matches: whole, or by one of its stems."""
     words = text.split()
-    hot = [any(f" {w} ".startswith(h) for h in hits if h[1:2] == w[:1]) for w in words]
-    return {f" {a} {b} " for a, b, x, y in zip(words, words[1:], hot, hot[1:], strict=False) if x or y}
+    hot = {w for w in set(words) if f" {w} " in hits or any(f" {w[:k]}" in hits for k in STEMS)}
+    return {f" {a} {b} " for a, b in zip(words, words[1:], strict=False) if a in hot or b in hot} if hot else set()
 
 
 class Lexicon:
@@ -150,27 +150,42 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, ..
     return tuple(w)
 
 
-def _term_counts(rows: DataFrame, make) -> DataFrame:
-    """(term, toxic, other): in how many rows of either class a candidate occurs; counted in tasks, summed after."""
+def _row_counts(rows: DataFrame, make) -> DataFrame:
+    """(term, n): in how many rows make(folded text) holds a term; counted in tasks, summed after."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = {0: Counter(), 1: Counter()}
+        count = Counter()
         for batch in batches:
             data, at = text_rows(batch, "text")
-            flags = batch.column("toxic").to_pylist()
             for lo, hi in row_groups(at, 1 << 20):
-                for text, y in zip(folded_rows(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]), flags[lo:hi], strict=True):
-                    count[y].update(make(text))
-        terms = list(count[0].keys() | count[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([count[1][t] for t in terms], pa.int64()), pa.array([count[0][t] for t in terms], pa.int64())], ["term", "toxic", "other"])
+                for text in folded_rows(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]):
+                    count.update(make(text))
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
 
-    return rows.mapInArrow(run, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    return rows.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _of_both(rows: DataFrame, make, frequent_in: int, least: int) -> DataFrame:
+    """(term, toxic, other): terms of at least ``least`` rows of one class, with their counts in both.
+
+    The other class is asked for those terms only, which the bound of the sample bounds too.
+    """
+    own = materialize(_row_counts(rows.where(F.col("toxic") == frequent_in), make).where(F.col("n") >= least))
+    asked = _broadcast_set(own, "term")
+    rest = _row_counts(rows.where(F.col("toxic") == 1 - frequent_in), lambda text: make(text) & asked.value)
+    both = own.join(rest.withColumnRenamed("n", "m"), "term", "left").na.fill(0, ["m"])
+    return both.select("term", *(F.col("n" if frequent_in == k else "m").alias(name) for k, name in ((1, "toxic"), (0, "other"))))
+
+
+def _broadcast_set(terms: DataFrame, col: str):
+    """The values of a column as a broadcast set."""
+    return terms.sparkSession.sparkContext.broadcast({r[0] for r in terms.select(col).collect()})
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = ROWS_PER_CLASS) -> Lexicon:
     """A lexicon from labelled rows: terms far more frequent in toxic rows, weighted by shrunken log odds.
 
-    About ``rows_per_class`` rows of either class are used, chosen by id hash. Terms are whole words and open stems;
+    About ``rows_per_class`` rows of either class are used, chosen by id hash, so their ids are few enough to broadcast. Terms are whole words and open stems;
     a term is left out if a shorter entry covers it. Two-word phrases that hold an entry and occur in rows that are
     not toxic become exceptions. The score is a logistic fit on three length-normalised features. Rows without label
     or text are not used; with one class only, the score is constant 0.
@@ -178,13 +193,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     share = known.groupBy(F.col("toxic").alias("class")).agg(F.least(F.lit(1.0), F.lit(float(rows_per_class)) / F.count(F.lit(1))).alias("share"))
     drawn = known.join(share, known.toxic == share["class"]).where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("id", "toxic")
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").join(drawn, F.col("doc_id") == F.col("id")).select("text", "toxic"))
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(drawn), F.col("doc_id") == F.col("id")).select("text", "toxic"))
     size = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(size) < 2:
         return Lexicon({}, [], (0.0, 0.0, 0.0, -30.0))
     n1, n0 = size[1], size[0]
     odds = ((F.col("toxic") + 0.5) / (n1 + 1)) / ((F.col("other") + 0.5) / (n0 + 1))
-    strong = _term_counts(rows, _terms).withColumn("odds", odds).where((F.col("toxic") >= SUPPORT) & (F.col("odds") >= ODDS))
+    strong = _of_both(rows, _terms, 1, SUPPORT).withColumn("odds", odds).where(F.col("odds") >= ODDS)
     found = strong.orderBy(F.desc(F.col("toxic") * F.log("odds")), "term").limit(ENTRIES).collect()
     weights: dict[str, float] = {}
     reach = {r.term: r.toxic for r in found}
@@ -193,7 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if parent is None or reach[parent] < 0:
             weights[r.term] = float(np.log(r.odds))
     hits = set(weights)
-    phrases = _term_counts(rows, lambda text: _pairs(text, hits)).where((F.col("other") >= 3) & (F.col("toxic") * n0 < F.col("other") * n1)).orderBy(F.desc("other"), "term").limit(ENTRIES)
+    phrases = _of_both(rows, lambda text: _pairs(text, hits), 0, 3).where(F.col("toxic") * n0 < F.col("other") * n1).orderBy(F.desc("other"), "term").limit(ENTRIES)
     lexicon = Lexicon(weights, [r.term for r in phrases.collect()], (0.0, 0.0, 0.0, 0.0))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
