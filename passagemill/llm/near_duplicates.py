@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 
 from .arrowtext import SPACED_WORDS, gram_hashes, mix, row_groups, text_rows, word_hashes
 from .components import connected_components
-from .shared import materialize
+from .shared import materialize, probably_in
 
 #: Words of a shingle.
 WORDS = 5
-#: Signature: 60 bands of 10. Two sets of similarity 0.85 share no band with probability (1 - 0.85^10)^60 = 2e-6.
-BANDS, ROWS = 60, 10
+#: Signature: 40 bands of 8. Two sets of similarity 0.85 share no band with probability (1 - 0.85^8)^40 = 3e-6.
+BANDS, ROWS = 40, 8
 #: Dimensions of the hashed universe on which both permutations act.
 DIMENSIONS = 1 << 22
 #: Verification cells hold about so many texts and shingles at most.
 CELL_TEXTS, CELL_SHINGLES = 512, 1 << 21
-#: Candidates of an estimated similarity this far under the threshold are let go: 8 standard deviations of the estimate.
+#: Candidates of an estimated similarity this far under the threshold are let go: 6 standard deviations of the estimate.
 MARGIN = 0.12
 
 
@@ -176,11 +176,12 @@ def _links(sets: list[np.ndarray], side: np.ndarray, both_sides: bool, percent:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
-    1. One row per text: set size, digest and 60 band keys (written once to the shared folder). Texts of equal sets
+    1. One row per text: set size, digest and 40 band keys (written once to the shared folder). Texts of equal sets
        are one class; its smallest id represents it, so exact copies never meet in a bucket.
     2. Buckets link each member to their smallest one; components of these unverified links bound what can be linked.
     3. Every such component is verified exactly in cells of bounded size: small components share cells, a large one is
        cut into blocks and each pair of blocks is a cell. A cell returns a spanning forest of its links, never pairs.
+       Only texts that a bitmap of the wanted ids lets through are moved for it.
     4. Components of the verified links, joined back over the digests.
 
     Null and empty texts and texts without words: empty set, linked with nothing, kept. Fewer than five words: the
@@ -194,15 +195,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     sketch = materialize(_sketches(docs, "doc_id", "text"))
     known = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")))
-    bands = (
-        known.join(classes.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left_semi")
-        .select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
-    )
+    # equal digests have equal bands, so whichever row's bands meet first will do
+    classes = materialize(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    bands = classes.select(F.col("rep").alias("node"), F.explode("bands").alias("key"))
     heads = bands.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("key", "head")
     near = bands.join(heads, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     coarse = materialize(connected_components(near))
-    listed = materialize(coarse.join(classes, coarse.node == classes.rep).select("node", "component", "n", "f1", "f2"))
+    listed = materialize(classes.select("rep", "n", "f1", "f2").join(coarse, F.col("rep") == F.col("node")).select("node", "component", "n", "f1", "f2"))
     blocks = (
         listed.groupBy("component").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
         .select(F.col("component").alias("group"), F.ceil(F.greatest(F.col("texts") / CELL_TEXTS, F.col("shingles") / CELL_SHINGLES)).cast("int").alias("blocks"), "texts", "shingles")
@@ -214,7 +213,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"), F.col("component").alias("g")))
     )
     wanted = placed.select("node", "component", "block", "f1", "f2", cells.alias("cells"))
-    texts = docs.where("doc_id is not null").join(wanted, docs.doc_id == wanted.node).drop("doc_id")
+    wanted = materialize(wanted)
+    likely = probably_in(wanted, "node")
+    texts = docs.where("doc_id is not null").where(likely(F.col("doc_id"))).join(wanted, F.col("doc_id") == F.col("node")).drop("doc_id")
     filled = _sets(texts, ["node", "component", "block", "cells"]).select("node", "component", "block", "set", F.explode("cells").alias("cell"))
 
     def verify(cell: pd.DataFrame) -> pd.DataFrame:
@@ -232,7 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = filled.groupBy("cell").applyInPandas(verify, "a long, b long")
     joined = connected_components(links)
-    named = classes.join(joined, classes.rep == joined.node, "left").select("f1", "f2", F.coalesce("component", "rep").alias("found"))
+    named = classes.select("rep", "f1", "f2").join(joined, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("found"))
     every = sketch.select("doc_id", "n_shingles", "f1", "f2")
     return (
         every.join(named, ["f1", "f2"], "left")

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +31,42 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bits of a membership bitmap at most: 16 MB on the driver and in each worker, whatever the number of ids.
+BITMAP_BITS = 1 << 27
+_WORD = 1 << 16
+
+
+def probably_in(ids: DataFrame, col: str) -> Callable[[Column], Column]:
+    """A function column → boolean column: true for every id of ``ids``, and for few others.
+
+    One bit for each hash value; eight bits for each id until BITMAP_BITS, beyond which more of the others pass. It
+    only spares a join the rows that surely have no partner: the join still decides. The bitmap is put together in
+    tasks, 8 KB for each group of positions.
+    """
+    spark, n = ids.sparkSession, ids.count()
+    bits = max(_WORD, min(BITMAP_BITS, 1 << max(1, 8 * n - 1).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        word = np.zeros(_WORD, np.uint8)
+        word[group["bit"].to_numpy()] = 1
+        return pd.DataFrame({"part": group["part"].iloc[:1], "word": [np.packbits(word).tobytes()]})
+
+    at = ids.select(place(F.col(col)).alias("at")).distinct()
+    parts = at.select(F.floor(F.col("at") / _WORD).cast("long").alias("part"), (F.col("at") % _WORD).cast("int").alias("bit")).groupBy("part").applyInPandas(pack, "part long, word binary")
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for row in parts.toLocalIterator():  # at most bits / 2^16 rows of 8 KB
+        bitmap[row.part * _WORD // 8 : (row.part + 1) * _WORD // 8] = np.frombuffer(row.word, np.uint8)
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def known(at: pd.Series) -> pd.Series:
+        i = at.to_numpy()
+        return pd.Series((shared.value[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 == 1)
+
+    def test(c: Column) -> Column:
+        return known(place(c))
+
+    return test
