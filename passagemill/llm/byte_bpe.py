@@ -11,13 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrowtext import row_groups, take_ranges, text_rows
+from .arrowtext import lean, row_groups, take_ranges, text_rows
 from .pretokens import code_point_classes, pretokens, safe_pieces
 
 #: Pre-tokens up to this many bytes are merged many at a time in arrays, longer ones alone.
 WIDE = 64
-#: Pre-tokens whose ids a worker keeps; beyond, its cache starts anew.
-CACHE_ENTRIES = 1 << 19
+#: Pre-tokens whose ids a task keeps; beyond, its cache starts anew.
+CACHE_ENTRIES = 1 << 18
+#: Places of the trees that are merged side by side.
+TREE_PLACES = 1 << 18
 _NONE = np.iinfo(np.int64).max
 
 
@@ -113,8 +115,9 @@ class ByteBpe:
             width *= 2
             some = np.flatnonzero((length <= width) & (length > (width // 2 if width > 2 else 0)))
             some = some[[out[i] is None for i in some.tolist()]] if len(some) else some
-            for lo in range(0, len(some), 1 << 14):
-                self._merge_rows(tokens, some[lo : lo + (1 << 14)], width, out)
+            step = TREE_PLACES // width
+            for lo in range(0, len(some), step):
+                self._merge_rows(tokens, some[lo : lo + step], width, out)
         n = np.array([len(x) for x in out], np.int64)
         return np.fromiter((x for ids in out for x in ids), np.int64, int(n.sum())), n
 
@@ -181,7 +184,7 @@ class _Cache:
     def __init__(self) -> None:
         self.slot: dict[int, int] = {}
         self.ids, self.used = np.zeros(1 << 20, np.int32), 0
-        self.at, self.n = np.zeros(CACHE_ENTRIES + (1 << 18), np.int64), np.zeros(CACHE_ENTRIES + (1 << 18), np.int64)
+        self.at, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def add(self, hashes: list[int], ids: np.ndarray, n: np.ndarray) -> None:
         if self.used + len(ids) > len(self.ids):
@@ -205,6 +208,10 @@ def byte_bpe(path: str) -> ByteBpe:
 _caches: dict[str, _Cache] = {}
 
 
+def _forget() -> None:
+    _caches.clear()
+
+
 def _encode_piece(bpe: ByteBpe, path: str, data: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cache = _caches.setdefault(path, _Cache())
     keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
@@ -242,7 +249,7 @@ def _encoded_rows(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str,
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every row, as the library encodes without adding special tokens.
 
-    Pre-tokens are merged by a segment tree whose root holds the leftmost pair of the lowest rank; a worker keeps the
+    Pre-tokens are merged by a segment tree whose root holds the leftmost pair of the lowest rank; a task keeps the
     ids of the pre-tokens it has met. The library's special string inside a text is its one id.
 
     Null and empty texts: an empty list. Repeated rows and null ids: one result row each. Long texts are cut into
@@ -253,7 +260,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         for names, rows in _encoded_rows(batches, id_col, text_col, tokenizer_path):
             yield pa.RecordBatch.from_arrays([names, pa.array(list(rows), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(lean(run, _forget), f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
 
 
 def decode(tokens: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -265,7 +272,7 @@ def decode(tokens: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_c
             texts = [bpe.decode(np.asarray(x.as_py() or [], np.int64)) for x in batch.column(ids_col)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return tokens.select(id_col, ids_col).mapInArrow(run, f"doc_id {tokens.schema[id_col].dataType.simpleString()}, text string")
+    return tokens.select(id_col, ids_col).mapInArrow(lean(run, _forget), f"doc_id {tokens.schema[id_col].dataType.simpleString()}, text string")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,4 +290,4 @@ def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([names, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_col, text_col).mapInArrow(lean(run, _forget), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import ALNUM_WORDS, gram_hashes, row_groups, take_ranges, text_rows, word_hashes
+from .arrowtext import ALNUM_WORDS, gram_hashes, lean, row_groups, take_ranges, text_rows, word_hashes
 from .shared import materialize
 
 #: Words of a window, of a fingerprint's gram, and grams of which the least is kept: 8 + 6 - 1 = 13, so any shared run
@@ -97,7 +97,7 @@ def _item_windows(bench: DataFrame) -> DataFrame:
                 kinds = (pa.string(), pa.int32(), pa.int64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["item_id", "m", "hash", "is_print"])
 
-    return bench.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null").mapInArrow(run, "item_id string, m int, hash long, is_print boolean")
+    return bench.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null").mapInArrow(lean(run), "item_id string, m int, hash long, is_print boolean")
 
 
 def _found_rows(covered: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -150,7 +150,7 @@ def _by_broadcast(docs: DataFrame, tests: TestSet) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return docs.mapInArrow(lean(run), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def _by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -184,14 +184,14 @@ def _by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
                 _, first = word_hashes(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], ALNUM_WORDS)
                 yield pa.RecordBatch.from_arrays([batch.column("row")[lo:hi], batch.column("doc_id")[lo:hi], pa.array(np.diff(first))], ["row", "doc_id", "n_words"])
 
-    spans = rows.select("row", "text").mapInArrow(run, "row long, start long, m int, print long, hash long")
+    spans = rows.select("row", "text").mapInArrow(lean(run), "row long, start long, m int, print long, hash long")
     prints = windows.where("is_print").select(F.col("hash").alias("print")).union(windows.where(f"not is_print and m < {WINDOW}").select("hash")).distinct()
     tests = windows.where("not is_print").select("m", "hash", "item_id").distinct()
     hits = materialize(spans.join(prints, "print", "left_semi").join(tests, ["m", "hash"]).select("row", "start", "m", "item_id").distinct())
     spots = hits.select("row", F.explode(F.sequence("start", F.col("start") + F.col("m") - 1)).alias("word")).distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
     items = hits.select("row", "item_id").distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item_id")), ","), 256).alias("items_sha256"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counts = rows.mapInArrow(count, f"row long, doc_id {kind}, n_words long")
+    counts = rows.mapInArrow(lean(count), f"row long, doc_id {kind}, n_words long")
     whole = counts.join(spots, "row", "left").join(items, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return whole.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.lit(_digest([]))).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))

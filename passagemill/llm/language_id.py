@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import row_groups, text_rows
+from .arrowtext import lean, row_groups, text_rows
 
 #: Components of a vector, and letters of an n-gram.
 DIMENSIONS, GRAM = 1024, 3
 #: About so many labelled rows of each language are learned from (the documented bound of the sample).
 ROWS_PER_LANGUAGE = 20_000
+#: Languages at most: each has one prototype of DIMENSIONS numbers, and all prototypes are broadcast.
+LANGUAGES = 10_000
 UNKNOWN = "und"
 _BLOCK = 4096
 
@@ -101,7 +103,7 @@ def profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text"
         for batch in batches:
             data, at = text_rows(batch, text_col)
             names = batch.column(lang_col).to_pylist()
-            for lo, hi in row_groups(at, 1 << 20):
+            for lo, hi in row_groups(at, 1 << 19):
                 vectors, _ = _bundles(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                 norm = np.linalg.norm(vectors, axis=1, keepdims=True)
                 vectors /= np.where(norm == 0, 1, norm)
@@ -110,16 +112,24 @@ def profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text"
                     total[name] = total[name] + mine if name in total else mine
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([list(range(DIMENSIONS))] * len(total), pa.list_(pa.int32())), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["lang", "place", "value"])
 
-    parts = labelled.select(lang_col, text_col).mapInArrow(run, "lang string, place array<int>, value array<double>")
+    parts = labelled.select(lang_col, text_col).mapInArrow(lean(run), "lang string, place array<int>, value array<double>")
     cells = parts.select("lang", F.explode(F.arrays_zip("place", "value")).alias("cell")).groupBy("lang", "cell.place").agg(F.sum("cell.value").alias("value"))
     return cells.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda c: c["value"]).alias("vector"))
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", rows_per_language: int = ROWS_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Languages and their prototypes from a sample of about ``rows_per_language`` rows of each, chosen by id hash."""
-    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    """Languages and their prototypes from a sample of about ``rows_per_language`` rows of each, chosen by id hash.
+
+    The share to draw of each language is one row of a table that is broadcast, so that no text is shuffled; more than
+    LANGUAGES of them are an error.
+    """
+    known = labelled.where(F.col(lang_col).isNotNull())
     share = known.groupBy(F.col(lang_col).alias("name")).agg(F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.count(F.lit(1))).alias("share"))
-    sample = known.join(share, known[lang_col] == share["name"]).where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    listed = share.limit(LANGUAGES + 1).collect()
+    if len(listed) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    share = F.broadcast(labelled.sparkSession.createDataFrame(listed, "name string, share double"))
+    sample = known.where(F.col(text_col).isNotNull()).join(share, F.col(lang_col) == F.col("name")).where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     rows = profiles(sample, lang_col, text_col).orderBy("lang").collect()  # one row for each language
     return [r.lang for r in rows], np.array([r.vector for r in rows]).reshape(len(rows), DIMENSIONS)
 
@@ -138,7 +148,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
         langs, unit = shared.value
         for batch in batches:
             data, at = text_rows(batch, text_col)
-            for lo, hi in row_groups(at, 1 << 20):
+            for lo, hi in row_groups(at, 1 << 19):
                 vectors, letters = _bundles(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                 size = np.linalg.norm(vectors, axis=1)
                 cosine = (vectors @ unit.T) / np.where(size == 0, 1, size)[:, None] if langs else np.zeros((hi - lo, 1))
@@ -148,4 +158,4 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                 pred = [UNKNOWN if u else langs[k] for u, k in zip(unknown.tolist(), best.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(id_col)[lo:hi], pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import row_groups, text_rows
+from .arrowtext import lean, row_groups, text_rows
 from .shared import materialize
 
 #: About so many labelled rows of either class are learned from (the documented bound of the sample).
@@ -162,7 +162,7 @@ def _row_counts(rows: DataFrame, make) -> DataFrame:
                     count.update(make(text))
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
 
-    return rows.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(lean(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def _of_both(rows: DataFrame, make, frequent_in: int, least: int) -> DataFrame:
@@ -219,7 +219,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 x = np.array([shared.value.features(t) for t in folded_rows(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])])
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(3)), batch.column("toxic")[lo:hi].cast(pa.int32())], ["a", "b", "c", "toxic"])
 
-    fit = rows.mapInArrow(measure, "a double, b double, c double, toxic int").toPandas()  # within the bound of the sample
+    fit = rows.mapInArrow(lean(measure), "a double, b double, c double, toxic int").toPandas()  # within the bound of the sample
     # rows of either class count as often as they do among all labelled rows
     lexicon.calibration = _logistic(fit[["a", "b", "c"]].to_numpy(), fit["toxic"].to_numpy(float))
     return lexicon
@@ -240,4 +240,4 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
                 p = shared.value.scores(x)
                 yield pa.RecordBatch.from_arrays([batch.column(id_col)[lo:hi], pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
