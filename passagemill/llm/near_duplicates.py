@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import SPACED_WORDS, gram_hashes, mix, row_groups, text_rows, word_hashes
+from .arrowtext import SPACED_WORDS, gram_hashes, lean, mix, release, row_groups, text_rows, word_hashes
 from .components import connected_components
-from .shared import materialize, probably_in
+from .shared import materialize, split_by_bitmap
 
 #: Words of a shingle.
 WORDS = 5
@@ -105,7 +105,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_shingles long, f1 long, f2 long, bands array<long>")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"doc_id {kind}, n_shingles long, f1 long, f2 long, bands array<long>")
 
 
 def _sets(texts: DataFrame, carried: list[str]) -> DataFrame:
@@ -121,7 +121,7 @@ def _sets(texts: DataFrame, carried: list[str]) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(c).take(rows) for c in carried] + [pa.array([sets[i].tobytes() for i in keep], pa.binary())], [*carried, "set"])
 
     kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in carried)
-    return texts.select(*carried, "f1", "f2", "text").mapInArrow(run, f"{kinds}, set binary")
+    return texts.select(*carried, "f1", "f2", "text").mapInArrow(lean(run), f"{kinds}, set binary")
 
 
 def _links(sets: list[np.ndarray], side: np.ndarray, both_sides: bool, percent: int) -> list[tuple[int, int]]:
@@ -141,7 +141,7 @@ def _links(sets: list[np.ndarray], side: np.ndarray, both_sides: bool, percent:
             if hi - lo > 1:
                 i, j = np.triu_indices(hi - lo, 1)
                 pairs.append(np.minimum(order[lo:hi][i], order[lo:hi][j]) << 32 | np.maximum(order[lo:hi][i], order[lo:hi][j]))
-        if sum(map(len, pairs)) > 1 << 22:
+        if sum(map(len, pairs)) > 1 << 20:
             pairs = [np.unique(np.concatenate(pairs))]
     if not pairs:
         return []
@@ -214,8 +214,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     wanted = placed.select("node", "component", "block", "f1", "f2", cells.alias("cells"))
     wanted = materialize(wanted)
-    likely = probably_in(wanted, "node")
-    texts = docs.where("doc_id is not null").where(likely(F.col("doc_id"))).join(wanted, F.col("doc_id") == F.col("node")).drop("doc_id")
+    likely, _ = split_by_bitmap(docs.where("doc_id is not null"), "doc_id", wanted, "node")
+    texts = likely.join(wanted, F.col("doc_id") == F.col("node")).drop("doc_id")
     filled = _sets(texts, ["node", "component", "block", "cells"]).select("node", "component", "block", "set", F.explode("cells").alias("cell"))
 
     def verify(cell: pd.DataFrame) -> pd.DataFrame:
@@ -229,6 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 links = _links([np.frombuffer(s, np.uint64) for s in group["set"]], side, len(set(side.tolist())) > 1, percent)
                 a += [nodes[i] for i, _ in links]
                 b += [nodes[j] for _, j in links]
+        release()
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     links = filled.groupBy("cell").applyInPandas(verify, "a long, b long")

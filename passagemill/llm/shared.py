@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,40 +30,29 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Bits of a membership bitmap at most: 16 MB on the driver and in each worker, whatever the number of ids.
+#: Bits of a membership bitmap at most: 18 MB as a broadcast table, whatever the number of ids.
 BITMAP_BITS = 1 << 27
-_WORD = 1 << 16
+#: Words of 64 bits in a row of that table.
+_ROW = 64
 
 
-def probably_in(ids: DataFrame, col: str) -> Callable[[Column], Column]:
-    """A function column → boolean column: true for every id of ``ids``, and for few others.
+def split_by_bitmap(rows: DataFrame, key: str, ids: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
+    """rows whose key is probably among ids, and those whose key is surely not.
 
     One bit for each hash value; eight bits for each id until BITMAP_BITS, beyond which more of the others pass. It
-    only spares a join the rows that surely have no partner: the join still decides. The bitmap is put together in
-    tasks, 8 KB for each group of positions.
+    only spares a join the rows that surely have no partner: the join still decides. Tasks put the bits together; the
+    table of the bitmap's rows is broadcast within that bound, and the test is part of the scan's own stage.
     """
-    spark, n = ids.sparkSession, ids.count()
-    bits = max(_WORD, min(BITMAP_BITS, 1 << max(1, 8 * n - 1).bit_length()))
+    bits = max(64 * _ROW, min(BITMAP_BITS, 1 << max(1, 8 * ids.count() - 1).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        word = np.zeros(_WORD, np.uint8)
-        word[group["bit"].to_numpy()] = 1
-        return pd.DataFrame({"part": group["part"].iloc[:1], "word": [np.packbits(word).tobytes()]})
-
-    at = ids.select(place(F.col(col)).alias("at")).distinct()
-    parts = at.select(F.floor(F.col("at") / _WORD).cast("long").alias("part"), (F.col("at") % _WORD).cast("int").alias("bit")).groupBy("part").applyInPandas(pack, "part long, word binary")
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for row in parts.toLocalIterator():  # at most bits / 2^16 rows of 8 KB
-        bitmap[row.part * _WORD // 8 : (row.part + 1) * _WORD // 8] = np.frombuffer(row.word, np.uint8)
-    shared = spark.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def known(at: pd.Series) -> pd.Series:
-        i = at.to_numpy()
-        return pd.Series((shared.value[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 == 1)
-
-    def test(c: Column) -> Column:
-        return known(place(c))
-
-    return test
+    own = uuid.uuid4().hex
+    part, words = f"part_{own}", f"words_{own}"
+    at = ids.select(place(F.col(col).cast("long")).alias("at")).distinct()
+    one = at.groupBy(F.floor(F.col("at") / (64 * _ROW)).alias(part), F.pmod(F.floor(F.col("at") / 64), F.lit(_ROW)).cast("int").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("word"))
+    found = one.groupBy(part).agg(F.map_from_entries(F.collect_list(F.struct("i", "word"))).alias("m"))  # _ROW entries at most
+    table = materialize(found.select(part, F.transform(F.sequence(F.lit(0), F.lit(_ROW - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias(words)))
+    bit = place(F.col(key).cast("long"))
+    word = F.get(F.col(words), F.pmod(F.floor(bit / 64), F.lit(_ROW)).cast("int"))
+    test = F.coalesce(F.call_function("getbit", word, (bit % 64).cast("int")) == 1, F.lit(False))
+    marked = rows.join(F.broadcast(table), F.floor(bit / (64 * _ROW)) == F.col(part), "left")
+    return marked.where(test).drop(part, words), marked.where(~test).drop(part, words)

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from passagemill.llm import byte_bpe, chat_format, decontaminate, language_id, license_scan, near_duplicates, quality_classifier, quality_rules, toxicity
 from passagemill.llm.components import connected_components
 from passagemill.llm.queries import queries, tokenizer_path
-from passagemill.llm.shared import probably_in
+from passagemill.llm.shared import split_by_bitmap
 from passagemill.llm.token_counts import count_tokens
 
 BITS = ["a", "don't", "'s", "'re", "''", " ", "  ", "\n", "\t ", "1", "²", "é", "日本", "<|endoftext|>", "<|endoftext|", "!", "...", "the ", "Ünder", " 's", "\r\n", "😀", "\x1c", "x'ves"]
@@ -121,9 +121,13 @@ def test_components(spark):
 
 def test_bitmap(spark):
     ids = spark.createDataFrame([(i * 7,) for i in range(300)], "id long")
-    test = probably_in(ids, "id")
-    passed = {r.id for r in spark.range(3000).where(test(F.col("id"))).collect()}
-    assert {i * 7 for i in range(300)} <= passed and len(passed) < 600
+    rows = spark.range(3000).withColumn("at", F.lit("clash")).unionByName(spark.createDataFrame([(None, None)], "id long, at string"))
+    likely, others = split_by_bitmap(rows, "id", ids, "id")
+    passed = {r.id for r in likely.collect()}
+    assert {i * 7 for i in range(300)} <= passed and len(passed) < 600 and likely.columns == rows.columns
+    assert likely.count() + others.count() == 3001
+    likely, others = split_by_bitmap(rows, "id", ids.limit(0), "id")
+    assert likely.count() == 0 and others.count() == 3001
 
 
 def brute_hits(text, items):
