@@ -55,7 +55,7 @@ def release() -> None:
         trim(0)
 
 
-def row_groups(at: np.ndarray, size: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def row_groups(at: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``size`` bytes; a longer text stands alone."""
     lo, n = 0, len(at) - 1
     while lo < n:
