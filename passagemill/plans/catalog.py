@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagemill.functions import text as tx
-from passagemill.functions.vectors import cosine, hash_counts
+from passagemill.functions.vectors import hash_counts
 from passagemill.operators import answers, audit, corpus, search, statistics, telemetry
 from passagemill.operators import evaluation as ev
 from passagemill.operators.containment import containing
@@ -236,8 +236,7 @@ def cosine_topk(spark, sf):
     e = v.table(spark, sf, "embeddings")
     asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     every = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
-    scored = every.crossJoin(F.broadcast(asked.withColumnRenamed("vector", "qv"))).select("query_id", "chunk_id", F.round(cosine(F.col("qv"), F.col("vector")), 9).alias("score"))
-    return _shown(search._ranked(scored, 10))
+    return _shown(search.dense_search(asked, every, 10, digits=9))
 
 
 @query()
