@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,10 +23,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("to")))
         of = lambda name: least.select(F.col("u").alias(name), F.col("to").alias(f"{name}_to"))
-        labels = materialize(
+        known, labels = labels, materialize(
             labels.join(of("component"), "component", "left").select("node", F.coalesce("component_to", "component").alias("component"))
         )
-        pairs = materialize(
+        before, pairs = pairs, materialize(
             pairs.join(of("u"), "u").join(of("v"), "v").select(F.col("u_to").alias("u"), F.col("v_to").alias("v")).where("u <> v").distinct()
         )
+        discard(known, before, least)
     return labels

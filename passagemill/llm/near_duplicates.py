@@ -8,20 +8,20 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import SPACED_WORDS, gram_hashes, lean, mix, release, row_groups, text_rows, word_hashes
 from .components import connected_components
-from .shared import materialize, split_by_bitmap
+from .shared import discard, materialize, split_by_bitmap
 
 #: Words of a shingle.
 WORDS = 5
 #: Signature: 40 bands of 8. Two sets of similarity 0.85 share no band with probability (1 - 0.85^8)^40 = 3e-6.
 BANDS, ROWS = 40, 8
-#: Dimensions of the hashed universe on which both permutations act.
-DIMENSIONS = 1 << 22
-#: Verification cells hold about so many texts and shingles at most.
+#: Dimensions of the hashed universe on which both permutations act; sets near it look alike and are left to the exact check.
+DIMENSIONS = 1 << 20
+#: Cells of comparison hold about so many texts and shingles at most, of each of two blocks.
 CELL_TEXTS, CELL_SHINGLES = 512, 1 << 21
 #: Candidates of an estimated similarity this far under the threshold are let go: 6 standard deviations of the estimate.
 MARGIN = 0.12
@@ -82,162 +82,287 @@ def _fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return int(one.astype(np.int64)), int(two.astype(np.int64))
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, bands): size, 128-bit digest and band keys of each row's set."""
+def _sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, f1, f2, bands, signature): size, 128-bit digest, band keys and the signature's low bytes of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, sets in shingle_sets(batch, text_col):
+            for lo, sets in shingle_sets(batch, "text"):
                 prints = [_fingerprint(s) for s in sets]
-                filled = [s for s in sets if len(s)]
-                keys = band_keys(np.stack([signature(s) for s in filled])).view(np.int64) if filled else np.empty((0, BANDS), np.int64)
-                length = np.array([BANDS if len(s) else 0 for s in sets])
-                bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(keys.reshape(-1)))
+                filled = np.array([len(s) > 0 for s in sets])
+                whole = np.stack([signature(s) for s in sets if len(s)]) if filled.any() else np.empty((0, BANDS * ROWS), np.uint32)
+                bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(filled * BANDS)]), pa.int32()), pa.array(band_keys(whole).view(np.int64).reshape(-1)))
+                low = iter(whole.astype(np.uint8))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(id_col)[lo : lo + len(sets)],
+                        batch.column("doc_id")[lo : lo + len(sets)],
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([p[0] for p in prints], pa.int64()),
                         pa.array([p[1] for p in prints], pa.int64()),
                         bands,
+                        pa.array([next(low).tobytes() if f else None for f in filled.tolist()], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "f1", "f2", "bands"],
+                    ["doc_id", "n", "f1", "f2", "bands", "signature"],
                 )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(lean(run), f"doc_id {kind}, n_shingles long, f1 long, f2 long, bands array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, f1 long, f2 long, bands array<long>, signature binary")
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated similarity of signatures (rows of low bytes); chance hits of a byte only raise it."""
+    return (a == b).mean(axis=-1)
+
+
+def _fits(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can be similar enough."""
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough, exactly."""
+    if len(a) > len(b):
+        a, b = b, a
+    shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def _signatures(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, BANDS * ROWS)
+
 
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs(a, b) whose sizes and signatures don't rule a link out, with the size of b as n."""
+    of = lambda c, x: classes.select(F.col("node").alias(c), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
+    least = percent / 100 - MARGIN
 
-def _sets(texts: DataFrame, carried: list[str]) -> DataFrame:
-    """(carried columns, set binary): each text's sorted shingle hashes, if their digest is the one asked for."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (_signatures(batch.column(c).to_pylist()) for c in ("s0", "s1"))
+            keep = _fits(np.asarray(batch.column("n0")), np.asarray(batch.column("n1")), percent) & (_alike(x, y) >= least)
+            rows = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(rows) for c in ("a", "b", "n1")], ["a", "b", "n"])
+
+    return pairs.join(of("b", 1), "b").join(of("a", 0), "a").select("a", "b", "n0", "n1", "s0", "s1").mapInArrow(lean(run), "a long, b long, n long")
+
+
+def _cells(rows: DataFrame, group: str, member: str, across: bool) -> DataFrame:
+    """rows(group, member, n, ...) with a ``cell`` each: of small groups many share one, a large one is cut into blocks.
+
+    ``across``: every pair of blocks is a cell, so each member goes to as many cells as its group has blocks, and any
+    two members meet; otherwise to one.
+    """
+    size = rows.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
+    size = size.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.greatest(F.col("texts") / CELL_TEXTS, F.col("shingles") / CELL_SHINGLES))).cast("int"))
+    total = rows.agg(F.count(F.lit(1)).alias("t"), F.sum("n").alias("s")).first()
+    shared = max(1, int(max(total.t / CELL_TEXTS, (total.s or 0) / CELL_SHINGLES)))
+    none = F.lit(-1).cast("long")
+    cell = lambda g, i, j: F.struct(g.cast("long").alias("group"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    block = F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")
+    own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: cell(F.col(group), F.least(k, block), F.greatest(k, block))) if across else F.array(cell(F.col(group), block, block))
+    small = F.array(cell(none, F.pmod(F.xxhash64(group), F.lit(shared)), none))
+    placed = rows.join(size.select("_group", "blocks"), F.col(group) == F.col("_group"))
+    return placed.withColumn("cells", F.when(F.col("blocks") == 1, small).otherwise(own)).withColumn("block", block).drop("_group")
+
+
+def _with_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(node, places array) with ``set``, the sorted shingle hashes of the class.
+
+    A class is read from one of its documents: only texts that a bitmap of the wanted ids lets through are moved. A
+    task gives a class once, so ids and texts that repeat without end don't add up.
+    """
+    asked = materialize(wanted.join(classes.select("node", "doc_id", "f1", "f2"), "node"))
+    likely, _ = split_by_bitmap(docs, "doc_id", asked, "doc_id")
+    texts = likely.join(asked, "doc_id")
+    carried = ["node", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
         for batch in batches:
-            wanted = list(zip(batch.column("f1").to_pylist(), batch.column("f2").to_pylist(), strict=True))
+            prints = list(zip(batch.column("f1").to_pylist(), batch.column("f2").to_pylist(), strict=True))
+            nodes = batch.column("node").to_pylist()
             for lo, sets in shingle_sets(batch, "text"):
-                keep = [i for i, s in enumerate(sets) if _fingerprint(s) == wanted[lo + i]]
+                keep = []
+                for i, s in enumerate(sets):
+                    if nodes[lo + i] not in given and _fingerprint(s) == prints[lo + i]:
+                        given.add(nodes[lo + i])
+                        keep.append(i)
                 if keep:
                     rows = pa.array([lo + i for i in keep])
                     yield pa.RecordBatch.from_arrays([batch.column(c).take(rows) for c in carried] + [pa.array([sets[i].tobytes() for i in keep], pa.binary())], [*carried, "set"])
 
-    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in carried)
+    kinds = ", ".join(f"{c} {asked.schema[c].dataType.simpleString()}" for c in carried)
     return texts.select(*carried, "f1", "f2", "text").mapInArrow(lean(run), f"{kinds}, set binary")
 
 
-def _links(sets: list[np.ndarray], side: np.ndarray, both_sides: bool, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets (of different sides only, if asked), verified on the full sets.
+def _star_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The links among pairs(a, b, n), verified on the full sets: a's set goes to each cell that holds some of its b."""
+    placed = materialize(_cells(pairs, "a", "b", across=False).select("a", "b", F.col("cells")[0].alias("cell")))
+    places = placed.select(F.col("b").alias("node"), "a", "cell").unionByName(placed.select(F.col("a").alias("node"), "a", "cell").distinct())
+    wanted = places.groupBy("node").agg(F.collect_list(F.struct("a", "cell")).alias("places"))
+    filled = _with_sets(docs, classes, wanted).select("node", "set", F.explode("places").alias("p")).select("node", "set", "p.a", "p.cell")
 
-    Candidates share a band; the likeliest come first, and a pair that is connected already is not compared.
+    def verify(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.drop_duplicates(["a", "node"])
+        sets = [np.frombuffer(s, np.uint64) for s in cell["set"]]
+        heads = {a: i for i, (a, node) in enumerate(zip(cell["a"], cell["node"], strict=True)) if a == node}
+        found = [(a, b) for i, (a, b) in enumerate(zip(cell["a"], cell["node"], strict=True)) if a != b and _linked(sets[heads[a]], sets[i], percent)]
+        release()
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return filled.groupBy("cell").applyInPandas(verify, "a long, b long")
+
+
+def _groups(keys: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of each key's rows."""
+    order = np.argsort(keys, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1], [True]]))
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield order[lo:hi]
+
+
+def _suspects(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(suspicion, node, component): members of a bucket that may be linked with one of another component in it.
+
+    members(key, node, component, n). Signatures alone are compared, within cells; equal lists of nodes, as several
+    bands give them, get the same number.
     """
-    signatures = np.stack([signature(s) for s in sets])
-    size = np.array([len(s) for s in sets])
-    keys = band_keys(signatures)
-    pairs = []
-    for b in range(BANDS):
-        order = np.argsort(keys[:, b], kind="stable")
-        column = keys[order, b]
-        cut = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1], [True]]))
-        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            if hi - lo > 1:
-                i, j = np.triu_indices(hi - lo, 1)
-                pairs.append(np.minimum(order[lo:hi][i], order[lo:hi][j]) << 32 | np.maximum(order[lo:hi][i], order[lo:hi][j]))
-        if sum(map(len, pairs)) > 1 << 20:
-            pairs = [np.unique(np.concatenate(pairs))]
-    if not pairs:
-        return []
-    packed = np.unique(np.concatenate(pairs))
-    a, b = packed >> 32, packed & 0xFFFFFFFF
-    fit = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
-    if both_sides:
-        fit &= side[a] != side[b]
-    a, b = a[fit], b[fit]
-    like = np.concatenate([np.empty(0), *((signatures[a[k : k + 4096]] == signatures[b[k : k + 4096]]).mean(axis=1) for k in range(0, len(a), 4096))])
-    order = np.argsort(-like, kind="stable")
-    order = order[like[order] >= percent / 100 - MARGIN]
-    root = list(range(len(sets)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+    placed = _cells(members, "key", "node", across=True).select("key", "node", "component", "n", "block", F.explode("cells").alias("cell"))
+    rows = placed.join(classes.select("node", "signature"), "node")
+    least = percent / 100 - MARGIN
+
+    def screen(cell: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        keys, node, component, n = (cell[c].to_numpy(np.int64) for c in ("key", "node", "component", "n"))
+        low = _signatures(cell["signature"])
+        for at in _groups(keys):
+            seen = np.zeros(len(at), bool)
+            for i in range(len(at) - 1):
+                rest = at[i + 1 :]
+                maybe = np.flatnonzero((component[rest] != component[at[i]]) & _fits(n[rest], n[at[i]], percent))
+                maybe = maybe[_alike(low[rest[maybe]], low[at[i]]) >= least]
+                seen[i] |= len(maybe) > 0
+                seen[maybe + i + 1] = True
+            if seen.any():
+                some = at[seen]
+                name = int(mix(np.sort(node[some]).view(np.uint64) + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64))
+                out.append(pd.DataFrame({"suspicion": name, "node": node[some], "component": component[some], "n": n[some]}))
+        release()
+        return pd.concat(out) if out else pd.DataFrame({"suspicion": [], "node": [], "component": [], "n": []}, dtype=np.int64)
+
+    return rows.groupBy("cell").applyInPandas(screen, "suspicion long, node long, component long, n long").distinct()
+
+
+def _suspect_links(docs: DataFrame, classes: DataFrame, suspects: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components linked by some of the suspects, verified on the full sets; a forest for each suspicion."""
+    total = suspects.agg(F.count(F.lit(1)).alias("t"), F.sum("n").alias("s")).first()
+    cells = max(1, int(max(total.t / CELL_TEXTS, total.s / CELL_SHINGLES)))
+    wanted = suspects.groupBy("node").agg(F.collect_list(F.struct("suspicion", "component")).alias("places"))
+    filled = _with_sets(docs, classes, wanted).select("node", "set", F.explode("places").alias("p"))
+    filled = filled.select("node", "set", "p.suspicion", "p.component", F.pmod(F.xxhash64("p.suspicion"), F.lit(cells)).alias("cell"))
+    least = percent / 100 - MARGIN
+
+    def verify(cell: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        cell = cell.drop_duplicates(["suspicion", "node"]).reset_index(drop=True)
+        component = cell["component"].to_numpy(np.int64)
+        for at in _groups(cell["suspicion"].to_numpy(np.int64)):
+            sets = [np.frombuffer(s, np.uint64) for s in cell["set"].iloc[at]]
+            found += _forest(sets, component[at], percent, least)
+        release()
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return filled.groupBy("cell").applyInPandas(verify, "a long, b long")
+
+
+def _forest(sets: list[np.ndarray], component: np.ndarray, percent: int, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets of different components, as pairs of these; the likeliest first."""
+    low, n = np.stack([signature(s).astype(np.uint8) for s in sets]), np.array([len(s) for s in sets])
+    first, second, like = [], [], []
+    for i in range(len(sets) - 1):
+        maybe = i + 1 + np.flatnonzero((component[i + 1 :] != component[i]) & _fits(n[i + 1 :], n[i], percent))
+        value = _alike(low[maybe], low[i])
+        keep = value >= least
+        first.append(np.full(int(keep.sum()), i))
+        second.append(maybe[keep])
+        like.append(value[keep])
+    root = {c: c for c in component.tolist()}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
 
     found = []
-    for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
-        x, y = top(i), top(j)
-        if x != y:
-            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
+    if first:
+        first, second = np.concatenate(first), np.concatenate(second)
+        order = np.argsort(-np.concatenate(like), kind="stable")
+        for i, j in zip(first[order].tolist(), second[order].tolist(), strict=True):
+            x, y = top(int(component[i])), top(int(component[j]))
+            if x != y and _linked(sets[i], sets[j], percent):
                 root[max(x, y)] = min(x, y)
-                found.append((i, j))
+                found.append((int(component[i]), int(component[j])))
     return found
 
 
+def _of_one_id(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): classes that hold rows of the same id, which are one document."""
+    print_ = F.struct("f1", "f2")
+    several = known.groupBy("doc_id").agg(F.min(print_).alias("x"), F.max(print_).alias("y")).where("x <> y").select("doc_id")
+    node = known.join(several, "doc_id").select("doc_id", "f1", "f2").distinct().join(classes.select("node", "f1", "f2"), ["f1", "f2"])
+    heads = node.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return node.join(heads, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
-    1. One row per text: set size, digest and 40 band keys (written once to the shared folder). Texts of equal sets
-       are one class; its smallest id represents it, so exact copies never meet in a bucket.
-    2. Buckets link each member to their smallest one; components of these unverified links bound what can be linked.
-    3. Every such component is verified exactly in cells of bounded size: small components share cells, a large one is
-       cut into blocks and each pair of blocks is a cell. A cell returns a spanning forest of its links, never pairs.
-       Only texts that a bitmap of the wanted ids lets through are moved for it.
-    4. Components of the verified links, joined back over the digests.
+    1. One sketch per row: set size, digest, 40 band keys, signature (written once to the shared folder). Rows of
+       equal sets are one class, named by one of its rows, so exact copies never meet in a bucket.
+    2. Every class is compared with the first one of each of its buckets: by signature, then exactly. A group of near
+       copies of one text is joined up by that, with work in proportion to its size.
+    3. What is left are buckets that hold several components. Signatures of those are compared across components, in
+       cells of bounded size; only classes with a likely partner go on.
+    4. Those are verified exactly, the likeliest pair first, until their components are joined or all are refused.
+
+    The quadratic part is step 3 on buckets of texts that share much but are not linked; no set moves for it.
 
     Null and empty texts and texts without words: empty set, linked with nothing, kept. Fewer than five words: the
-    whole sequence is the one shingle. Repeated rows of one id are one document and each returned; rows without id get
-    no component and are kept. Columns of docs besides the two named are not read.
+    whole sequence is the one shingle. Rows of one id are one document: each is returned with its own size, and what
+    is linked with one of them is linked with all. Rows without id get no component and are kept. Columns of docs
+    besides the two named are not read.
     """
-    from pyspark.sql.types import LongType
-
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    if docs.schema["doc_id"].dataType != LongType():
-        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    sketch = materialize(_sketches(docs, "doc_id", "text"))
-    known = sketch.where("n_shingles > 0 and doc_id is not null")
-    # equal digests have equal bands, so whichever row's bands meet first will do
-    classes = materialize(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    bands = classes.select(F.col("rep").alias("node"), F.explode("bands").alias("key"))
-    heads = bands.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("key", "head")
-    near = bands.join(heads, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    coarse = materialize(connected_components(near))
-    listed = materialize(classes.select("rep", "n", "f1", "f2").join(coarse, F.col("rep") == F.col("node")).select("node", "component", "n", "f1", "f2"))
-    blocks = (
-        listed.groupBy("component").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
-        .select(F.col("component").alias("group"), F.ceil(F.greatest(F.col("texts") / CELL_TEXTS, F.col("shingles") / CELL_SHINGLES)).cast("int").alias("blocks"), "texts", "shingles")
-    )
-    totals = blocks.agg(F.sum("texts").alias("t"), F.sum("shingles").alias("s")).first()
-    shared_cells = max(1, int(max((totals.t or 0) / CELL_TEXTS, (totals.s or 0) / CELL_SHINGLES)))
-    placed = listed.join(blocks, listed.component == blocks.group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(-1).alias("i"), F.pmod(F.xxhash64("component"), F.lit(shared_cells)).cast("int").alias("j"), F.lit(-1).cast("long").alias("g")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"), F.col("component").alias("g")))
-    )
-    wanted = placed.select("node", "component", "block", "f1", "f2", cells.alias("cells"))
-    wanted = materialize(wanted)
-    likely, _ = split_by_bitmap(docs.where("doc_id is not null"), "doc_id", wanted, "node")
-    texts = likely.join(wanted, F.col("doc_id") == F.col("node")).drop("doc_id")
-    filled = _sets(texts, ["node", "component", "block", "cells"]).select("node", "component", "block", "set", F.explode("cells").alias("cell"))
-
-    def verify(cell: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
-        cell = cell.drop_duplicates("node").sort_values(["component", "node"])
-        for _, group in cell.groupby("component", sort=False):
-            side = group["block"].to_numpy()
-            nodes = group["node"].to_list()
-            if len(nodes) > 1:
-                # a cell of two different blocks compares across them only: each block has a cell of its own
-                links = _links([np.frombuffer(s, np.uint64) for s in group["set"]], side, len(set(side.tolist())) > 1, percent)
-                a += [nodes[i] for i, _ in links]
-                b += [nodes[j] for _, j in links]
-        release()
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    links = filled.groupBy("cell").applyInPandas(verify, "a long, b long")
-    joined = connected_components(links)
-    named = classes.select("rep", "f1", "f2").join(joined, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("found"))
-    every = sketch.select("doc_id", "n_shingles", "f1", "f2")
-    return (
-        every.join(named, ["f1", "f2"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sketch = materialize(_sketches(docs).withColumn("row", F.monotonically_increasing_id()))
+    known = sketch.where("n > 0 and doc_id is not null")
+    # equal digests have equal bands and signatures, so whichever row's meet first will do
+    same = [F.first(c).alias(c) for c in ("n", "bands", "signature")]
+    classes = materialize(known.groupBy("f1", "f2").agg(F.min(F.struct("row", "doc_id")).alias("rep"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows"), *same).select("f1", "f2", F.col("rep.row").alias("node"), "rep.doc_id", "least_id", "rows", "n", "bands", "signature"))
+    docs = docs.where("doc_id is not null")
+    bands = classes.select("node", F.explode("bands").alias("key"))
+    heads = bands.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = materialize(bands.join(heads, "key").select("key", "node", "head", "size"))
+    stars = buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    likely = materialize(_likely(stars, classes, percent))
+    joined = connected_components(_star_links(docs, classes, likely, percent).unionByName(_of_one_id(known, classes)))
+    component: Column = F.coalesce("component", "node").alias("component")
+    # two members have been compared already
+    members = buckets.where("size > 2").join(joined, "node", "left").select("key", "node", component)
+    mixed = members.groupBy(F.col("key").alias("mixed")).agg((F.min("component") < F.max("component")).alias("several")).where("several").select("mixed")
+    members = materialize(members.join(mixed, F.col("key") == F.col("mixed"), "left_semi").join(classes.select("node", "n"), "node"))
+    suspects = materialize(_suspects(members, classes, percent))
+    if suspects.limit(1).count():
+        later = materialize(_suspect_links(docs, classes, suspects, percent))
+        merged = connected_components(later).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+        alone = later.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
+        every = joined.unionByName(alone).groupBy("node").agg(F.min("component").alias("component"))
+        joined = materialize(every.join(merged, F.col("component") == F.col("part"), "left").select("node", F.coalesce("whole", "component").alias("component")))
+    discard(buckets, likely, members, suspects)
+    linked = joined.join(classes.select("node", "least_id"), "node")
+    ids = linked.groupBy("component").agg(F.min("least_id").alias("found"))
+    linked = linked.join(ids, "component").select("node", "found")
+    named = classes.select("node", "f1", "f2", "least_id", "rows").join(linked, "node", "left").where("rows > 1 or found is not null").select("f1", "f2", F.coalesce("found", "least_id").alias("found"))
+    every = sketch.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2")
+    placed = every.where("n_shingles > 0").join(named, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
+    empty = every.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return placed.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
