@@ -19,7 +19,7 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
-def text_rows(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
+def text_rows(batch: pa.RecordBatch, column: str | int) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes and its n + 1 row offsets; a null counts as an empty text."""
     texts = batch.column(column).cast(pa.large_string())
     if texts.null_count:

@@ -25,6 +25,11 @@ def _unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("\\2"), F.lit("\n")))
 
 
+def _alone(conv: Column) -> Column:
+    """Tells rows without a conversation apart."""
+    return F.when(conv.isNull(), F.monotonically_increasing_id()).alias("_alone")
+
+
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, example, text, loss_start, loss_end): one row for each assistant turn.
 
@@ -33,10 +38,13 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     conversation with nothing trainable, so that no turn is lost.
 
     A conversation's turns are gathered in one row, in the order of turn, then role and text (ties, repeated rows).
-    Null role or text: empty. Rows with a null conv_id form one conversation. Empty table: no rows.
+    Null role or text: empty. A row with a null conv_id is a conversation of its own: it says nothing of what came
+    before it. Empty table: no rows. Each example repeats what precedes its reply, so a conversation of n replies
+    takes room in proportion to n squared, as the method has it.
     """
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    whole = turns.groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(F.struct(F.col(turn_col).alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text")))).alias("_turns"))
+    turns = turns.select(F.col(conv_col).alias("conv_id"), _alone(F.col(conv_col)), turn_col, role_col, text_col)
+    whole = turns.groupBy("conv_id", "_alone").agg(F.sort_array(F.collect_list(F.struct(F.col(turn_col).alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text")))).alias("_turns"))
     whole = whole.withColumn("_done", F.transform("_turns", lambda t: F.concat(F.lit(OPEN), _escape_role(t["role"]), F.lit("\n"), escape(t["text"]), F.lit(CLOSE))))
     whole = whole.withColumn("_ends", F.filter(F.transform("_turns", lambda t, i: F.when((t["role"] == "assistant") | (i == F.size("_turns") - 1), i + 1)), lambda i: i.isNotNull()))
     rows = whole.select("conv_id", "_turns", "_done", F.posexplode("_ends").alias("example", "_n"))
@@ -51,10 +59,11 @@ def read_back(examples: DataFrame) -> DataFrame:
     """(conv_id, turns array<struct<role, text>>, loss array<string>, formatted_chars) parsed from formatted rows.
 
     Turns come from the last example, which holds the whole conversation; loss lists the trainable text of each
-    example in order, unescaped; formatted_chars counts the code points of all examples.
+    example in order, unescaped; formatted_chars counts the code points of all examples. An example without
+    conv_id is a conversation of its own, as ``format_conversations`` makes them.
     """
     trainable = F.expr("substring(text, loss_start + 1, loss_end - loss_start)")
-    whole = examples.groupBy("conv_id").agg(
+    whole = examples.select("*", _alone(F.col("conv_id"))).groupBy("conv_id", "_alone").agg(
         F.max_by("text", "example").alias("_text"),
         F.array_sort(F.collect_list(F.when(F.col("loss_end") > F.col("loss_start"), F.struct("example", unescape(trainable).alias("text"))))).alias("_loss"),
         F.sum(F.length("text").cast("long")).alias("formatted_chars"),

@@ -130,15 +130,15 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", t
         raise ValueError(f"more than {LANGUAGES} languages")
     share = F.broadcast(labelled.sparkSession.createDataFrame(listed, "name string, share double"))
     sample = known.where(F.col(text_col).isNotNull()).join(share, F.col(lang_col) == F.col("name")).where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    rows = profiles(sample, lang_col, text_col).orderBy("lang").collect()  # one row for each language
-    return [r.lang for r in rows], np.array([r.vector for r in rows]).reshape(len(rows), DIMENSIONS)
+    rows = profiles(sample, lang_col, text_col).orderBy("lang").toArrow()  # one row for each language
+    return rows["lang"].to_pylist(), rows["vector"].combine_chunks().flatten().to_numpy().reshape(-1, DIMENSIONS)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) for every row: the language of the nearest prototype and its cosine, at least 0.
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score, n_letters, *carried) for every row: the language of the nearest prototype and its cosine, at least 0.
 
     Null and empty texts and texts without a letter: ``und`` with score 0; so for every text if nothing was learned.
-    Ties go to the first language in string order. Long texts are bundled whole, in blocks of n-grams.
+    ``carried`` columns are handed on and play no part. Ties go to the first language in string order. Long texts are bundled whole, in blocks of n-grams.
     """
     names, prototypes = model
     norm = np.linalg.norm(prototypes, axis=1, keepdims=True)
@@ -147,7 +147,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, unit = shared.value
         for batch in batches:
-            data, at = text_rows(batch, text_col)
+            data, at = text_rows(batch, 1)
             for lo, hi in row_groups(at, 1 << 19):
                 vectors, letters = _bundles(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                 size = np.linalg.norm(vectors, axis=1)
@@ -156,6 +156,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                 unknown = (letters == 0) | (not langs)
                 score = np.where(unknown, 0.0, np.clip(cosine[np.arange(hi - lo), best], 0, 1)).astype(np.float64)
                 pred = [UNKNOWN if u else langs[k] for u, k in zip(unknown.tolist(), best.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(id_col)[lo:hi], pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(pred, pa.string()), pa.array(score), pa.array(letters.astype(np.int64)), *(batch.column(2 + i)[lo:hi] for i in range(len(carried)))], ["doc_id", "lang_pred", "score", "n_letters", *carried])
 
-    return docs.select(id_col, text_col).mapInArrow(lean(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return docs.select(id_col, text_col, *carried).mapInArrow(lean(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, n_letters long{kinds}")

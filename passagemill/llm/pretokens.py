@@ -48,29 +48,55 @@ def code_point_classes(path: str) -> np.ndarray:
     return classes
 
 
-_ALNUM = np.zeros(256, bool)
-_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: ASCII signs before which a word may be cut off: no contraction and no special string begins or goes on with one.
+_PLAIN_SIGNS = [ord(c) for c in ".,;:!?()\""]
+#: Bytes that are decoded at a time in search of a cut.
+_WINDOW = 1 << 14
 
 
-def safe_pieces(data: np.ndarray, at: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
-    """Cuts about every ``size`` bytes, at row starts or before a single space between ASCII letters or digits.
+def _cuts(part: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Bytes of ``part``, which begins with a character, at which no pre-token goes on: ascending, none at its start.
 
-    No pre-token crosses such a place, since a space begins the pre-token of the word after it.
+    Such places are before white space that follows something else, and between a letter or number and a sign.
+    """
+    cp = np.frombuffer(part.tobytes().decode("utf-8", "ignore").encode("utf-32-le"), np.uint32)
+    kind = classes[cp]
+    at = np.cumsum(1 + (cp > 0x7F).astype(np.int64) + (cp > 0x7FF) + (cp > 0xFFFF))[:-1]
+    before, after, sign = kind[:-1], kind[1:], cp[1:]
+    word = (before == LETTER) | (before == NUMBER)
+    return at[((after == SPACE) & (before != SPACE)) | (word & (after == OTHER) & ((sign > 0x7F) | np.isin(sign, _PLAIN_SIGNS)))]
+
+
+def safe_pieces(data: np.ndarray, at: np.ndarray, classes: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Cuts about every ``size`` bytes, at row starts or at places that no pre-token crosses, in any script.
+
+    The last such place of a window before the wanted size is taken, else the first one after it; every byte is looked
+    at a few times at most. What is longer is one pre-token, or white space.
     """
     lo, n = 0, len(data)
 
-    def cut_in(a: int, b: int) -> int:
-        """The last possible cut in (a, b], or a."""
-        rows = at[np.searchsorted(at, b, "right") - 1]
-        part = data[a : min(n, b + 1)]
-        spaces = np.flatnonzero((part[1:-1] == 0x20) & _ALNUM[part[:-2]] & _ALNUM[part[2:]])
-        return max(a, int(rows), a + 1 + int(spaces[-1]) if len(spaces) else a)
+    def first_byte(i: int) -> int:
+        """The start of the character at i."""
+        while 0 < i < n and data[i] & 0xC0 == 0x80:
+            i -= 1
+        return i
 
     while lo < n:
-        hi = lo + size
-        while hi < n and (cut := cut_in(lo, hi)) == lo:
-            hi += size
-        hi = n if hi >= n else cut
+        goal = lo + size
+        if goal >= n:
+            hi = n
+        else:
+            row = int(at[np.searchsorted(at, goal, "right") - 1])
+            a, b = first_byte(max(lo, goal - _WINDOW)), first_byte(goal)
+            found = _cuts(data[a:b], classes)
+            hi = max(row, a + int(found[-1]) if len(found) else lo)
+            while hi <= lo:
+                # the window's last character is seen again, with what follows it
+                a, b = first_byte(b - 1), n if b + _WINDOW >= n else first_byte(b + _WINDOW)
+                found = _cuts(data[a:b], classes)
+                hi = min(int(at[np.searchsorted(at, a, "right")]), a + int(found[0]) if len(found) else n)
+                if hi > b:
+                    hi = lo
         yield lo, hi
         lo = hi
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -14,17 +15,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import lean, row_groups, text_rows
-from .shared import materialize
+from .shared import bitmap_of, discard, has_bit, materialize
 
 #: About so many labelled rows of either class are learned from (the documented bound of the sample).
 ROWS_PER_CLASS = 8_000
 #: Entries of the lexicon and of the exception list at most, letters of a stem, and rows that must hold an entry.
 ENTRIES, STEMS, SUPPORT = 2048, (4, 5, 6), 6
+#: Letters of the longest word that is a candidate; longer ones are no words. Bits of the bitmap of candidates (2 MB).
+LONGEST, BITS = 40, 1 << 24
 #: A term enters the lexicon if toxic rows hold it so many times as often as other rows, even after shrinking.
 ODDS = 12.0
 # Letters of other scripts that look like Latin ones, and digits and signs written for letters.
-HOMOGLYPHS = "аaвbеeкkмmнhоoрpсcтtуyхxіiјjѕsԁdɡgαaβbεeιiκkνvοoρpτtυuχx"
-SUBSTITUTES = "0o1i3e4a5s7t8b@a$s!i"
+HOMOGLYPHS = "аaвbеeкkмmнhоoрpсcтtуyхxіiјjѕsԁdɡgԛqԝwһhӏlѵvɑaıiʟlɴnʀrƖlαaβbεeιiκkνvοoρpτtυuχxηnωwγyսuոnօoցgհhաw"
+SUBSTITUTES = "0o1i3e4a5s7t8b9g@a$s!i|l+t"
 
 
 @lru_cache(maxsize=1)
@@ -72,15 +75,15 @@ def _letter_mask() -> np.ndarray:
 
 def _terms(text: str) -> set[str]:
     """Candidates of a folded text: its words, and their beginnings as open stems."""
-    words = set(text.split())
+    words = {w for w in text.split() if len(w) <= LONGEST}
     return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in STEMS if len(w) > k}
 
 
 def _pairs(text: str, hits: set[str]) -> set[str]:
     """Two-word phrases with a word that an entry matches: whole, or by one of its stems."""
-    words = text.split()
+    words = [w if len(w) <= LONGEST else "" for w in text.split()]
     hot = {w for w in set(words) if f" {w} " in hits or any(f" {w[:k]}" in hits for k in STEMS)}
-    return {f" {a} {b} " for a, b in zip(words, words[1:], strict=False) if a in hot or b in hot} if hot else set()
+    return {f" {a} {b} " for a, b in zip(words, words[1:], strict=False) if a and b and (a in hot or b in hot)} if hot else set()
 
 
 class Lexicon:
@@ -136,14 +139,15 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(features @ np.array(w) + bias, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, ...]:
-    """Logistic regression by Newton steps with a small ridge; the last value is the intercept."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, ...]:
+    """Logistic regression of weighted rows by Newton steps with a small ridge; the last value is the intercept."""
     x1 = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x1.shape[1])
     ridge = np.diag([1e-2] * x.shape[1] + [1e-4])
+    weight = weight * len(weight) / weight.sum()  # else the ridge would depend on the share that was drawn
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        step = np.linalg.solve((x1 * (p * (1 - p) + 1e-9)[:, None]).T @ x1 + ridge, x1.T @ (p - y) + ridge @ w)
+        step = np.linalg.solve((x1 * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ x1 + ridge, x1.T @ (weight * (p - y)) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -165,35 +169,41 @@ def _row_counts(rows: DataFrame, make) -> DataFrame:
     return rows.select("text").mapInArrow(lean(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _place(term: str) -> int:
+    return zlib.crc32(term.encode()) % BITS
+
+
 def _of_both(rows: DataFrame, make, frequent_in: int, least: int) -> DataFrame:
     """(term, toxic, other): terms of at least ``least`` rows of one class, with their counts in both.
 
-    The other class is asked for those terms only, which the bound of the sample bounds too.
+    The other class counts only what a bitmap of those terms lets through, and a join tells the rest apart.
     """
     own = materialize(_row_counts(rows.where(F.col("toxic") == frequent_in), make).where(F.col("n") >= least))
-    asked = _broadcast_set(own, "term")
-    rest = _row_counts(rows.where(F.col("toxic") == 1 - frequent_in), lambda text: make(text) & asked.value)
-    both = own.join(rest.withColumnRenamed("n", "m"), "term", "left").na.fill(0, ["m"])
-    return both.select("term", *(F.col("n" if frequent_in == k else "m").alias(name) for k, name in ((1, "toxic"), (0, "other"))))
+    asked = rows.sparkSession.sparkContext.broadcast(bitmap_of(own, F.crc32(F.col("term").cast("binary")) % BITS, BITS))
 
+    def likely(text: str) -> list[str]:
+        found = list(make(text))
+        keep = has_bit(asked.value, np.array([_place(t) for t in found], np.int64))
+        return [t for t, k in zip(found, keep.tolist(), strict=True) if k]
 
-def _broadcast_set(terms: DataFrame, col: str):
-    """The values of a column as a broadcast set."""
-    return terms.sparkSession.sparkContext.broadcast({r[0] for r in terms.select(col).collect()})
+    rest = _row_counts(rows.where(F.col("toxic") == 1 - frequent_in), likely)
+    both = own.join(rest.withColumnRenamed("n", "m"), "term", "left").na.fill(0, ["m"])
+    return both.select("term", *(F.col("n" if frequent_in == k else "m").alias(name) for k, name in ((1, "toxic"), (0, "other"))))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = ROWS_PER_CLASS) -> Lexicon:
     """A lexicon from labelled rows: terms far more frequent in toxic rows, weighted by shrunken log odds.
 
-    About ``rows_per_class`` rows of either class are used, chosen by id hash, so their ids are few enough to broadcast. Terms are whole words and open stems;
-    a term is left out if a shorter entry covers it. Two-word phrases that hold an entry and occur in rows that are
+    About ``rows_per_class`` rows of either class are used, chosen by id hash, so their ids are few enough to broadcast;
+    each stands for as many labelled rows of its class as were left out. Terms are whole words of up to LONGEST letters
+    and open stems; a term is left out if a shorter entry covers it. Two-word phrases that hold an entry and occur in rows that are
     not toxic become exceptions. The score is a logistic fit on three length-normalised features. Rows without label
     or text are not used; with one class only, the score is constant 0.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     share = known.groupBy(F.col("toxic").alias("class")).agg(F.least(F.lit(1.0), F.lit(float(rows_per_class)) / F.count(F.lit(1))).alias("share"))
-    drawn = known.join(share, known.toxic == share["class"]).where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("id", "toxic")
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(drawn), F.col("doc_id") == F.col("id")).select("text", "toxic"))
+    drawn = known.join(share, known.toxic == share["class"]).where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("id", "toxic", (1 / F.col("share")).alias("weight"))
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(drawn), F.col("doc_id") == F.col("id")).select("text", "toxic", "weight"))
     size = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(size) < 2:
         return Lexicon({}, [], (0.0, 0.0, 0.0, -30.0))
@@ -202,10 +212,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     strong = _of_both(rows, _terms, 1, SUPPORT).withColumn("odds", odds).where(F.col("odds") >= ODDS)
     found = strong.orderBy(F.desc(F.col("toxic") * F.log("odds")), "term").limit(ENTRIES).collect()
     weights: dict[str, float] = {}
-    reach = {r.term: r.toxic for r in found}
     for r in sorted(found, key=lambda r: (len(r.term), r.term)):
-        parent = next((r.term[:k] for k in range(2, len(r.term)) if r.term[:k] in weights), None)
-        if parent is None or reach[parent] < 0:
+        if not any(r.term[:k] in weights for k in range(2, len(r.term))):
             weights[r.term] = float(np.log(r.odds))
     hits = set(weights)
     phrases = _of_both(rows, lambda text: _pairs(text, hits), 0, 3).where(F.col("toxic") * n0 < F.col("other") * n1).orderBy(F.desc("other"), "term").limit(ENTRIES)
@@ -217,11 +225,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             data, at = text_rows(batch, "text")
             for lo, hi in row_groups(at, 1 << 20):
                 x = np.array([shared.value.features(t) for t in folded_rows(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])])
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(3)), batch.column("toxic")[lo:hi].cast(pa.int32())], ["a", "b", "c", "toxic"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(3)), batch.column("toxic")[lo:hi], batch.column("weight")[lo:hi]], ["a", "b", "c", "toxic", "weight"])
 
-    fit = rows.mapInArrow(lean(measure), "a double, b double, c double, toxic int").toPandas()  # within the bound of the sample
+    fit = rows.mapInArrow(lean(measure), "a double, b double, c double, toxic int, weight double").toPandas()  # within the bound of the sample
     # rows of either class count as often as they do among all labelled rows
-    lexicon.calibration = _logistic(fit[["a", "b", "c"]].to_numpy(), fit["toxic"].to_numpy(float))
+    lexicon.calibration = _logistic(fit[["a", "b", "c"]].to_numpy(), fit["toxic"].to_numpy(float), fit["weight"].to_numpy())
+    discard(rows)
     return lexicon
 
 
