@@ -7,17 +7,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import ALNUM_WORDS, gram_hashes, lean, row_groups, take_ranges, text_rows, word_hashes
-from .shared import materialize
+from .shared import BITMAP_BITS, bitmap_of, has_bit, materialize
 
 #: Words of a window, of a fingerprint's gram, and grams of which the least is kept: 8 + 6 - 1 = 13, so any shared run
 #: of 13 words holds one whole run of 6 grams and with it a fingerprint that both sides keep.
 WINDOW, GRAM, KEEP = 13, 8, 6
-#: A test set of up to so many words is broadcast (about 40 bytes a word); a larger one is joined by a shuffle.
-BROADCAST_WORDS = 2_000_000
+#: A test set of up to so many windows and item names of so many bytes is broadcast, in arrays of about 30 bytes a window
+#: besides the names; a larger one is joined by a shuffle.
+BROADCAST_WORDS, BROADCAST_NAMES = 1_000_000, 1 << 24
 
 
 def winnow(grams: np.ndarray, first: np.ndarray, words: int) -> np.ndarray:
@@ -49,16 +51,26 @@ def winnow(grams: np.ndarray, first: np.ndarray, words: int) -> np.ndarray:
 class TestSet:
     """Fingerprints, window hashes and the items of each window; sorted arrays."""
 
-    def __init__(self, windows: list[tuple[int, int, str]], fingerprints: np.ndarray) -> None:
-        """windows: (number of words, hash, item id) of each window of each item."""
-        self.fingerprints = np.unique(fingerprints)
-        self.items = sorted({i for _, _, i in windows})
-        number = {i: k for k, i in enumerate(self.items)}
+    def __init__(self, windows: pa.Table) -> None:
+        """windows(item_id, m, hash, is_print) in any order."""
+        names = windows["item_id"].combine_chunks().dictionary_encode()
+        order = pc.sort_indices(names.dictionary)
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        self.items = names.dictionary.take(order)
+        item = place[names.indices.to_numpy()] if len(place) else np.empty(0, np.int64)
+        m, keys = windows["m"].to_numpy(), windows["hash"].to_numpy().view(np.uint64)
+        is_print = windows["is_print"].to_numpy().astype(bool)
+        self.fingerprints = np.unique(keys[is_print])
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for m in {m for m, _, _ in windows}:
-            rows = np.array(sorted({(h, number[i]) for k, h, i in windows if k == m}), np.uint64).reshape(-1, 2)
-            keys, at = np.unique(rows[:, 0], return_index=True)
-            self.by_length[m] = keys, np.append(at, len(rows)), rows[:, 1].astype(np.int64)
+        for length in np.unique(m[~is_print]).tolist():
+            some = ~is_print & (m == length)
+            rows = np.unique(np.rec.fromarrays([keys[some], item[some]], names="key,item"))
+            own, at = np.unique(rows["key"], return_index=True)
+            self.by_length[length] = own, np.append(at, len(rows)), rows["item"].copy()
+
+    def name(self, item: int) -> str:
+        return self.items[item].as_py()
 
 
 def _member(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +153,7 @@ def _by_broadcast(docs: DataFrame, tests: TestSet) -> DataFrame:
                 n_hit = _found_rows((np.cumsum(covered)[:-1] > 0).astype(np.int64), first)
                 found: dict[int, set[str]] = {}
                 for r, i in hits:
-                    found.setdefault(r, set()).add(known.items[i])
+                    found.setdefault(r, set()).add(known.name(i))
                 n_words = np.diff(first)
                 names = [found.get(r, ()) for r in range(hi - lo)]
                 none = _digest([])
@@ -153,46 +165,50 @@ def _by_broadcast(docs: DataFrame, tests: TestSet) -> DataFrame:
     return docs.mapInArrow(lean(run), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def _by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """The same over shuffles: fingerprints meet, then the windows around them, then spans are united by row."""
-    short = [r.m for r in windows.where(f"not is_print and m < {WINDOW}").select("m").distinct().collect()]  # 12 at most
-    rows = materialize(docs.withColumn("row", F.monotonically_increasing_id()))
+def _by_join(docs: DataFrame, windows: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
+    """The same over shuffles. A bitmap of the windows' hashes, of a fixed size, lets few other places through.
+
+    One pass writes each row's number of words and the places where a window may stand; only those are joined with the
+    test set, and no text moves.
+    """
+    tests = materialize(windows.where("not is_print").select("m", "hash", "item_id").distinct())
+    lengths = sorted(r.m for r in tests.select("m").distinct().collect())  # WINDOW at most
+    sieve = lambda kind: docs.sparkSession.sparkContext.broadcast(bitmap_of(windows.where(kind), F.pmod("hash", F.lit(bits)), bits))
+    prints, wanted = sieve("is_print"), sieve("not is_print")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe = lambda bitmap, hashes: has_bit(bitmap.value, hashes.view(np.int64) % bits)
         for batch in batches:
             data, at = text_rows(batch, "text")
-            names = np.array(batch.column("row"))
             for lo, hi in row_groups(at):
                 words, first = word_hashes(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], ALNUM_WORDS)
-                small = gram_hashes(words, GRAM)
-                kept = winnow(small, first, len(words))
-                starts, gram = _near_windows(kept, first)
-                long = gram_hashes(words, WINDOW)
-                found = [(starts, np.full(len(starts), WINDOW), small[kept[gram]], long[starts])]
-                for m in short:
-                    starts = take_ranges(np.arange(len(words) + 1), first[:-1], np.maximum(np.diff(first) - m + 1, 0))
-                    grams = gram_hashes(words, m)[starts]
-                    found.append((starts, np.full(len(starts), m), grams, grams))
-                starts, m, prints, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
+                found = []
+                for m in lengths:
+                    grams = gram_hashes(words, m)
+                    if m == WINDOW:
+                        small = gram_hashes(words, GRAM)
+                        kept = winnow(small, first, len(words))
+                        starts = np.unique(_near_windows(kept[maybe(prints, small[kept])], first)[0])
+                    else:
+                        starts = take_ranges(np.arange(len(words) + 1), first[:-1], np.maximum(np.diff(first) - m + 1, 0))
+                    starts = starts[maybe(wanted, grams[starts])]
+                    found.append((starts, np.full(len(starts), m), grams[starts]))
+                starts, m, hashes = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+                order = np.argsort(starts, kind="stable")
+                starts, m, hashes = starts[order], m[order], hashes[order]
                 row = np.searchsorted(first, starts, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(names[lo + row]), pa.array(starts - first[row]), pa.array(m.astype(np.int32)), pa.array(prints.view(np.int64)), pa.array(hashes.view(np.int64))], ["row", "start", "m", "print", "hash"])
+                spots = pa.StructArray.from_arrays([pa.array(starts - first[row], pa.int64()), pa.array(m.astype(np.int32)), pa.array(hashes.view(np.int64))], ["start", "m", "hash"])
+                cut = np.searchsorted(row, np.arange(hi - lo + 1))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), spots)], ["doc_id", "n_words", "spots"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = text_rows(batch, "text")
-            for lo, hi in row_groups(at):
-                _, first = word_hashes(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], ALNUM_WORDS)
-                yield pa.RecordBatch.from_arrays([batch.column("row")[lo:hi], batch.column("doc_id")[lo:hi], pa.array(np.diff(first))], ["row", "doc_id", "n_words"])
-
-    spans = rows.select("row", "text").mapInArrow(lean(run), "row long, start long, m int, print long, hash long")
-    prints = windows.where("is_print").select(F.col("hash").alias("print")).union(windows.where(f"not is_print and m < {WINDOW}").select("hash")).distinct()
-    tests = windows.where("not is_print").select("m", "hash", "item_id").distinct()
-    hits = materialize(spans.join(prints, "print", "left_semi").join(tests, ["m", "hash"]).select("row", "start", "m", "item_id").distinct())
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    looked = docs.mapInArrow(lean(run), f"doc_id {kind}, n_words long, spots array<struct<start:long,m:int,hash:long>>")
+    looked = materialize(looked.withColumn("row", F.monotonically_increasing_id()))
+    places = looked.select("row", F.explode("spots").alias("p")).select("row", "p.start", "p.m", "p.hash")
+    hits = materialize(places.join(tests, ["m", "hash"]).select("row", "start", "m", "item_id"))
     spots = hits.select("row", F.explode(F.sequence("start", F.col("start") + F.col("m") - 1)).alias("word")).distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
     items = hits.select("row", "item_id").distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item_id")), ","), 256).alias("items_sha256"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    counts = rows.mapInArrow(lean(count), f"row long, doc_id {kind}, n_words long")
-    whole = counts.join(spots, "row", "left").join(items, "row", "left")
+    whole = looked.select("row", "doc_id", "n_words").join(spots, "row", "left").join(items, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return whole.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.lit(_digest([]))).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
@@ -203,17 +219,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Windows of 13 words (or a whole shorter item) of the benchmark are looked for in every text: winnowed fingerprints
     of 8-word grams find the places, then the windows around them are compared by the hash of all their words. For
     each length of shorter items that occurs, every gram of that length is a fingerprint. A benchmark of up to
-    ``broadcast_words`` words (counted first) is broadcast; a larger one is joined by shuffles.
+    ``broadcast_words`` windows (counted first, with the bytes of their items' names) is broadcast; a larger one is joined by shuffles.
 
     Null and empty texts: no words, not contaminated. Items without words or id match nothing. Repeated rows: one
     result row each; repeated items count once. Long texts are hashed in pieces. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     windows = materialize(_item_windows(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))))
-    if windows.count() <= broadcast_words:
-        # within the bound just checked
-        rows = windows.collect()
-        mask = (1 << 64) - 1
-        prints = np.array([r["hash"] & mask for r in rows if r.is_print], np.uint64)
-        return _by_broadcast(docs, TestSet([(r.m, r["hash"] & mask, r.item_id) for r in rows if not r.is_print], prints))
+    size = windows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("item_id")).alias("names")).first()
+    if size.n <= broadcast_words and (size.names or 0) <= BROADCAST_NAMES:
+        return _by_broadcast(docs, TestSet(windows.toArrow()))  # within the bounds just checked
     return _by_join(docs, windows)
