@@ -94,17 +94,21 @@ def path_template(path: Column) -> Column:
 
 
 # Sentence ends, list and article markers of the label-set tools.
-SENTENCE_END = "[。；！？.;!?]"
+SENTENCE_ENDS = "。；！？"
 MARKER = r"^(?:第[一二三四五六七八九十百]+条(?:\s*第[一二三四五六七八九十百]+条)*|（[一二三四五六七八九十]+）|\d+[.、])"
-LINE_GOES_ON = r"(?<![。；！？：.;!?:])\n(?!\s*(?:第[一二三四五六七八九十百]+条|（[一二三四五六七八九十]+）|\d+\.))"
+ITEM_START = r"(?!\s*(?:第[一二三四五六七八九十百]+条|（[一二三四五六七八九十]+）|\d+\.))"
 
 
-def sentences(text: Column, join_lines_with: str = "") -> Column:
-    """Sentences after broken lines are joined again, without leading markers or blanks, none empty. [H15]"""
-    joined = F.regexp_replace(text, LINE_GOES_ON, join_lines_with)
+def sentences(text: Column, join_lines_with: str = "", ends: str = SENTENCE_ENDS) -> Column:
+    """Sentences after broken lines are joined again, without leading markers or blanks, none empty. [H15]
+
+    ``ends``: the characters that end a sentence. A line goes on unless one of them or a colon stands at its end or an
+    item begins the next.
+    """
+    joined = F.regexp_replace(text, rf"(?<![{ends}：])\n{ITEM_START}", join_lines_with)
     blank = f"^{SPACE}+|{SPACE}+$"
     clean = lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(s, blank, ""), MARKER, ""), blank, "")
-    return F.filter(F.transform(F.split(joined, SENTENCE_END), clean), lambda s: s != "")
+    return F.filter(F.transform(F.split(joined, f"[{ends}]"), clean), lambda s: s != "")
 
 
 def without_titles(question: Column) -> Column:

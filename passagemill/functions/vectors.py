@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import features
@@ -47,3 +53,37 @@ def cosine(a: Column, b: Column) -> Column:
     checked = F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors of different dimension"))).otherwise(dot(a, b))
     size = norm(a) * norm(b)
     return F.when(size == 0, 0.0).otherwise(checked / size)
+
+
+_WORDS, _RUNS = re.compile("[a-z0-9_]+"), re.compile("[一-鿿]+")
+_places: dict[tuple[str, int], tuple[int, int]] = {}
+
+
+def _place(feature: str, dimensions: int) -> tuple[int, int]:
+    """Place and sign of a feature, kept by the worker."""
+    found = _places.get((feature, dimensions))
+    if found is None:
+        if len(_places) > 1 << 18:
+            _places.clear()
+        digest = hashlib.sha256(feature.encode()).digest()
+        found = _places[feature, dimensions] = int.from_bytes(digest[:4], "big") % dimensions, 1 if digest[4] & 1 else -1
+    return found
+
+
+def hashed_texts(rows: DataFrame, key: str, text: str = "text", dimensions: int = 32) -> DataFrame:
+    """(key, vector): ``hash_counts`` of each text, by batches in tasks; the faster form for many texts. [H3]"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((len(batch), dimensions))
+            for row, t in zip(out, batch.column(text).to_pylist(), strict=True):
+                low = (t or "").lower()
+                found = _WORDS.findall(low)
+                for run_ in _RUNS.findall(low):
+                    found += [*run_, *(run_[i : i + 2] for i in range(len(run_) - 1))]
+                for f in found or [low]:
+                    at, sign = _place(f, dimensions)
+                    row[at] += sign
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * dimensions, pa.int32()), pa.array(out.reshape(-1)))], [key, "vector"])
+
+    return rows.select(key, text).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, vector array<double>")

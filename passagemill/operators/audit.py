@@ -2,32 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagemill.functions.text import bigram_overlap, sentences, unsupported_numbers, without_space
+from passagemill.functions.text import SENTENCE_ENDS, bigram_overlap, sentences, unsupported_numbers, without_space
 
 from .containment import containing
 
 # Marks of definitions, boilerplate sentences and boilerplate questions.
-DEFINITION = "所称|是指|means|refers to"
-BOILERPLATE = "施行|现予公布|废止|自20|自发布之日起|本通知|特此|[Cc]opyright|[Ll]icensed under|All rights reserved"
+DEFINITION = "所称|是指|本办法所称"
+BOILERPLATE = "施行|现予公布|废止|自20|自发布之日起|本通知|特此"
 BOILERPLATE_QUESTION = "生效|施行|发布日期|公布日期|发布之日"
 
 
-def shared_sentences(pages: DataFrame, shortest: int = 15, longest: int = 200, join_lines_with: str = "") -> DataFrame:
+def shared_sentences(pages: DataFrame, shortest: int = 15, longest: int = 200, join_lines_with: str = "", ends: str = SENTENCE_ENDS, boilerplate: str = BOILERPLATE, definition: str = DEFINITION) -> DataFrame:
     """(key, sentence, documents, definitional): sentences that occur in more than one document. [L6 E7 H15]
 
-    pages(document_id, page, text). Sentences are equal without white space; the wording shown is the first one in
+    pages(document_id, page, text); ``boilerplate`` and ``definition`` are patterns for the texts' language. Sentences are equal without white space; the wording shown is the first one in
     document and page order. Counted first per (sentence, document), so that a sentence that every document has is
     added up in tasks and never gathered.
     """
-    each = pages.select("document_id", "page", F.posexplode(sentences(F.col("text"), join_lines_with)).alias("pos", "sentence"))
-    each = each.where(F.length("sentence").between(shortest, longest) & ~F.col("sentence").rlike(BOILERPLATE))
+    each = pages.select("document_id", "page", F.posexplode(sentences(F.col("text"), join_lines_with, ends)).alias("pos", "sentence"))
+    each = each.where(F.length("sentence").between(shortest, longest) & ~F.col("sentence").rlike(boilerplate))
     each = each.withColumn("key", F.md5(without_space(F.col("sentence"))))
     per = each.groupBy("key", "document_id").agg(F.min(F.struct("document_id", "page", "pos", "sentence")).alias("first"))
     out = per.groupBy("key").agg(F.count(F.lit(1)).alias("documents"), F.min("first").alias("first")).where("documents > 1")
-    return out.select("key", F.col("first.sentence").alias("sentence"), "documents", F.col("first.sentence").rlike(DEFINITION).alias("definitional"))
+    return out.select("key", F.col("first.sentence").alias("sentence"), "documents", F.col("first.sentence").rlike(definition).alias("definitional"))
 
 
 def quote_audit(examples: DataFrame, pages: DataFrame) -> DataFrame:
@@ -166,3 +168,36 @@ def label_rejects(examples: DataFrame) -> DataFrame:
         .when(has & (hops > 0) & (F.get("evidence", F.lit(0))["document_id"] != F.col("document_id")), "primary_is_not_first_hop")
     )
     return examples.select("example_id", reason.alias("reason")).where("reason is not null")
+
+
+def generated_set_audit(examples: DataFrame, pages: DataFrame, titles: DataFrame, comparison: DataFrame) -> DataFrame:
+    """(section, item, value): everything known against a generated label set, as one table. [L5]
+
+    examples, comparison(example_id, question, category, mode, should_refuse, hops array<struct<document_id, page,
+    quote>>), pages(document_id, page, text), titles(title). Hops are verified where they claim to be; questions must
+    not name a document; the overlap with the first quote is given for both sets. Sections without rows are left out.
+    """
+    hops = examples.select("example_id", F.posexplode("hops").alias("at", "h")).select(F.concat_ws("#", F.col("example_id").cast("string"), F.col("at").cast("string")).alias("example_id"), "h.document_id", "h.page", "h.quote", F.lit("").alias("answer"))
+    checked = quote_audit(hops, pages).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    last = pages.groupBy("document_id").agg(F.max("page").alias("pages"))
+    leaks = title_leaks(examples.select(F.col("example_id").alias("question_id"), "question"), titles)
+    twice = examples.groupBy("question").agg(F.count(F.lit(1)).alias("c"))
+    row = lambda d, section, item, value: d.select(F.lit(section).alias("section"), item.cast("string").alias("item"), value.cast("double").alias("value"))
+    count = F.count(F.lit(1))
+    out = [
+        row(examples.agg(count.alias("n")), "examples", F.lit("all"), F.col("n")),
+        row(examples.agg(F.count_if("should_refuse").alias("n")), "examples", F.lit("refusals"), F.col("n")),
+        row(examples.agg(F.count_if(F.size("hops") > 1).alias("n")), "examples", F.lit("multiple_hops"), F.col("n")),
+        row(twice.agg(count.alias("n")), "questions", F.lit("unique"), F.col("n")),
+        row(twice.agg(F.count_if(F.col("c") > 1).alias("n")), "questions", F.lit("duplicated"), F.col("n")),
+        row(leaks.agg(count.alias("n")), "questions", F.lit("naming_a_document"), F.col("n")),
+        row(examples.groupBy("category").agg(count.alias("n")), "categories", F.col("category"), F.col("n")),
+        row(examples.where(~F.col("should_refuse")).groupBy("mode").agg(count.alias("n")), "modes", F.col("mode"), F.col("n")),
+        row(checked, "hops", F.col("outcome"), F.col("n")),
+        row(hops.join(last, "document_id").where(F.col("page") > F.col("pages")).agg(count.alias("n")), "hops", F.lit("page_out_of_range"), F.col("n")),
+    ]
+    for name, rows in (("overlap", examples), ("overlap_of_comparison", comparison)):
+        first = rows.where(F.size("hops") > 0).select("question", F.get("hops", F.lit(0))["quote"].alias("quote"))
+        one = overlap_summary(first).where("n > 0").select(F.explode(F.array(*(F.struct(F.lit(c).alias("item"), F.col(c).alias("value")) for c in ("median", "p90", "largest")))).alias("x"))
+        out.append(row(one, name, F.col("x.item"), F.col("x.value")))
+    return reduce(DataFrame.unionByName, out)

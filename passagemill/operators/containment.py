@@ -9,55 +9,78 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagemill.functions.bitmaps import bitmap_of, has_bit
 from passagemill.functions.text import without_space
+from passagemill.sources.scratch import materialize
 
-#: Bytes of a gram, and one of how many grams is sampled by its hash.
-GRAM, EVERY = 16, 16
+#: Bytes of a gram: the largest that a quote can hold is used for it. Grams of a quote that stand for it by choice.
+GRAMS, CHOICES = (32, 16, 8, 4, 2, 1), 4
+#: Bits of the bitmap of all chosen grams: 16 MB.
+BITS = 1 << 27
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-def _sampled(raw: bytes) -> np.ndarray:
-    """Distinct hashes of the sampled byte grams of one text; the same content is sampled alike in any text."""
-    found = [np.empty(0, np.uint64)]
-    for lo in range(0, max(0, len(raw) - GRAM + 1), 1 << 20):
-        part = np.frombuffer(raw[lo : lo + (1 << 20) + GRAM - 1], np.uint8).astype(np.uint64) + np.uint64(1)
-        up, down = np.full(len(part) + 1, _BASE), np.full(len(part) + 1, _INVERSE)
-        up[0] = down[0] = 1
-        up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(part * up[:-1])])
-        h = (total[GRAM:] - total[:-GRAM]) * down[: len(total) - GRAM]
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+
+
+def _gram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k bytes; the same bytes have the same hash anywhere."""
+    h = np.zeros(max(0, len(raw) - k + 1), np.uint64)
+    for i in range(k if len(h) else 0):
+        h = h * _BASE + raw[i : len(raw) - k + 1 + i] + np.uint64(k)
         h ^= h >> np.uint64(29)
-        found.append(np.unique(h[h % np.uint64(EVERY) == 0]))
-    return np.unique(np.concatenate(found))
+    return (h * np.uint64(0x94D049BB133111EB)) ^ (h >> np.uint64(31))
+
+
+def _chosen(rows: DataFrame) -> DataFrame:
+    """(quote_id, k, gram): evenly spread grams of each quote."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, size, gram = [], [], []
+            for i, q in enumerate(batch.column("q").to_pylist()):
+                raw = np.frombuffer(q.encode(), np.uint8).astype(np.uint64)
+                k = next(k for k in GRAMS if k <= len(raw))
+                hashes = _gram_hashes(raw, k)
+                some = np.unique(hashes[np.linspace(0, len(hashes) - 1, CHOICES).astype(np.int64)])
+                row += [i] * len(some)
+                size += [k] * len(some)
+                gram.append(some)
+            flat = np.concatenate(gram).view(np.int64) if gram else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("quote_id").take(pa.array(row, pa.int64())), pa.array(size, pa.int32()), pa.array(flat)], ["quote_id", "k", "gram"])
+
+    return rows.mapInArrow(run, f"quote_id {rows.schema['quote_id'].dataType.simpleString()}, k int, gram long")
 
 
-def sampled_grams(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, gram): one row for each sampled gram of each text, about a sixteenth of its bytes."""
+def _occurring(rows: DataFrame, sizes: list[int], wanted: np.ndarray) -> DataFrame:
+    """(text_id, gram): the distinct grams of each text that the bitmap lets through."""
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [_sampled((t or "").encode()) for t in batch.column(text).to_pylist()]
-            n = np.array([len(g) for g in grams], np.int64)
-            flat = np.concatenate(grams).view(np.int64) if len(grams) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(np.repeat(np.arange(len(grams)), n))), pa.array(flat)], [key, "gram"])
+            n, found = [], [np.empty(0, np.uint64)]
+            for t in batch.column("t").to_pylist():
+                raw = np.frombuffer((t or "").encode(), np.uint8).astype(np.uint64)
+                own = np.concatenate([np.empty(0, np.uint64), *(h[has_bit(shared.value, h % np.uint64(BITS))] for h in (_gram_hashes(raw, k) for k in sizes if k <= len(raw)))])
+                found.append(np.unique(own))
+                n.append(len(found[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column("text_id").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.concatenate(found).view(np.int64))], ["text_id", "gram"])
 
-    return rows.select(key, text).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, gram long")
+    return rows.mapInArrow(run, f"text_id {rows.schema['text_id'].dataType.simpleString()}, gram long")
 
 
 def containing(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     """(quote_id, text_id) for each text that contains a quote, both without white space.
 
-    quotes(quote_id, quote), texts(text_id, text). A quote is looked up by its rarest sampled gram among the quotes'
-    own (one row each, so nothing multiplies on that side), then checked by ``contains``. The few quotes too short to
-    have a sampled gram are compared with every text: an exact way for the rest. Blank quotes match nothing.
+    quotes(quote_id, quote), texts(text_id, text). A few grams of every quote, of a length after its own, are looked
+    for at every place of the texts behind a bitmap of fixed size; the one that the fewest texts hold leads from the
+    quote to texts, and ``contains`` decides. Short quotes have short grams, so none is compared with every text. Blank
+    quotes match nothing.
     """
     q = quotes.select("quote_id", without_space(F.col("quote")).alias("q")).where("q <> ''")
     t = texts.select("text_id", without_space(F.col("text")).alias("t"))
-    anchors = sampled_grams(q, "quote_id", "q").groupBy("quote_id").agg(F.min("gram").alias("gram"))
-    spots = sampled_grams(t, "text_id", "t").join(anchors, "gram").select("quote_id", "text_id").distinct()
-    found = spots.join(q, "quote_id").join(t, "text_id").where(F.contains("t", F.col("q"))).select("quote_id", "text_id")
-    short = q.join(anchors, "quote_id", "left_anti")
-    rest = t.join(short, F.contains(t.t, short.q)).select("quote_id", "text_id")
-    return found.unionByName(rest).distinct()
+    grams = materialize(_chosen(q))
+    sizes = sorted(r.k for r in grams.select("k").distinct().collect())  # as many as GRAMS at most
+    spots = materialize(_occurring(t, sizes, bitmap_of(grams, F.pmod("gram", F.lit(BITS)), BITS)))
+    texts_of = spots.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = grams.join(texts_of, "gram", "left").groupBy("quote_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "gram")).alias("x"))
+    anchors = rarest.where("x.n > 0").select("quote_id", "x.gram")
+    near = spots.join(anchors, "gram").select("quote_id", "text_id").distinct()
+    return near.join(q, "quote_id").join(t, "text_id").where(F.contains("t", F.col("q"))).select("quote_id", "text_id").distinct()

@@ -78,11 +78,17 @@ def corpus_totals(chunks: DataFrame, by: str = "kb_id") -> DataFrame:
 
 
 def corpus_fingerprint(chunks: DataFrame, by: str = "kb_id") -> DataFrame:
-    """One digest for each group, independent of row order: per document first, so no row holds a whole corpus. [D23]"""
+    """One digest for each group, independent of row order: a tree over the digests of documents. [D23]
+
+    Documents are put together by the first six hex digits of their digests, those groups by the first four, then two,
+    then all, so that even of ten billion documents no row lists more than some hundreds.
+    """
     one = F.sha2(F.concat_ws("\x1f", "chunk_id", F.coalesce("version", F.lit("")), "text"), 256)
-    per = chunks.groupBy(by, "document_id").agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list(one))), 256).alias("digest"))
-    parts = per.groupBy(by, F.substring("digest", 1, 2).alias("part")).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("digest"))), 256).alias("digest"))
-    return parts.groupBy(by).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list(F.concat("part", "digest")))), 256).alias("fingerprint"))
+    digest = lambda c: F.sha2(F.concat_ws("", F.array_sort(F.collect_list(c))), 256)
+    level = chunks.groupBy(by, "document_id").agg(digest(one).alias("name")).select(by, "name", F.lit("").alias("digest"))
+    for length in (6, 4, 2, 0):
+        level = level.groupBy(by, F.substring("name", 1, length).alias("part")).agg(digest(F.concat("name", "digest")).alias("digest")).withColumnRenamed("part", "name")
+    return level.select(by, F.col("digest").alias("fingerprint"))
 
 
 def replace_documents(table: DataFrame, changed: DataFrame, removed: DataFrame | None = None, key: str = "document_id") -> DataFrame:

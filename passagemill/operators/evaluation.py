@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.functions import metrics as M
-from passagemill.functions.text import without_space
+from passagemill.functions.text import without_space, without_titles
 
 
 def targets(examples: DataFrame) -> DataFrame:
@@ -143,15 +144,66 @@ def passage_positions(rows: DataFrame, group: tuple[str, ...] = ("config",)) ->
 def random_draw(examples: DataFrame, draws: int = 5) -> DataFrame:
     """examples plus ``hit``: the chance that a random draw of chunks holds the targets. [I18]
 
-    examples(…, mode, counts array<long> of chunks for each target, total long). Inclusion and exclusion over the
-    subsets of the targets, each a bit mask; the chance to miss a subset of n chunks is a product of ``draws`` ratios.
-    Whether a target that is listed twice counts twice is up to the counts that come in.
+    examples(…, mode, counts array<long> of chunks for each target, total long). Inclusion and exclusion: subsets of
+    targets are counted by the number of chunks they have together, with the sign of their size, so that the work is
+    bounded by targets times chunks of the targets. Whether a target that is listed twice counts twice is up to the
+    counts that come in.
     """
-    size = F.size("counts")
-    mask_sum = lambda s: F.aggregate(F.transform("counts", lambda c, i: F.when(F.call_function("getbit", s, i) == 1, c).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
-    miss = lambda n: F.aggregate(F.sequence(F.lit(0), F.lit(draws - 1)), F.lit(1.0), lambda p, j: p * F.greatest(F.lit(0.0), (F.col("total") - n - j) / (F.col("total") - j)))
-    subsets = F.transform(F.sequence(F.lit(1), F.pow(F.lit(2), size).cast("int") - 1), lambda s: F.struct(F.bit_count(s).alias("k"), mask_sum(s).alias("n")))
-    signed = F.aggregate(F.filter(subsets, lambda x: x["n"] <= F.col("total")), F.lit(0.0), lambda a, x: a + F.when(x["k"] % 2 == 1, miss(x["n"])).otherwise(-miss(x["n"])))
-    none_hit = miss(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))
-    chance = F.when(F.col("mode") == "any", 1 - none_hit).otherwise(1 - signed)
-    return examples.withColumn("hit", F.when(F.col("total") < draws, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), chance))))
+
+    def one(counts, total: int, any_target: bool) -> float:
+        if total < draws:
+            return 0.0
+
+        def miss(n: int) -> float:
+            p = 1.0
+            for j in range(draws):
+                p *= max(0.0, (total - n - j) / (total - j))
+            return p
+
+        if any_target:
+            return min(1.0, max(0.0, 1.0 - miss(sum(counts))))
+        signed = {0: 1}
+        for c in counts:
+            for n, times in list(signed.items()):
+                if n + c <= total - draws:  # beyond, every draw hits
+                    signed[n + c] = signed.get(n + c, 0) - times
+        return min(1.0, max(0.0, sum(times * miss(n) for n, times in signed.items())))
+
+    @F.pandas_udf("double")
+    def chance(counts: pd.Series, total: pd.Series, mode: pd.Series) -> pd.Series:
+        return pd.Series([one([int(x) for x in c], int(t), m == "any") for c, t, m in zip(counts, total, mode, strict=True)], dtype=float)
+
+    return examples.withColumn("hit", chance("counts", "total", F.coalesce("mode", F.lit("all"))))
+
+
+def difficulty_delta(asked: DataFrame, measure, titles_out=None) -> DataFrame:
+    """(metric, original, without_titles, delta, changed): what retrieval loses when questions don't name their document. [I21 H18]
+
+    asked(query_id, text); measure(questions) → (example_id, metric, value) of a retrieval run; titles_out(Column) →
+    Column takes the title out (bracketed titles by default). ``changed``: questions whose wording changed.
+    """
+    bare = asked.withColumn("bare", (titles_out or without_titles)(F.col("text")))
+    changed = bare.agg(F.count_if(F.col("bare") != F.col("text")).alias("changed"))
+    mean = lambda d, name: d.groupBy("metric").agg(F.avg("value").alias(name))
+    both = mean(measure(asked), "original").join(mean(measure(bare.select("query_id", F.col("bare").alias("text"))), "without_titles"), "metric", "full_outer")
+    shown = both.select("metric", F.round("original", 6).alias("original"), F.round("without_titles", 6).alias("without_titles"), F.round(F.col("without_titles") - F.col("original"), 6).alias("delta"))
+    return shown.crossJoin(F.broadcast(changed))  # one row
+
+
+def export_rows(examples: DataFrame, lists: DataFrame, long: DataFrame, latency: DataFrame, key: str = "example_id") -> DataFrame:
+    """One row for each example, so that every mean can be traced to its questions; passages without their text. [I17]
+
+    examples(key, question, category, should_refuse, mode, hops), lists(key, retrieved), long(key, metric, value),
+    latency(key, latency_ms).
+    """
+    shown = ["recall_at_1", "recall_at_3", "recall_at_5", "all_targets_at_5", "any_target_at_5", "page_hit", "passage_hit", "passage_mrr"]
+    wide = long.groupBy(key).pivot("metric", shown).agg(F.first("value"))
+    none = F.array().cast(lists.schema["retrieved"].dataType)
+    d = examples.join(lists, key, "left").join(wide, key, "left").join(latency, key, "left").withColumn("retrieved", F.coalesce("retrieved", none))
+    sources = F.array_distinct(F.transform("hops", lambda h: h["document_id"]))
+    return d.select(
+        key, "question", "category", F.get("hops", F.lit(0))["document_id"].alias("source"), sources.alias("sources"), F.col("mode").alias("evidence_mode"), "should_refuse",
+        F.get("hops", F.lit(0))["page"].alias("expected_page"), *shown[:6], (F.size("retrieved") > 0).alias("retrieved_something"), (F.col("passage_hit") > 0).alias("quote_hit"), "passage_mrr",
+        F.round(F.coalesce(F.array_max(F.transform("retrieved", lambda r: r["score"])), F.lit(0.0)), 4).alias("top_score"), F.round("latency_ms", 1).alias("latency_ms"),
+        F.transform("retrieved", lambda r: F.struct(r["document_id"].alias("document_id"), r["page"].alias("page"), F.round(r["score"], 4).alias("score"))).alias("retrieved"),
+    )

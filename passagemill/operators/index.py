@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.functions.text import tokens
+from passagemill.sources.scratch import materialize
 
 K1, B = 1.5, 0.75
 
@@ -32,16 +33,38 @@ class Index:
         return Index(postings, spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/corpus"))
 
 
+def tokenised(chunks: DataFrame, scope: Column | None = None) -> DataFrame:
+    """(scope, chunk_id, dl, tf array<struct<term, tf>>): each chunk's tokens, counted within its row. [D1]
+
+    Equal terms stand side by side once the tokens are sorted, so no token is shuffled.
+    """
+    rows = chunks.select((F.lit("all") if scope is None else scope).cast("string").alias("scope"), "chunk_id", F.array_sort(tokens(F.col("text"))).alias("t"))
+    rows = rows.withColumn("dl", F.size("t"))
+    t, n = F.col("t"), F.col("dl")
+    starts = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+    rows = rows.withColumn("at", starts)
+    counted = F.zip_with("at", F.concat(F.slice("at", F.lit(2), F.greatest(F.size("at"), F.lit(1))), F.array("dl")), lambda a, b: F.struct(F.get(t, a).alias("term"), (b - a).alias("tf")))
+    # without tokens the end stands alone
+    return rows.select("scope", "chunk_id", "dl", F.filter(counted, lambda x: x["tf"].isNotNull()).alias("tf"))
+
+
+def postings_of(rows: DataFrame) -> DataFrame:
+    """(scope, term, chunk_id, tf, dl) of tokenised rows."""
+    return rows.select("scope", "chunk_id", "dl", F.explode("tf").alias("x")).select("scope", "x.term", "chunk_id", "x.tf", "dl")
+
+
 def term_frequencies(chunks: DataFrame, scope: Column | None = None) -> DataFrame:
     """(scope, term, chunk_id, tf, dl). [D1]"""
-    rows = chunks.select((F.lit("all") if scope is None else scope).cast("string").alias("scope"), "chunk_id", tokens(F.col("text")).alias("t"))
-    each = rows.select("scope", "chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return each.groupBy("scope", "chunk_id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")).select("scope", "term", "chunk_id", "tf", "dl")
+    return postings_of(tokenised(chunks, scope))
 
 
 def corpus_stats(chunks: DataFrame, scope: Column | None = None) -> DataFrame:
     """(scope, n, avgdl). [D2]"""
     rows = chunks.select((F.lit("all") if scope is None else scope).cast("string").alias("scope"), F.size(tokens(F.col("text"))).alias("dl"))
+    return _stats(rows)
+
+
+def _stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
@@ -52,6 +75,10 @@ def term_stats(postings: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def build_index(chunks: DataFrame, scope: Column | None = None) -> Index:
-    """Index of chunks(chunk_id, text, ...); statistics are kept for each scope (one row each, so broadcast)."""
-    postings, corpus = term_frequencies(chunks, scope), corpus_stats(chunks, scope)
+    """Index of chunks(chunk_id, text, ...): tokenised once, written, and read for postings and all statistics.
+
+    Statistics are kept for each scope (one row each, so broadcast).
+    """
+    rows = materialize(tokenised(chunks, scope))
+    postings, corpus = postings_of(rows), _stats(rows)
     return Index(postings, term_stats(postings, corpus), corpus)

@@ -6,13 +6,20 @@ a rank: contributions are added as whole numbers of 1e-12.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passagemill.functions.text import collapse_space, terms
-from passagemill.functions.vectors import cosine
+from passagemill.sources.scratch import materialize
 
 from .index import K1, B, Index
 
@@ -62,7 +69,9 @@ def sparse_scores(queries: DataFrame, index: Index) -> DataFrame:
     """
     scope = F.col("scope") if "scope" in queries.columns else F.lit("all")
     asked = queries.select("query_id", scope.alias("scope"), F.explode(terms(F.col("text"))).alias("term"))
-    known = asked.join(index.terms, ["scope", "term"]).join(F.broadcast(index.corpus), "scope").select("query_id", "scope", "term", "idf", "avgdl")
+    # statistics of the asked terms only: the semi join goes below the count of documents
+    stats = index.terms.join(asked.select("scope", "term").distinct(), ["scope", "term"], "left_semi")
+    known = asked.join(stats, ["scope", "term"]).join(F.broadcast(index.corpus), "scope").select("query_id", "scope", "term", "idf", "avgdl")
     hits = index.postings.join(known, ["scope", "term"])
     part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "chunk_id").agg((F.sum(F.round(part * UNIT).cast("long")) / UNIT).alias("score"))
@@ -74,52 +83,116 @@ def sparse_search(queries: DataFrame, index: Index, k: int | None) -> DataFrame:
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int | None, normalized: bool = False, digits: int = 12) -> DataFrame:
-    """The k best vectors of each question by cosine, rounded to ``digits``. [C3 F3 I2]
+    """The k best vectors of each question by cosine, rounded to ``digits``; ties in chunk id order. [C3 F3 I2]
 
-    queries(query_id, vector), vectors(chunk_id, vector). The questions are the stated side: up to BROADCAST_QUERIES
-    of them are broadcast (counted first); more are dealt out in blocks, each joined to all vectors by key. Ranks are
-    cut within tasks before the shuffle. ``normalized``: both sides have length 1, so the dot product is the cosine.
+    queries(query_id, vector), vectors(chunk_id, vector). The questions are the stated side: they are broadcast in
+    blocks of BROADCAST_QUERIES, each a matrix that tasks multiply with their vectors. A task hands on the k best of
+    each question. ``normalized``: both sides have length 1, so the dot product is the cosine.
     """
-    from passagemill.functions.vectors import dot
-
-    similar = (dot if normalized else cosine)(F.col("qv"), F.col("vector"))
-    pairs = _all_pairs(queries.withColumnRenamed("vector", "qv"), vectors)
-    return _ranked(pairs.select("query_id", "chunk_id", F.round(similar, digits).alias("score")), k)
-
-
-def _all_pairs(asked: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Each question beside each vector: the questions broadcast, or in blocks if they are more than BROADCAST_QUERIES."""
-    n = asked.count()
-    if n <= BROADCAST_QUERIES:
-        return vectors.crossJoin(F.broadcast(asked))
-    blocks = -(-n // BROADCAST_QUERIES)
-    return vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "block")
+    return _ranked(_nearest(queries, vectors, k, normalized, digits), k)
+
+
+def _matrix(column) -> np.ndarray:
+    """An Arrow list column as rows of doubles; lists of different length are an error."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    length = pc.list_value_length(column)
+    width = pc.max(length).as_py() or 0
+    if column.null_count or (len(column) and pc.min(length).as_py() != width):
+        raise ValueError("vectors of different dimension")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
+
+
+class _Best:
+    """The k best of each question among all that came: pairs wait in a buffer that is cut down when it is full."""
+
+    def __init__(self, questions: int, k: int | None) -> None:
+        self.k, self.least, self.parts, self.size = k, np.full(questions, -np.inf), [], 0
+
+    def add(self, score: np.ndarray, ids: pa.Array) -> None:
+        """score: (ids, questions); 0 and less is no match."""
+        at, question = np.nonzero((score > 0) & (score >= self.least))
+        self.parts.append(pd.DataFrame({"question": question, "score": score[at, question], "id": ids.take(pa.array(at)).to_pandas()}))
+        self.size += len(at)
+        if self.k is not None and self.size > _BUFFER:
+            self.cut()
+
+    def cut(self) -> pd.DataFrame:
+        every = pd.concat(self.parts) if self.parts else pd.DataFrame({"question": [], "score": [], "id": []})
+        if self.k is not None:
+            every = every.sort_values(["question", "score", "id"], ascending=[True, False, True]).groupby("question", sort=False).head(self.k)
+            last = every.groupby("question", sort=False)["score"].agg(["size", "min"])
+            full = last[last["size"] >= self.k]
+            self.least[full.index.to_numpy(np.int64)] = full["min"].to_numpy()
+        self.parts, self.size = [every], len(every)
+        return every
+
+
+#: Pairs that wait in a task, and cells of a matrix product.
+_BUFFER, _CELLS = 1 << 19, 1 << 21
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int | None, normalized: bool, digits: int, ways: np.ndarray | None = None, bucket: float = 1.0) -> DataFrame:
+    """(query_id, chunk_id, score): candidates with the k best of each question; with ``ways``, of those that share a bucket."""
+    n = queries.count()
+    blocks = max(1, -(-n // BROADCAST_QUERIES))
+    asked_kind, kind = queries.schema["query_id"].dataType, vectors.schema["chunk_id"].dataType
+    schema = T.StructType([T.StructField("query_id", asked_kind), T.StructField("chunk_id", kind), T.StructField("score", T.DoubleType())])
+    out = []
+    for block in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "vector").toArrow()  # about a block
+        asked = _matrix(own["vector"])
+        length = np.linalg.norm(asked, axis=1)
+        places = None if ways is None or not len(asked) else np.floor(asked @ ways.T / bucket)
+        shared = vectors.sparkSession.sparkContext.broadcast((own["query_id"].combine_chunks(), asked, length, places))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, asked, length, places = shared.value
+            best, step = _Best(len(asked), k), max(1, _CELLS // max(1, len(asked)))
+            for batch in batches:
+                every = _matrix(batch.column("vector"))
+                for lo in range(0, len(every) if len(asked) else 0, step):
+                    own = every[lo : lo + step]
+                    if own.shape[1] != asked.shape[1]:
+                        raise ValueError("vectors of different dimension")
+                    score = own @ asked.T
+                    if not normalized:
+                        size = np.linalg.norm(own, axis=1)[:, None] * length
+                        score = np.where(size == 0, 0.0, score / np.where(size == 0, 1.0, size))
+                    if places is not None:
+                        mine, near = np.floor(own @ ways.T / bucket), np.zeros(score.shape, bool)
+                        for t in range(len(ways)):
+                            near |= mine[:, t, None] == places[:, t]
+                        score = np.where(near, score, 0.0)
+                    best.add(np.round(score, digits), batch.column("chunk_id").slice(lo, step))
+            found = best.cut()
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(found["question"].to_numpy(np.int64))), pa.array(found["id"], _arrow(kind)), pa.array(found["score"].to_numpy(np.float64))], ["query_id", "chunk_id", "score"])
+
+        out.append(vectors.select("chunk_id", "vector").mapInArrow(run, schema))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _arrow(kind: T.DataType) -> pa.DataType:
+    """Arrow's type of an id."""
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
 
 
 def approximate_search(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 12, bucket: float = 0.6, seed: int = 5) -> DataFrame:
     """Cosine top-k over candidates that share a random-projection bucket; no candidate is cut by its distance. [F4]
 
     queries(query_id, vector), vectors(chunk_id, vector) of length 1. A question with fewer than k candidates of
-    positive cosine is compared with every vector. Buckets are tested on the pairs as ``dense_search`` makes them, so
-    only scores are spared. Vectors without neighbours closer than chance need wide buckets, which spare little:
-    measure the recall against ``dense_search`` before narrowing them.
+    positive cosine is compared with every vector. Buckets are tested beside the matrix product of ``dense_search``.
+    Vectors without neighbours closer than chance need wide buckets, which spare little: measure the recall against
+    ``dense_search`` before narrowing them.
     """
-    import numpy as np
-
-    from passagemill.functions.vectors import dot
-
     first = vectors.select(F.size("vector").alias("n")).first()
     if first is None:
         return dense_search(queries, vectors, k, normalized=True)
     ways = np.random.default_rng(seed).normal(size=(tables, first.n))
     ways /= np.linalg.norm(ways, axis=1, keepdims=True)
-    # the table's number is part of the bucket's
-    places = lambda v: F.array(*(F.floor(dot(v, F.lit(way.tolist())) / bucket) * tables + t for t, way in enumerate(ways)))
-    asked = queries.select("query_id", F.col("vector").alias("qv"), places(F.col("vector")).alias("qh"))
-    pairs = _all_pairs(asked, vectors.select("chunk_id", "vector", places(F.col("vector")).alias("h"))).where(F.arrays_overlap("qh", "h"))
-    found = _ranked(pairs.select("query_id", "chunk_id", F.round(dot(F.col("qv"), F.col("vector")), 12).alias("score")), k).persist()  # k rows a question
+    found = materialize(_ranked(_nearest(queries, vectors, k, True, 12, ways, bucket), k))
     full = found.where(F.col("rank") == k).select("query_id")
-    return found.join(full, "query_id", "left_semi").unionByName(dense_search(queries.join(full, "query_id", "left_anti"), vectors, k, normalized=True))
+    rest = materialize(queries.join(full, "query_id", "left_anti"))
+    return found.join(full, "query_id", "left_semi").unionByName(dense_search(rest, vectors, k, normalized=True)) if rest.limit(1).count() else found
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, chunks: DataFrame, how: Fusion, k: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,21 +24,34 @@ def _draw(seed: int, iteration: Column, slot: Column, n: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n
 
 
+def _slots(rows: DataFrame, iterations: int, *keys: str) -> DataFrame:
+    """rows(keys, n) with a row for each iteration ``it`` and each ``slot`` of 0 .. n - 1; no row lists more than a block."""
+    block = 1 << 12
+    each = rows.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).repartition(*keys, "it")
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block) * block, F.lit(block).cast("long"))).alias("_first")
+    return each.select("*", first).select("*", F.explode(F.sequence(F.col("_first"), F.least(F.col("n"), F.col("_first") + block) - 1)).alias("slot")).drop("_first")
+
+
+#: Differences are added as whole numbers of this, so that their order can't change a sum.
+_UNIT = 1e12
+
+
 def paired_bootstrap(pairs: DataFrame, iterations: int = 2000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
     """(config, metric, n, delta, low, high, step_pp, verdict): percentile interval of the mean difference. [S1 S2 S3]
 
-    pairs(config, metric, example_id, ref, value). Differences of a (config, metric) form one array, in example order;
-    each iteration is a row, so resampling runs over (config, metric) × iterations in parallel without a join.
+    pairs(config, metric, example_id, ref, value). Examples of a (config, metric) get places in example order. Draws
+    are rows of (n, iteration, slot), made once for each number of examples, and lead to differences by an equi-join
+    on the place; sums combine in tasks. No row holds all examples.
     """
-    d = pairs.groupBy("config", "metric").agg(F.array_sort(F.collect_list(F.struct("example_id", (F.col("value") - F.col("ref")).alias("d")))).alias("rows"))
-    d = d.select("config", "metric", F.transform("rows", lambda r: r["d"]).alias("d"), F.size("rows").cast("long").alias("n"))
-    each = d.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).repartition("config", "metric", "it")
-    total = F.aggregate(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda s: F.get(F.col("d"), _draw(seed, F.col("it"), s, F.col("n")).cast("int"))), F.lit(0.0), lambda a, x: a + x)
-    means = each.select("config", "metric", "n", F.aggregate("d", F.lit(0.0), lambda a, x: a + x).alias("sum"), F.round(total / F.col("n"), 9).alias("mean"))
+    own = Window.partitionBy("config", "metric")
+    d = pairs.select("config", "metric", F.round((F.col("value") - F.col("ref")) * _UNIT).cast("long").alias("d"), (F.row_number().over(own.orderBy("example_id")) - 1).cast("long").alias("place"), F.count(F.lit(1)).over(own).alias("n"))
+    drawn = _slots(d.select("n").distinct(), iterations, "n").select("n", "it", _draw(seed, F.col("it"), F.col("slot"), F.col("n")).alias("place"))
+    sums = drawn.join(d, ["n", "place"]).groupBy("config", "metric", "n", "it").agg((F.sum("d") / _UNIT).alias("total"))
+    means = sums.groupBy("config", "metric", "n").agg(F.array_sort(F.collect_list(F.round(F.col("total") / F.col("n"), 9))).alias("m"))  # one value for each iteration
+    deltas = d.groupBy("config", "metric").agg((F.sum("d") / _UNIT / F.count(F.lit(1))).alias("delta"))
     tail = (1 - confidence) / 2
-    out = means.groupBy("config", "metric", "n").agg(F.first("sum").alias("sum"), F.array_sort(F.collect_list("mean")).alias("m"))
-    pick = lambda i: F.get(F.col("m"), F.lit(i))
-    out = out.select("config", "metric", "n", F.round(F.col("sum") / F.col("n"), 6).alias("delta"), F.round(pick(max(0, int(tail * iterations))), 6).alias("low"), F.round(pick(min(iterations - 1, int((1 - tail) * iterations))), 6).alias("high"), F.round(100 / F.col("n"), 6).alias("step_pp"))
+    pick = lambda i: F.round(F.get(F.col("m"), F.lit(i)), 6)
+    out = means.join(deltas, ["config", "metric"]).select("config", "metric", "n", F.round("delta", 6).alias("delta"), pick(max(0, int(tail * iterations))).alias("low"), pick(min(iterations - 1, int((1 - tail) * iterations))).alias("high"), F.round(100 / F.col("n"), 6).alias("step_pp"))
     return out.withColumn("verdict", F.when(F.col("low") > 0, "better").when(F.col("high") < 0, "worse").otherwise("inconclusive"))
 
 
@@ -72,11 +85,9 @@ def kappa_interval(rows: DataFrame, group: str = "metric", threshold: float = 0.
     """
     j, x = F.col("judge") >= threshold, F.col("label") >= threshold
     d = rows.where("judge is not null and label is not null").groupBy(group).agg(F.count_if(j & x).alias("a"), F.count_if(j & ~x).alias("b"), F.count_if(~j & x).alias("c"), F.count(F.lit(1)).alias("n"))
-    each = d.where(F.col("n") >= least_rows).withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).repartition(group, "it")
-    places = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda s: _draw(seed, F.col("it"), s, F.col("n")))
-    each = each.withColumn("p", places)
-    upto = lambda c: F.size(F.filter("p", lambda v: v < c))
-    each = each.select(group, "n", upto(F.col("a")).alias("x"), upto(F.col("a") + F.col("b")).alias("y"), upto(F.col("a") + F.col("b") + F.col("c")).alias("z"))
+    drawn = _slots(d.where(F.col("n") >= least_rows), iterations, group).withColumn("p", _draw(seed, F.col("it"), F.col("slot"), F.col("n")))
+    upto = lambda c: F.count_if(F.col("p") < c)
+    each = drawn.groupBy(group, "it", "n").agg(upto(F.col("a")).alias("x"), upto(F.col("a") + F.col("b")).alias("y"), upto(F.col("a") + F.col("b") + F.col("c")).alias("z"))
     jp, lp = F.col("y") / F.col("n"), (F.col("x") + F.col("z") - F.col("y")) / F.col("n")
     seen, by_chance = (F.col("x") + F.col("n") - F.col("z")) / F.col("n"), jp * lp + (1 - jp) * (1 - lp)
     kappa = F.when(by_chance < 1, F.round((seen - by_chance) / F.when(by_chance < 1, 1 - by_chance), 9))

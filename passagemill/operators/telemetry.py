@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.functions.text import duration_ms, path_template
+from passagemill.sources.scratch import discard, materialize
 
 # Upper bounds of the latency histogram in seconds.
 BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -72,10 +73,10 @@ def retry_state(log: DataFrame, now: Column, budget: int = 3, stale_after: str =
     own = d.groupBy("document_id").agg(
         F.count_if(F.col("outcome") == "failed").alias("failures"),
         F.max_by(F.coalesce("outcome", F.lit("pending")), "seq").alias("last"),
-        F.max("event_time").alias("at"),
+        F.max("event_time").alias("latest"),
         F.substring(F.max_by("error", F.when(F.col("outcome") == "failed", F.col("seq"))), 1, error_length).alias("last_error"),
     )
-    stale = F.col("at") < now - F.expr(stale_after)
+    stale = F.col("latest") < now - F.expr(stale_after)
     state = F.when(F.col("last") == "done", "done").when(F.col("failures") >= budget, "parked").when((F.col("last") == "claimed") & ~stale, "running").when((F.col("last") == "claimed") & stale, "stale").otherwise("due")
     return own.select("document_id", "failures", state.alias("state"), "last_error")
 
@@ -85,18 +86,33 @@ def oldest_due(jobs: DataFrame, n: int) -> DataFrame:
     return jobs.where("state = 'due'").orderBy("created_at", "id").limit(n)
 
 
-def trace_rollup(spans: DataFrame, depth: int = 8) -> DataFrame:
+def span_depths(spans: DataFrame) -> DataFrame:
+    """(trace_id, span_id, depth): 1 for a span without a parent in its trace, else one more than its parent's.
+
+    Every span points to its parent at first; each round replaces the pointer by that of the span pointed to, so a
+    chain of n spans takes log2(n) rounds. Spans that hang on a circle have no root; their depth is 1.
+    """
+    one = spans.groupBy("trace_id", "span_id").agg(F.min("parent_id").alias("up"))
+    there = one.select("trace_id", F.col("span_id").alias("up"), F.lit(True).alias("known"))
+    at = one.join(there, ["trace_id", "up"], "left").select("trace_id", "span_id", F.when(F.col("known"), F.col("up")).alias("up"), F.coalesce(F.col("known").cast("long"), F.lit(0).cast("long")).alias("steps"))
+    at = materialize(at)
+    rounds = max(1, at.count()).bit_length()
+    for _ in range(rounds):
+        if at.where("up is not null").isEmpty():
+            break
+        above = at.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
+        jumped = at.join(above, ["trace_id", "up"], "left").select("trace_id", "span_id", F.col("next").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0).cast("long"))).alias("steps"))
+        before, at = at, materialize(jumped)
+        discard(before)
+    return at.select("trace_id", "span_id", F.when(F.col("up").isNull(), F.col("steps") + 1).otherwise(1).cast("int").alias("depth"))
+
+
+def trace_rollup(spans: DataFrame) -> DataFrame:
     """(trace_id, spans, duration_ms, depth, errors). [J8 H22]
 
-    spans(trace_id, span_id, parent_id, started_at, ended_at, error). Depth by at most ``depth`` self-joins on
-    (trace, parent); deeper spans count as that deep.
+    spans(trace_id, span_id, parent_id, started_at, ended_at, error); of any depth.
     """
-    at = spans.select("trace_id", "span_id", "parent_id").withColumn("up", F.col("parent_id")).withColumn("depth", F.lit(1))
-    parent = spans.select(F.col("trace_id").alias("t"), F.col("span_id").alias("s"), F.col("parent_id").alias("p"))
-    for _ in range(depth - 1):
-        found = at.join(parent, (at.trace_id == parent.t) & (at.up == parent.s), "left")
-        at = found.select("trace_id", "span_id", "parent_id", F.col("p").alias("up"), (F.col("depth") + F.col("s").isNotNull().cast("int")).alias("depth"))
-    deep = at.groupBy("trace_id").agg(F.max("depth").alias("depth"))
+    deep = span_depths(spans).groupBy("trace_id").agg(F.max("depth").alias("depth"))
     own = spans.groupBy("trace_id").agg(F.count(F.lit(1)).alias("spans"), F.round(duration_ms(F.min("started_at"), F.max("ended_at")), 6).alias("duration_ms"), F.count("error").alias("errors"))
     return own.join(deep, "trace_id")
 

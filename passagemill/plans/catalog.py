@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +13,9 @@ from passagemill.functions.vectors import hash_counts
 from passagemill.operators import answers, audit, corpus, search, statistics, telemetry
 from passagemill.operators import evaluation as ev
 from passagemill.operators.containment import containing
-from passagemill.operators.index import build_index, corpus_stats, term_frequencies, term_stats
+from passagemill.operators.index import build_index, corpus_stats, term_frequencies
 from passagemill.sources import cells, html, readers
+from passagemill.sources.scratch import materialize
 
 from . import views as v
 
@@ -108,10 +110,14 @@ def corpus_totals(spark, sf):
     return corpus.corpus_totals(v.chunks(spark, sf))
 
 
-@query(w("ch", """SELECT kb_id, sha256(string_agg(part || digest, '' ORDER BY part || digest)) AS fingerprint FROM
-  (SELECT kb_id, substr(digest, 1, 2) AS part, sha256(string_agg(digest, '' ORDER BY digest)) AS digest FROM
-    (SELECT kb_id, document_id, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM (SELECT kb_id, document_id, sha256(chunk_id || chr(31) || coalesce(version, '') || chr(31) || text) AS h FROM ch) GROUP BY ALL)
-  GROUP BY ALL) GROUP BY 1"""))
+def _tree(length: int, below: str) -> str:
+    return f"(SELECT kb_id, substr(name, 1, {length}) AS name, sha256(string_agg(name || digest, '' ORDER BY name || digest)) AS digest FROM {below} GROUP BY ALL)"
+
+
+_LEAVES = "(SELECT kb_id, sha256(string_agg(h, '' ORDER BY h)) AS name, '' AS digest FROM (SELECT kb_id, document_id, sha256(chunk_id || chr(31) || coalesce(version, '') || chr(31) || text) AS h FROM ch) GROUP BY kb_id, document_id)"
+
+
+@query(w("ch", f"SELECT kb_id, digest AS fingerprint FROM {_tree(0, _tree(2, _tree(4, _tree(6, _LEAVES))))}"))
 def corpus_fingerprint(spark, sf):
     """D23"""
     return corpus.corpus_fingerprint(v.chunks(spark, sf))
@@ -184,8 +190,7 @@ def postings(spark, sf):
 @query(w("ts", "SELECT term, df, round(idf, 6) AS idf FROM ts"))
 def term_stats_table(spark, sf):
     """D3"""
-    c = v.chunks(spark, sf)
-    return term_stats(term_frequencies(c), corpus_stats(c)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return build_index(v.chunks(spark, sf)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(w("ch", f"SELECT kb_id AS scope, count(*) AS n, round(avg(len(regexp_extract_all(lower(text), {_W}))), 6) AS avgdl FROM ch GROUP BY 1"))
@@ -252,7 +257,7 @@ def ann_topk(spark, sf):
 def dense_topk(spark, sf):
     """I2 G5"""
     c = v.chunks(spark, sf)
-    return _shown(search.dense_search(v.asked_vectors(v.questions(spark, sf)), v.vectors(c), v.TOP_K, normalized=True))
+    return _shown(search.dense_search(v.asked_vectors(v.questions(spark, sf)), v.vectors(c), v.TOP_K))
 
 
 def _fuse_blocks(how: search.Fusion, depth: int = 20) -> dict[str, str]:
@@ -368,7 +373,7 @@ def metric_means(spark, sf):
 def experiment_matrix(spark, sf):
     """Means of all metrics of eleven settings, from shared channel rankings."""
     c, index = v.default_index(spark, sf)
-    c = c.persist()
+    c = materialize(c)
     ranked = v.retrieve_all(v.questions(spark, sf), c, index, v.rules(spark))
     lists = ev.ranked_lists(ranked, c, ("config", "query_id")).withColumnRenamed("query_id", "example_id")
     keyed = lists.withColumn("key", F.concat_ws("#", "config", F.col("example_id").cast("string")))
@@ -493,7 +498,7 @@ _LONG = {
 
 
 def _two_configs(spark, sf) -> DataFrame:
-    long = v.sparse_metrics(spark, sf)
+    long = materialize(v.sparse_metrics(spark, sf))
     at1 = long.where("metric = 'recall_at_1'").select("example_id", F.col("value").alias("v1"))
     other = long.where("metric like 'recall%'").join(at1, "example_id").select(F.lit("bm25-at-1").alias("config"), "example_id", "metric", F.col("v1").alias("value"))
     return long.select(F.lit("bm25").alias("config"), "example_id", "metric", "value").unionByName(other)
@@ -661,7 +666,7 @@ def unsupported_numbers(spark, sf):
   SELECT key, count(DISTINCT d) AS documents FROM f GROUP BY 1 HAVING count(DISTINCT d) > 1""")
 def shared_sentences(spark, sf):
     """Lines kept apart by joining broken ones with a line break."""
-    return audit.shared_sentences(v.pages(spark, sf), join_lines_with="\n").select("key", "documents")
+    return audit.shared_sentences(v.pages(spark, sf), join_lines_with="\n", ends=".;!?", boilerplate="[Cc]opyright|[Ll]icensed under|All rights reserved").select("key", "documents")
 
 
 @query(w("ex hit qs", """SELECT example_id AS candidate_id, CASE WHEN outcome <> 'verified' THEN 'quote_not_on_page' WHEN others > 0 THEN 'shared_quote' WHEN f <> example_id THEN 'duplicate' END AS reason FROM
@@ -705,15 +710,15 @@ def title_leaks(spark, sf):
     return audit.title_leaks(v.table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question")), t)
 
 
-@query("SELECT doc_id AS example_id, CASE WHEN toxic = 1 AND doc_id % 3 = 0 THEN 'refusal_with_evidence' WHEN toxic = 0 AND doc_id % 3 <> 0 AND doc_id % 4 = 0 THEN 'no_label' ELSE 'primary_is_not_first_hop' END AS reason FROM labels WHERE (toxic = 1 AND doc_id % 3 = 0) OR (toxic = 1 AND doc_id % 4 <> 0) OR (toxic = 0 AND doc_id % 3 <> 0 AND doc_id % 4 = 0) OR (toxic = 0 AND doc_id % 3 = 0 AND doc_id % 4 <> 0 AND doc_id % 6 = 0)")
+@query("""SELECT example_id, reason FROM (SELECT doc_id AS example_id, CASE WHEN toxic = 1 AND (doc_id % 3 = 0 OR doc_id % 4 <> 0) THEN 'refusal_with_evidence' WHEN toxic = 0 AND doc_id % 3 <> 0 AND doc_id % 4 = 0 THEN 'no_label'
+  WHEN toxic = 0 AND doc_id % 4 <> 0 AND doc_id % 6 = 0 THEN 'primary_is_not_first_hop' END AS reason FROM labels) WHERE reason IS NOT NULL""")
 def label_rejects(spark, sf):
     """B14"""
     d = v.table(spark, sf, "labels").select(F.col("doc_id").alias("example_id"), (F.col("toxic") == 1).alias("should_refuse"))
     hop = F.array(F.struct(F.when(F.col("example_id") % 6 == 0, "other").otherwise("own").alias("document_id"), F.lit(1).alias("page"), F.lit("q").alias("quote")))
     d = d.withColumn("evidence", F.when(F.col("example_id") % 3 == 0, hop).otherwise(F.array().cast("array<struct<document_id:string,page:int,quote:string>>")))
     d = d.withColumn("document_id", F.when(F.col("example_id") % 4 != 0, "own"))
-    out = audit.label_rejects(d)
-    return out.withColumn("reason", F.when((F.col("reason") == "refusal_with_evidence") & (F.col("example_id") % 3 != 0), "primary_is_not_first_hop").otherwise(F.col("reason")))
+    return audit.label_rejects(d)
 
 
 # ---- answers
@@ -778,14 +783,24 @@ def evidence_excerpts(spark, sf):
 # ---- scalar functions
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text || ' call 13800138000 or 913800138000 id 11010519491231002X.', '(^|[^0-9])1[0-9]{10}($|[^0-9])', '\1[PHONE]\2', 'g'), '(^|[^0-9A-Za-z_])[0-9]{17}[0-9Xx]($|[^0-9A-Za-z_])', '\1[ID]\2', 'g')) AS digest FROM documents WHERE NOT regexp_matches(text, '[0-9]{11}')""")
-def mask_pii(spark, sf):
-    """Every text, with a phone and an identity number added; a null text has a null digest.
+_EDGE = r"[^\pL\pM\p{Nd}\p{Pc}]"
+
 
-    The SQL covers the texts without 11 digits in a row only, since its patterns take up their neighbours.
-    """
+def _twice(text: str, pattern: str, put: str) -> str:
+    """Neighbours are taken up by a match, so what stands right beside one is found by the second pass."""
+    one = f"regexp_replace({text}, '{pattern}', '{put}', 'g')"
+    return f"regexp_replace({one}, '{pattern}', '{put}', 'g')"
+
+
+_ADDED = " call 13800138000 or 913800138000 13800138000,13800138001 id 11010519491231002X."
+_PHONES = _twice(f"text || '{_ADDED}'", "(^|[^0-9])1[0-9]{10}($|[^0-9])", r"\1[PHONE]\2")
+
+
+@query(f"SELECT doc_id, md5({_twice(_PHONES, f'(^|{_EDGE})[0-9]{{17}}[0-9Xx]($|{_EDGE})', chr(92) + '1[ID]' + chr(92) + '2')}) AS digest FROM documents")
+def mask_pii(spark, sf):
+    """Every text, with phone and identity numbers added; a null text has a null digest."""
     d = v.table(spark, sf, "documents")
-    return d.select("doc_id", F.md5(tx.mask_personal(F.concat("text", F.lit(" call 13800138000 or 913800138000 id 11010519491231002X.")))).alias("digest"))
+    return d.select("doc_id", F.md5(tx.mask_personal(F.concat("text", F.lit(_ADDED)))).alias("digest"))
 
 
 @query("SELECT source, substr(sha256(source), 1, 16) AS tenant FROM documents GROUP BY 1")
@@ -824,11 +839,17 @@ def html_extract(spark, sf):
     return d.select("page_id", F.length("text").alias("characters"), F.md5("text").alias("digest"))
 
 
-@query("SELECT doc_id, md5(text) AS digest FROM documents")
+@query("SELECT doc_id, md5(coalesce(CASE WHEN doc_id % 3 = 1 THEN text || ' 土地' ELSE text END, '')) AS digest FROM documents")
 def decode_texts(spark, sf):
-    """A3: texts as UTF-8, UTF-8 with BOM and GB18030 bytes, decoded again."""
+    """A3: texts as UTF-8, UTF-8 with BOM and GB18030 bytes (with two signs that are no UTF-8 there), decoded again."""
     d = v.table(spark, sf, "documents").select("doc_id", "text")
-    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+
+    @F.pandas_udf("binary")
+    def gb18030(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else t.encode("gb18030"))
+
+    utf8 = F.encode("text", "UTF-8")
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), utf8)).when(F.col("doc_id") % 3 == 1, gb18030(F.concat("text", F.lit(" 土地")))).otherwise(utf8)
     return readers.decoded(d.select("doc_id", raw.alias("content"))).select("doc_id", F.md5("text").alias("digest"))
 
 
@@ -845,12 +866,13 @@ def sheet_lines(spark, sf):
     return cells.sheet_pages(all_cells).select("document_id", "page", F.md5("text").alias("digest"))
 
 
-@query("SELECT event_id, round(value / 100 * 100, 2)::DOUBLE AS shown FROM events")
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN printf('%g', round(value, 2)) || '%' WHEN 1 THEN CAST(floor(value) AS BIGINT)::VARCHAR ELSE strftime(ts, '%Y-%m-%d') END AS shown FROM events WHERE value IS NOT NULL")
 def cell_display(spark, sf):
-    """Hundredths under a percent format."""
-    e = v.table(spark, sf, "events")
-    shown = cells.display_text((F.round(F.col("value"), 2) / 100).cast("string"), F.lit("float"), F.lit("0.00%"))
-    return e.where(F.col("value").isNotNull()).select("event_id", F.round(F.regexp_replace(shown, "%", "").cast("double"), 2).alias("shown"))
+    """Hundredths under a percent format, whole floats, times."""
+    e = v.table(spark, sf, "events").where("value is not null")
+    k = F.col("event_id") % 3
+    value = F.when(k == 0, (F.round(F.col("value"), 2) / 100).cast("string")).when(k == 1, F.floor("value").cast("double").cast("string")).otherwise(F.col("ts").cast("timestamp").cast("string"))
+    return e.select("event_id", cells.display_text(value, F.when(k == 2, "datetime").otherwise("float"), F.when(k == 0, "0.00%").otherwise("General")).alias("shown"))
 
 
 # ---- telemetry
@@ -907,8 +929,8 @@ def latest_intent(spark, sf):
 
 @query("""WITH l AS (SELECT user_id::VARCHAR AS document_id, event_id AS seq, ts, CASE WHEN event_type = 'view' THEN NULL WHEN event_type = 'click' THEN 'claimed' WHEN event_type = 'purchase' THEN 'done' ELSE 'failed' END AS outcome, 'e' || event_id AS error FROM events),
   s AS (SELECT document_id, max(seq) FILTER (outcome IS NULL) AS since FROM l GROUP BY 1), d AS (SELECT l.* FROM l JOIN s USING (document_id) WHERE since IS NULL OR seq >= since),
-  o AS (SELECT document_id, count(*) FILTER (outcome = 'failed') AS failures, arg_max(coalesce(outcome, 'pending'), seq) AS last, max(ts) AS at, arg_max(error, seq) FILTER (outcome = 'failed') AS last_error FROM d GROUP BY 1)
-  SELECT document_id, failures, CASE WHEN last = 'done' THEN 'done' WHEN failures >= 3 THEN 'parked' WHEN last = 'claimed' THEN CASE WHEN at < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 10 MINUTES THEN 'stale' ELSE 'running' END ELSE 'due' END AS state, last_error FROM o""")
+  o AS (SELECT document_id, count(*) FILTER (outcome = 'failed') AS failures, arg_max(coalesce(outcome, 'pending'), seq) AS last, max(ts) AS latest, arg_max(error, seq) FILTER (outcome = 'failed') AS last_error FROM d GROUP BY 1)
+  SELECT document_id, failures, CASE WHEN last = 'done' THEN 'done' WHEN failures >= 3 THEN 'parked' WHEN last = 'claimed' THEN CASE WHEN latest < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 10 MINUTES THEN 'stale' ELSE 'running' END ELSE 'due' END AS state, last_error FROM o""")
 def retry_budget(spark, sf):
     """J3"""
     return telemetry.retry_state(_log(spark, sf), F.lit("2024-01-30 12:00:00").cast("timestamp"))
@@ -921,14 +943,15 @@ def oldest_due(spark, sf):
     return telemetry.oldest_due(e, 20).select("id", "created_at")
 
 
-@query("SELECT user_id::VARCHAR AS trace_id, count(*) AS spans, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000.0, 6) AS duration_ms, count(*) FILTER (event_type = 'error') AS errors, least(3, count(*))::INT AS depth FROM events GROUP BY 1")
+@query("SELECT user_id::VARCHAR AS trace_id, count(*) AS spans, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000.0, 6) AS duration_ms, count(*) FILTER (event_type = 'error') AS errors, CASE WHEN user_id % 3 = 0 THEN count(*)::INT WHEN user_id % 3 = 1 THEN floor(log2(count(*)))::INT + 1 ELSE least(3, count(*))::INT END AS depth FROM events GROUP BY user_id")
 def trace_rollup(spark, sf):
-    """A user's events as spans; the first is the root, the second its child, the rest children of that."""
+    """A user's events as spans: a chain, a binary tree, or all but two below the second, by user."""
     e = v.table(spark, sf, "events")
     own = Window.partitionBy("user_id").orderBy("event_id")
-    k = F.row_number().over(own)
-    d = e.select(F.col("user_id").cast("string").alias("trace_id"), k.alias("k"), F.col("ts").cast("timestamp").alias("started_at"), F.when(F.col("event_type") == "error", "x").alias("error"))
-    d = d.select("trace_id", F.col("k").cast("string").alias("span_id"), F.when(F.col("k") == 2, "1").when(F.col("k") > 2, "2").alias("parent_id"), "started_at", F.col("started_at").alias("ended_at"), "error")
+    d = e.select("user_id", F.row_number().over(own).alias("k"), F.col("ts").cast("timestamp").alias("started_at"), F.when(F.col("event_type") == "error", "x").alias("error"))
+    k, shape = F.col("k"), F.col("user_id") % 3
+    parent = F.when(shape == 0, k - 1).when(shape == 1, F.floor(k / 2).cast("int")).otherwise(F.least(k - 1, F.lit(2)))
+    d = d.select(F.col("user_id").cast("string").alias("trace_id"), k.cast("string").alias("span_id"), F.when(k > 1, parent.cast("string")).alias("parent_id"), "started_at", F.col("started_at").alias("ended_at"), "error")
     return telemetry.trace_rollup(d).select("trace_id", "spans", "duration_ms", "errors", "depth")
 
 

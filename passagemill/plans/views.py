@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.functions.text import collapse_space
-from passagemill.functions.vectors import hash_embedding
+from passagemill.functions.vectors import hashed_texts
 from passagemill.operators import evaluation as ev
 from passagemill.operators import search
 from passagemill.operators.containment import containing
 from passagemill.operators.corpus import chunk_pages
 from passagemill.operators.index import Index, build_index
+from passagemill.sources.scratch import materialize
 
 TOP_K, DEPTH = 5, 4
 
@@ -71,16 +72,16 @@ def examples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vectors(chunked: DataFrame) -> DataFrame:
-    return chunked.select("chunk_id", hash_embedding(F.col("text")).alias("vector"))
+    return hashed_texts(chunked, "chunk_id")
 
 
 def asked_vectors(asked: DataFrame) -> DataFrame:
-    return asked.select("query_id", hash_embedding(F.col("text")).alias("vector"))
+    return hashed_texts(asked, "query_id")
 
 
 def channels(asked: DataFrame, chunked: DataFrame, index: Index, depth: int | None) -> tuple[DataFrame, DataFrame]:
     """Dense and sparse ranking of the same questions."""
-    return search.dense_search(asked_vectors(asked), vectors(chunked), depth, normalized=True), search.sparse_search(asked, index, depth)
+    return search.dense_search(asked_vectors(asked), vectors(chunked), depth), search.sparse_search(asked, index, depth)
 
 
 def retrieve(asked: DataFrame, chunked: DataFrame, index: Index, mode: str = "hybrid", fusion: str | None = "rrf", rerank: bool = False, rewrite: DataFrame | None = None, k: int = TOP_K, multiplier: int = DEPTH) -> DataFrame:
@@ -95,7 +96,7 @@ def retrieve(asked: DataFrame, chunked: DataFrame, index: Index, mode: str = "hy
     if mode == "sparse":
         got = search.sparse_search(each, index, depth)
     elif mode == "dense":
-        got = search.dense_search(asked_vectors(each), vectors(chunked), depth, normalized=True)
+        got = search.dense_search(asked_vectors(each), vectors(chunked), depth)
     else:
         dense, sparse = channels(each, chunked, index, depth)
         got = search.fuse(dense, sparse, chunked, search.fusion(fusion or "rrf"), depth)
@@ -113,7 +114,7 @@ def retrieve(asked: DataFrame, chunked: DataFrame, index: Index, mode: str = "hy
 def retrieve_all(asked: DataFrame, chunked: DataFrame, index: Index, rule_rows: DataFrame, configs=CONFIGS, k: int = TOP_K, multiplier: int = DEPTH) -> DataFrame:
     """(config, query_id, chunk_id, score, rank) of every setting; the channels are computed once and shared. [I15]"""
     depth = k * multiplier
-    dense, sparse = (d.persist() for d in channels(asked, chunked, index, depth))
+    dense, sparse = (materialize(d) for d in channels(asked, chunked, index, depth))
     wide = chunked.select("chunk_id", "page", "text")
     out = []
     for name, mode, how, rerank, rewrite in configs:

@@ -3,7 +3,7 @@ import re
 
 from passagemill.plans.catalog import QUERIES
 
-ADDED = " call 13800138000 or 913800138000 id 11010519491231002X."
+ADDED = " call 13800138000 or 913800138000 13800138000,13800138001 id 11010519491231002X."
 
 
 def masked(text):
