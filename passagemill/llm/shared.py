@@ -1,13 +1,13 @@
-"""Bounded bitmaps of hashes, which spare joins the rows that surely have no partner."""
+"""A bounded bitmap of ids, which spares a join the rows that surely have no partner."""
 
 from __future__ import annotations
 
 import uuid
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagemill.functions.bitmaps import bitmap_of, has_bit, set_words
 from passagemill.sources.scratch import discard, materialize, shared_dir
 
 __all__ = ["BITMAP_BITS", "bitmap_of", "discard", "has_bit", "materialize", "shared_dir", "split_by_bitmap"]
@@ -18,11 +18,6 @@ BITMAP_BITS = 1 << 27
 _ROW = 64
 
 
-def _words(at: DataFrame) -> DataFrame:
-    """(place, word): the set bits of a bitmap in words of 64, from the distinct bit numbers in column ``at``."""
-    return at.distinct().groupBy(F.floor(F.col("at") / 64).alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("word"))
-
-
 def split_by_bitmap(rows: DataFrame, key: str, ids: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
     """rows whose key is probably among ids, and those whose key is surely not.
 
@@ -34,7 +29,7 @@ def split_by_bitmap(rows: DataFrame, key: str, ids: DataFrame, col: str) -> tupl
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     own = uuid.uuid4().hex
     part, words = f"part_{own}", f"words_{own}"
-    one = _words(ids.select(place(F.col(col).cast("long")).alias("at")))
+    one = set_words(ids.select(place(F.col(col).cast("long")).alias("at")))
     found = one.groupBy(F.floor(F.col("place") / _ROW).alias(part)).agg(F.map_from_entries(F.collect_list(F.struct((F.col("place") % _ROW).cast("int").alias("i"), "word"))).alias("m"))  # _ROW entries at most
     table = materialize(found.select(part, F.transform(F.sequence(F.lit(0), F.lit(_ROW - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias(words)))
     bit = place(F.col(key).cast("long"))
@@ -42,20 +37,3 @@ def split_by_bitmap(rows: DataFrame, key: str, ids: DataFrame, col: str) -> tupl
     test = F.coalesce(F.call_function("getbit", word, (bit % 64).cast("int")) == 1, F.lit(False))
     marked = rows.join(F.broadcast(table), F.floor(bit / (64 * _ROW)) == F.col(part), "left")
     return marked.where(test).drop(part, words), marked.where(~test).drop(part, words)
-
-
-def bitmap_of(rows: DataFrame, number: Column, bits: int = BITMAP_BITS) -> np.ndarray:
-    """A bitmap of ``bits`` bits with those of ``number`` set (a column of 0 .. bits - 1), put together by tasks.
-
-    What comes to the driver is one word of 64 bits for each that holds a bit: 16 bytes x bits / 64 at most.
-    """
-    found = _words(rows.select(number.cast("long").alias("at"))).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[found["place"].to_numpy()] = found["word"].to_numpy().view(np.uint64)
-    return out
-
-
-def has_bit(bitmap: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Whether each number's bit is set."""
-    n = number.astype(np.uint64)
-    return (bitmap[(n >> np.uint64(6)).astype(np.int64)] >> (n & np.uint64(63))) & np.uint64(1) == 1
