@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_notes: list[list[DataFrame]] = []
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -36,6 +39,8 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
+    for made in _notes:
+        made.append(out)
     return out
 
 
@@ -48,6 +53,17 @@ def discard(*tables: DataFrame) -> None:
             fs.delete(at, True)
 
 
+@contextmanager
+def noted() -> Iterator[list[DataFrame]]:
+    """Lists the tables that are materialized within."""
+    made: list[DataFrame] = []
+    _notes.append(made)
+    try:
+        yield made
+    finally:
+        _notes.remove(made)
+
+
 def _place(spark: SparkSession, path: str):
     """Hadoop's file system of a path, and the path as its object."""
     jvm = spark.sparkContext._jvm
