@@ -18,7 +18,7 @@ from .pretokens import code_point_classes, pretokens, safe_pieces
 #: Pre-tokens up to this many bytes are merged many at a time in arrays, longer ones alone.
 WIDE = 64
 #: Pre-tokens whose ids a task keeps; beyond, its cache starts anew.
-CACHE_ENTRIES = 1 << 18
+CACHE_ENTRIES = 1 << 17
 #: Places of the trees that are merged side by side.
 TREE_PLACES = 1 << 18
 _NONE = np.iinfo(np.int64).max
