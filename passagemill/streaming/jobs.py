@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -22,49 +23,53 @@ from passagemill.sources import html, readers
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _replace(batch: DataFrame, path: str, key: str, buckets: int = 64) -> None:
-    """Writes a batch over the rows of its keys: only the hash partitions that hold one of them are rewritten.
+def replace_rows(batch: DataFrame, path: str, key: str, version: int, keys: DataFrame | None = None) -> None:
+    """Adds a batch as the newest version of its keys; nothing that is there is rewritten.
 
-    The new partitions are written beside the table first and then put in place, so that a failed batch can be run
-    again; running it again gives the same table.
+    Rows go to ``path``/rows and then their keys (``keys``: also those without rows, whose old rows go) to
+    ``path``/keys, each below the version's number. Readers see a version once its keys are whole, so a batch that
+    failed leaves the table as it was, and running it again writes the same folders anew. A table belongs to one stream
+    with its checkpoint, whose batch numbers are the versions.
     """
-    spark = batch.sparkSession
-    part = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    new = batch.withColumn("part", part).persist()
-    touched = [r.part for r in new.select("part").distinct().collect()]  # at most `buckets` numbers
-    if touched:
-        try:
-            old = spark.read.parquet(path).where(F.col("part").isin(touched))
-            kept = old.join(new.select(key).distinct(), key, "left_anti").select(new.columns)
-        except Exception as e:  # noqa: BLE001  only a table that does not exist yet is expected
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            kept = new.limit(0)
-        beside = f"{path}_next"
-        kept.unionByName(new).write.mode("overwrite").partitionBy("part").parquet(beside)
-        spark.read.parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
-    new.unpersist()
+    batch.write.mode("overwrite").parquet(f"{path}/rows/version={version}")
+    known = batch.select(key) if keys is None else keys.select(key)
+    known.distinct().write.mode("overwrite").parquet(f"{path}/keys/version={version}")
+
+
+def current_rows(spark: SparkSession, path: str, key: str, before: int | None = None) -> DataFrame | None:
+    """The rows of each key's newest version, of those below ``before`` if given; None if there is no table yet."""
+    try:
+        keys = spark.read.parquet(f"{path}/keys")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    rows = spark.read.parquet(f"{path}/rows")
+    if before is not None:  # a batch that is run again must not read what it writes
+        keys, rows = keys.where(F.col("version") < before), rows.where(F.col("version") < before)
+    newest = keys.groupBy(key).agg(F.max("version").alias("version"))
+    return rows.join(newest, [key, "version"], "left_semi").drop("version")
 
 
 def ingest_files(spark: SparkSession, source: str, table: str, checkpoint: str) -> StreamingQuery:
     """Arriving files → decoded text → chunks, replacing the chunks of a document that arrives again. [J1]"""
     files = spark.readStream.format("binaryFile").schema(readers.FILE_SCHEMA).option("recursiveFileLookup", "true").load(source)
 
-    def publish(batch: DataFrame, _: int) -> None:
+    def publish(batch: DataFrame, number: int) -> None:
         good, _ = readers.split_files(batch)
         rows = readers.decoded(good.select("path", "modificationTime", "content"))
         newest = rows.groupBy("path").agg(F.max_by("text", "modificationTime").alias("text"))
         page = newest.select(F.col("path").alias("document_id"), F.lit(1).alias("page"), "text")
         is_html = F.lower("document_id").rlike(r"\.html?$")
         pages = page.where(~is_html).unionByName(html.extract(page.where(is_html).withColumnRenamed("text", "html")))
-        _replace(chunk_pages(pages), table, "document_id")
+        replace_rows(chunk_pages(pages), table, "document_id", number, pages)
 
     return files.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def ingest_documents(documents: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """A stream of (document_id, page, text) → chunk table, idempotent by document. [J1 A12]"""
-    return documents.writeStream.foreachBatch(lambda batch, _: _replace(chunk_pages(batch), table, "document_id")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return documents.writeStream.foreachBatch(lambda batch, number: replace_rows(chunk_pages(batch), table, "document_id", number, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def apply_changes(log: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
@@ -73,15 +78,11 @@ def apply_changes(log: DataFrame, state: str, checkpoint: str) -> StreamingQuery
     A batch meets the stored intents of its own documents, so a late older row can't undo a newer one.
     """
 
-    def merge(batch: DataFrame, _: int) -> None:
-        try:
-            known = batch.sparkSession.read.parquet(state).drop("part")
-            known = known.join(batch.select("document_id").distinct(), "document_id", "left_semi").unionByName(batch)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = batch
-        _replace(latest_intent(known), state, "document_id")
+    def merge(batch: DataFrame, number: int) -> None:
+        known = current_rows(batch.sparkSession, state, "document_id", number)
+        if known is not None:
+            batch = known.join(batch.select("document_id").distinct(), "document_id", "left_semi").unionByName(batch)
+        replace_rows(latest_intent(batch), state, "document_id", number)
 
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

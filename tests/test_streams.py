@@ -20,7 +20,7 @@ def test_ingest_is_idempotent(spark, tmp_path):
     run()
     write(spark, [("d1", 1, "second text")], "document_id string, page int, text string", src)
     run()
-    got = {(r.chunk_id, len(r.text)) for r in spark.read.parquet(out).collect()}
+    got = {(r.chunk_id, len(r.text)) for r in jobs.current_rows(spark, out, "document_id").collect()}
     assert got == {("d1:0", 11), ("d2:0", 800), ("d2:1", 220)}
 
 
@@ -29,7 +29,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "src/a.html").write_text("<p>Hello</p><script>x</script>")
     (tmp_path / "src/b.txt").write_text("plain words")
     jobs.ingest_files(spark, str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert {r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"Hello", "plain words"}
+    assert {r.text for r in jobs.current_rows(spark, str(tmp_path / "out"), "document_id").collect()} == {"Hello", "plain words"}
 
 
 def test_changes(spark, tmp_path):
@@ -39,7 +39,7 @@ def test_changes(spark, tmp_path):
     run()
     write(spark, [("d", 1, "2024-01-01", "upsert"), ("e", 3, "2024-01-03", "delete")], "document_id string, seq long, event_time string, operation string", src)
     run()
-    assert {(r.document_id, r.seq, r.operation) for r in spark.read.parquet(out).collect()} == {("d", 2, "delete"), ("e", 3, "delete")}
+    assert {(r.document_id, r.seq, r.operation) for r in jobs.current_rows(spark, out, "document_id").collect()} == {("d", 2, "delete"), ("e", 3, "delete")}
 
 
 def collect_stream(spark, d, name, mode="append"):
@@ -77,3 +77,19 @@ def test_evaluate_new(spark, tmp_path):
     for n in range(2):
         jobs.evaluate_new(spark.readStream.schema(schema).parquet(src), lambda d: d.withColumn("score", F.lit(1.0)), out, "f", str(tmp_path / f"cp{n}")).awaitTermination()
     assert spark.read.parquet(out).count() == 2
+
+
+def test_versions(spark, tmp_path):
+    """A later version replaces its keys only, a batch run again changes nothing, a failed one is not seen."""
+    t = str(tmp_path / "t")
+    rows = lambda *x: spark.createDataFrame(list(x), "k string, v int")
+    assert jobs.current_rows(spark, t, "k") is None
+    seen = lambda: sorted(map(tuple, jobs.current_rows(spark, t, "k").collect()))
+    jobs.replace_rows(rows(("a", 1), ("a", 2), ("b", 3)), t, "k", 0)
+    jobs.replace_rows(rows(("a", 4)), t, "k", 1)
+    jobs.replace_rows(rows(("a", 4)), t, "k", 1)
+    assert seen() == [("a", 4), ("b", 3)]
+    rows(("b", 9)).write.parquet(f"{t}/rows/version=2")  # ended before its keys
+    assert seen() == [("a", 4), ("b", 3)]
+    jobs.replace_rows(rows(), t, "k", 2, rows(("b", None)))
+    assert seen() == [("a", 4)]
