@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passagemill.functions import text as tx
 from passagemill.functions.vectors import hash_counts
@@ -15,7 +18,8 @@ from passagemill.operators import evaluation as ev
 from passagemill.operators.containment import containing
 from passagemill.operators.index import build_index, corpus_stats, term_frequencies
 from passagemill.sources import cells, html, readers
-from passagemill.sources.scratch import materialize
+from passagemill.sources.scratch import materialize, shared_dir
+from passagemill.streaming import jobs
 
 from . import views as v
 
@@ -669,12 +673,21 @@ def shared_sentences(spark, sf):
     return audit.shared_sentences(v.pages(spark, sf), join_lines_with="\n", ends=".;!?", boilerplate="[Cc]opyright|[Ll]icensed under|All rights reserved").select("key", "documents")
 
 
-@query(w("ex hit qs", """SELECT example_id AS candidate_id, CASE WHEN outcome <> 'verified' THEN 'quote_not_on_page' WHEN others > 0 THEN 'shared_quote' WHEN f <> example_id THEN 'duplicate' END AS reason FROM
-  (SELECT lb.example_id, CASE WHEN bool_or(hit.document_id = lb.document_id) AND page = 1 THEN 'verified' ELSE 'no' END AS outcome, count(DISTINCT hit.document_id) FILTER (hit.document_id <> lb.document_id) AS others, min(lb.example_id) OVER (PARTITION BY question) AS f FROM lb LEFT JOIN hit USING (example_id) GROUP BY lb.example_id, lb.document_id, page, question)""", **_LAB))
+_TITLES = "SELECT DISTINCT string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] AS title FROM documents WHERE len(string_split(text, ' ')) > 3 AND NOT contains(string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2], chr(10))"
+_LEAK = r"EXISTS (SELECT 1 FROM tt WHERE contains(regexp_replace(question, '\s+', '', 'g'), regexp_replace(title, '\s+', '', 'g')))"
+
+
+def _titles(spark, sf) -> DataFrame:
+    """The first two words of documents."""
+    words = F.split("text", " ")
+    return v.table(spark, sf, "documents").where(F.size(words) > 3).select(F.concat(words[0], F.lit(" "), words[1]).alias("title")).where(~F.contains("title", F.lit("\n"))).distinct()
+
+
+@query(w("ex hit qs", f"""SELECT example_id AS candidate_id, CASE WHEN {_LEAK} THEN 'title_leak' WHEN outcome <> 'verified' THEN 'quote_not_on_page' WHEN others > 0 THEN 'shared_quote' WHEN f <> example_id THEN 'duplicate' END AS reason FROM
+  (SELECT lb.example_id, question, CASE WHEN bool_or(hit.document_id = lb.document_id) AND page = 1 THEN 'verified' ELSE 'no' END AS outcome, count(DISTINCT hit.document_id) FILTER (hit.document_id <> lb.document_id) AS others, min(lb.example_id) OVER (PARTITION BY question) AS f FROM lb LEFT JOIN hit USING (example_id) GROUP BY lb.example_id, lb.document_id, page, question)""", **_LAB, tt=_TITLES))
 def candidate_gate(spark, sf):
     """L7 B8 B9 H23"""
-    titles = spark.createDataFrame([("No such title anywhere",)], "title string")
-    return audit.candidate_gate(_labels(spark, sf).withColumnRenamed("example_id", "candidate_id"), v.pages(spark, sf), titles)
+    return audit.candidate_gate(_labels(spark, sf).withColumnRenamed("example_id", "candidate_id"), v.pages(spark, sf), _titles(spark, sf))
 
 
 @query(w("ex hit", """SELECT candidate_id, CASE WHEN count(*) <> 2 THEN 'not_two_hops' WHEN count(*) FILTER (side = 'left') <> 1 OR count(*) FILTER (side = 'right') <> 1 THEN 'sides' WHEN count(*) FILTER (ok) <> 2 THEN 'quote_not_on_page' END AS reason FROM
@@ -705,9 +718,7 @@ def titles_from_names(spark, sf):
   SELECT item_id AS question_id, arg_max(title, (length(title), title)) AS leak FROM benchmark b JOIN t ON contains(regexp_replace(b.text, '\\s+', '', 'g'), regexp_replace(title, '\\s+', '', 'g')) GROUP BY 1""")
 def title_leaks(spark, sf):
     """The first two words of documents as titles."""
-    words = F.split("text", " ")
-    t = v.table(spark, sf, "documents").where(F.size(words) > 3).select(F.concat(words[0], F.lit(" "), words[1]).alias("title")).where(~F.contains("title", F.lit("\n"))).distinct()
-    return audit.title_leaks(v.table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question")), t)
+    return audit.title_leaks(v.table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question")), _titles(spark, sf))
 
 
 @query("""SELECT example_id, reason FROM (SELECT doc_id AS example_id, CASE WHEN toxic = 1 AND (doc_id % 3 = 0 OR doc_id % 4 <> 0) THEN 'refusal_with_evidence' WHEN toxic = 0 AND doc_id % 3 <> 0 AND doc_id % 4 = 0 THEN 'no_label'
@@ -725,20 +736,33 @@ def label_rejects(spark, sf):
 
 
 def _answers(spark, sf) -> DataFrame:
-    """Assistant turns with citations appended; evidence is the conversation's number and page."""
+    """Assistant turns with citations put in; evidence is the conversation's document and two of its pages."""
     c = v.table(spark, sf, "conversations").where("role = 'assistant'")
-    d = F.concat(F.lit("d"), F.col("conv_id").cast("string"))
-    cite = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit(" ["), d, F.lit(" p.1] [note]"))).when(F.col("conv_id") % 4 == 1, F.concat(F.lit(" ["), d, F.lit(" p.7]"))).when(F.col("conv_id") % 4 == 2, F.lit(" [d-none p.1] [1]")).otherwise(F.concat(F.lit(" ["), d, F.lit(":1]")))
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.concat(F.regexp_replace("text", r"[\[\]]", ""), cite).alias("answer"), F.array(F.struct(d.alias("document_id"), F.lit(1).alias("page"))).alias("evidence"))
+    d, k, n = F.concat(F.lit("d"), F.col("conv_id").cast("string")), F.col("conv_id") % 4, F.length("text") % 5
+    page = n.cast("string")
+    cite = F.when(k == 0, F.concat(F.lit(" ["), d, F.lit(" p."), page, F.lit("] [note]"))).when(k == 1, F.concat(F.lit(" ["), d, F.lit(", page "), page, F.lit("]"))).when(k == 2, F.concat(F.lit(" [d-none p."), page, F.lit("] [1]"))).otherwise(F.concat(F.lit(" ["), d, F.lit(":"), page, F.lit("] ["), d, F.lit("]")))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.concat("text", cite).alias("answer"), F.array(F.struct(d.alias("document_id"), F.lit(1).alias("page")), F.struct(d.alias("document_id"), F.lit(2).alias("page"))).alias("evidence"))
+
+
+_MARK = r"(?i)(?:pages?|p)\s*\.?\s*([0-9]+)"
+_TRIM = r"^[ \t,;|·:–—-]+|[ \t,;|·:–—-]+$"
+_CITED = {
+    "an": "SELECT conv_id * 1000 + turn AS answer_id, 'd' || conv_id AS d, text || CASE conv_id % 4 WHEN 0 THEN ' [d' || conv_id || ' p.' || n || '] [note]' WHEN 1 THEN ' [d' || conv_id || ', page ' || n || ']' WHEN 2 THEN ' [d-none p.' || n || '] [1]' ELSE ' [d' || conv_id || ':' || n || '] [d' || conv_id || ']' END AS answer FROM (SELECT *, length(text) % 5 AS n FROM conversations WHERE role = 'assistant')",
+    "sn": r"SELECT answer_id, d, unnest(regexp_extract_all(answer, '\[([^\[\]]{1,200})\]', 1)) AS raw FROM an",
+    "mk": f"SELECT *, regexp_extract(raw, '{_MARK}', 1) AS m, regexp_replace(regexp_replace(raw, '{_MARK}', ''), '{_TRIM}', '', 'g') AS body FROM sn",
+    "sx": r"SELECT *, m = '' AND body <> d AND regexp_matches(body, ':\s*[0-9]+\s*$') AND regexp_replace(body, ':\s*[0-9]+\s*$', '') = d AS suffix FROM mk",
+    "ci": r"SELECT answer_id, CASE WHEN suffix THEN d ELSE body END AS document_id, d, CASE WHEN suffix THEN regexp_extract(body, ':\s*([0-9]+)\s*$', 1)::INT WHEN m <> '' THEN m::INT END AS page FROM sx WHERE suffix OR body = d OR m <> ''",
+    "cs2": "SELECT answer_id, document_id, page, CASE WHEN document_id <> d THEN 'unknown' WHEN page IS NOT NULL AND page NOT IN (1, 2) THEN 'ungrounded' ELSE 'ok' END AS state FROM ci",
+}
 
 
-@query("SELECT conv_id * 1000 + turn AS answer_id, 1::BIGINT AS citations, (conv_id % 4 = 2)::BIGINT AS unknown, (conv_id % 4 = 1)::BIGINT AS ungrounded, conv_id % 4 IN (0, 3) AS usable FROM conversations WHERE role = 'assistant'")
+@query(w("", "SELECT answer_id, count(state) AS citations, count(*) FILTER (state = 'unknown') AS unknown, count(*) FILTER (state = 'ungrounded') AS ungrounded, trim(any_value(answer)) <> '' AND count(*) FILTER (state IN ('unknown', 'ungrounded')) = 0 AS usable FROM an LEFT JOIN cs2 USING (answer_id) GROUP BY 1", **_CITED))
 def citation_check(spark, sf):
     """C8 H8 H9 J9"""
     return answers.citation_report(_answers(spark, sf))
 
 
-@query("SELECT conv_id * 1000 + turn AS answer_id, CASE conv_id % 4 WHEN 2 THEN 'd-none' ELSE 'd' || conv_id END AS document_id, CASE WHEN conv_id % 4 = 1 THEN 7 ELSE 1 END AS page, CASE conv_id % 4 WHEN 1 THEN 'ungrounded' WHEN 2 THEN 'unknown' ELSE 'ok' END AS state FROM conversations WHERE role = 'assistant'")
+@query(w("", "SELECT answer_id, document_id, page, state FROM cs2", **_CITED))
 def citation_spans(spark, sf):
     """H8"""
     return answers.citations(_answers(spark, sf)).select("answer_id", "document_id", "page", "state")
@@ -955,7 +979,10 @@ def trace_rollup(spark, sf):
     return telemetry.trace_rollup(d).select("trace_id", "spans", "duration_ms", "errors", "depth")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+  r AS (SELECT key, event_id, t, k, t AS start, 1 AS n FROM e WHERE k = 1 UNION ALL
+    SELECT e.key, e.event_id, e.t, e.k, CASE WHEN e.t - r.start >= 86400 THEN e.t ELSE r.start END, CASE WHEN e.t - r.start >= 86400 THEN 1 ELSE r.n + 1 END FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1)
+  SELECT key, event_id, n <= 3 AS allowed, greatest(0, 3 - n)::BIGINT AS remaining, greatest(1, trunc(86400 - (t - start)))::BIGINT AS retry_after FROM r""")
 def quota_windows(spark, sf):
     """J7"""
     e = v.table(spark, sf, "events").select(F.col("user_id").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
@@ -975,3 +1002,219 @@ def unsent_examples(spark, sf):
     """A20"""
     d = v.table(spark, sf, "documents").select("doc_id", "lang", F.md5("text").alias("question"), F.col("doc_id").cast("string").alias("document_id"))
     return readers.unsent(d, d.where("doc_id % 2 = 0")).select("doc_id", "lang")
+
+
+# ---- files, hooks and reports
+
+
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+@query("""SELECT path, reason FROM (SELECT source || '/' || doc_id || ['.txt', '.PDF', '.md', '.zip'][doc_id % 4 + 1] AS path, CASE WHEN doc_id % 4 IN (1, 3) THEN 'unsupported_suffix' WHEN coalesce(strlen(text), 0) = 0 THEN 'empty' END AS reason FROM documents) WHERE reason IS NOT NULL""")
+def file_rejects(spark, sf):
+    """A1 A2: documents as files of four suffixes."""
+    d = v.table(spark, sf, "documents")
+    suffix = F.get(F.array(*map(F.lit, (".txt", ".PDF", ".md", ".zip"))), (F.col("doc_id") % 4).cast("int"))
+    files = d.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), suffix).alias("path"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("length"))
+    return readers.split_files(files)[1]
+
+
+@query(w("ex hit", "SELECT ex.example_id, ex.question, category, should_refuse, mode, count(hit.document_id) AS hops, coalesce(string_agg(hit.document_id, ',' ORDER BY hit.document_id), '') AS documents FROM ex LEFT JOIN hit USING (example_id) GROUP BY ALL"))
+def label_files(spark, sf):
+    """The label set written as objects with examples, a file for each category, read and bound to documents."""
+    e = v.examples(spark, sf)
+    hops = F.transform("hops", lambda h: F.struct(F.concat(h["document_id"], F.lit(".txt")).alias("source_filename"), h["page"].alias("page"), h["quote"].alias("quote")))
+    row = F.struct(F.concat_ws("|", F.col("example_id").cast("string"), "question").alias("question"), F.col("answer").alias("expected_answer"), "category", "should_refuse", F.col("mode").alias("evidence_mode"), hops.alias("expected_evidence"))
+    path = _folder(spark)
+    e.groupBy("category").agg(F.to_json(F.struct(F.collect_list(row).alias("examples"))).alias("value")).write.partitionBy("category").text(path)  # a file for each
+    read = readers.label_set(spark, path).withColumn("example_id", F.split("question", r"\|")[0].cast("long")).withColumn("question", F.substring_index("question", "|", -1))
+    files = v.pages(spark, sf).select(F.concat("document_id", F.lit(".txt")).alias("filename"), "document_id")
+    bound = readers.bind_hops(read, files)
+    return bound.select("example_id", "question", "category", "should_refuse", "mode", F.size("hops").cast("long").alias("hops"), F.array_join(F.array_sort(F.transform("hops", lambda h: h["document_id"])), ",").alias("documents"))
+
+
+@query(w("qs", "SELECT query_id::VARCHAR AS item, text AS question, (query_id % 7)::INT AS page FROM qs"))
+def label_csv(spark, sf):
+    """The flat label set written as CSV and read again."""
+    path = _folder(spark)
+    v.questions(spark, sf).select(F.col("query_id").alias("item"), F.col("text").alias("question"), (F.col("query_id") % 7).alias("page")).write.option("escape", '"').csv(path, header=True)
+    return readers.label_csv(spark, path).select("item", "question", "page")
+
+
+@query(w("met ex", "SELECT 'bm25' AS config, ex.example_id::VARCHAR AS example_id, question, category, should_refuse, round(max(value) FILTER (metric = 'mrr'), 6) AS mrr FROM ex LEFT JOIN met USING (example_id) GROUP BY ALL"))
+def artifact_rows(spark, sf):
+    """An experiment artifact written as JSON, its examples read with their config."""
+    per = v.sparse_metrics(spark, sf).groupBy("example_id").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
+    e = v.examples(spark, sf).join(per, "example_id", "left").select(F.col("example_id").cast("string").alias("example_id"), "question", "category", "should_refuse", "metrics")
+    path = _folder(spark)
+    e.groupBy(F.lit("bm25").alias("name")).agg(F.collect_list(F.struct("example_id", "question", "category", "should_refuse", "metrics")).alias("per_example")).select(F.array(F.struct("name", "per_example")).alias("configs")).write.json(path)
+    return readers.artifact_rows(spark, path).select("config", "example_id", "question", "category", "should_refuse", F.round(F.col("metrics")["mrr"], 6).alias("mrr"))
+
+
+@query("SELECT 'c' || (doc_id % 3) AS config, 'q' || doc_id AS question, quality::DOUBLE AS judge, toxic::DOUBLE AS correctness FROM labels WHERE doc_id % 5 <> 0")
+def reviewer_files(spark, sf):
+    """A reviewer's template filled in, written as an object with labels, read and matched with the judged rows."""
+    d = v.table(spark, sf, "labels").select(F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")).alias("config"), F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("question"), F.col("quality").cast("double").alias("judge"), "doc_id", "toxic")
+    filled = answers.reviewer_template(d.select("config", "question", "judge")).join(d.where("doc_id % 5 <> 0").select("config", "question", "toxic"), ["config", "question"])
+    path = _folder(spark)
+    row = F.struct("config", "question", F.col("toxic").cast("double").alias("correctness"), "note")
+    filled.groupBy("config").agg(F.to_json(F.struct(F.collect_list(row).alias("labels"))).alias("value")).write.partitionBy("config").text(path)
+    both, _ = answers.match_labels(d.select("config", "question", "judge"), readers.reviewer_labels(spark, path))
+    return both.select("config", "question", "judge", "correctness")
+
+
+@query(w("pg ch", "SELECT document_id, document_id || '.txt' AS filename, strlen(coalesce(text, ''))::BIGINT AS size, sha256(coalesce(text, '')) AS sha256, coalesce(n, 0)::INT AS chunks FROM pg LEFT JOIN (SELECT document_id, count(*) AS n FROM ch GROUP BY 1) USING (document_id)"))
+def import_manifest(spark, sf):
+    """The manifest of an import written as JSON and read again."""
+    n = v.chunks(spark, sf).groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    text = F.coalesce("text", F.lit(""))
+    d = v.pages(spark, sf).join(n, "document_id", "left").select("kb_id", "document_id", F.concat("document_id", F.lit(".txt")).alias("filename"), F.octet_length(text).cast("long").alias("size"), F.sha2(text, 256).alias("sha256"), F.coalesce("n", F.lit(0)).alias("chunks"))
+    path = _folder(spark)
+    d.groupBy("kb_id").agg(F.collect_list(F.struct("document_id", "filename", "size", "sha256", "chunks")).alias("documents")).select("documents").write.json(path)
+    return spark.read.schema("documents array<struct<document_id:string,filename:string,size:long,sha256:string,chunks:int>>").json(path).select(F.explode("documents").alias("d")).select("d.*")
+
+
+@query("SELECT unnest(['missing kb_id', 'unexpected label', 'type of vec_id: bigint', (SELECT count(*) FROM embeddings WHERE vec_id % 10 = 0) || ' doubled keys', (SELECT count(*) FROM embeddings WHERE len(embedding) <> 32) + (SELECT count(*) FROM embeddings WHERE vec_id % 10 = 0 AND len(embedding) <> 32) || ' vectors of another dimension']) AS fault")
+def index_faults(spark, sf):
+    """The vectors with some of them twice against a schema that wants other things."""
+    e = v.table(spark, sf, "embeddings")
+    wanted = T.StructType([T.StructField("vec_id", T.StringType()), T.StructField("embedding", e.schema["embedding"].dataType), T.StructField("kb_id", T.StringType())])
+    faults = readers.schema_faults(e.unionByName(e.where("vec_id % 10 = 0")), wanted, "vec_id", "embedding", 32)
+    return spark.createDataFrame([(f,) for f in faults], "fault string")
+
+
+@query(w("met", "SELECT 'example_results' AS part, count(DISTINCT example_id) * 2 AS n FROM met UNION ALL SELECT 'metrics_long', count(*) * 2 FROM met UNION ALL SELECT 'runs', 2"))
+def run_store(spark, sf):
+    """A run appended twice."""
+    long, path = materialize(v.sparse_metrics(spark, sf)), _folder(spark)
+    for name in ("r1", "r2"):
+        own = long.withColumn("run_id", F.lit(name))
+        readers.append_run(path, own.groupBy("run_id").agg(F.count(F.lit(1)).alias("rows")), own.select("run_id", "example_id").distinct(), own)
+    parts = [spark.read.parquet(f"{path}/{p}").agg(F.lit(p).alias("part"), F.count(F.lit(1)).alias("n")) for p in ("runs", "example_results", "metrics_long")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("SELECT event_type AS source_config, event_id, value FROM events")
+def grouped_artifact(spark, sf):
+    """Events as rows of their type's config, nested as JSON lines and read again."""
+    path = _folder(spark)
+    readers.write_grouped_json(v.table(spark, sf, "events").select(F.col("event_type").alias("source_config"), "event_id", "value"), path)
+    return spark.read.schema("source_config string, rows array<struct<event_id:long,value:double>>").json(path).select("source_config", F.explode("rows").alias("r")).select("source_config", "r.event_id", "r.value")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE round(value * 1000) END AS ms FROM events WHERE value IS NOT NULL")
+def span_durations(spark, sf):
+    """Spans as long as an event's value in seconds; every fifth has not ended."""
+    e = v.table(spark, sf, "events").where("value is not null").withColumn("t", F.col("ts").cast("timestamp"))
+    end = F.timestamp_micros(F.unix_micros("t") + F.round(F.col("value") * 1000).cast("long") * 1000)
+    return e.select("event_id", tx.duration_ms(F.col("t"), F.when(F.col("event_id") % 5 != 0, end)).alias("ms"))
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS digest, length(coalesce(text, ''))::DOUBLE AS first FROM documents WHERE text IS NOT NULL")
+def embedding_hook(spark, sf):
+    """A caller's embedding of each distinct text, joined back to the documents."""
+    d = v.table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
+    made = search.embed_with(d, lambda texts: [[float(len(t)), 1.0] for t in texts])
+    return d.join(made, "text").select("doc_id", F.md5("text").alias("digest"), F.get("vector", F.lit(0)).alias("first"))
+
+
+@query(w("sp ch qs", "SELECT query_id, chunk_id, rank::INT AS rank, degraded FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY own DESC, page, text, chunk_id) AS rank FROM (SELECT sp.query_id, sp.chunk_id, ch.page, ch.text, sp.query_id % 3 = 0 AS degraded, CASE WHEN sp.query_id % 3 = 0 THEN score ELSE length(ch.text) END AS own FROM sp JOIN ch USING (chunk_id) WHERE sp.rank <= 20)) WHERE rank <= 5"))
+def reranker_hook(spark, sf):
+    """M2 M4: a caller's scorer (the passage's length) over BM25 candidates; it fails for every third question."""
+    c, index = v.default_index(spark, sf)
+    asked = v.questions(spark, sf)
+    top = search.sparse_search(asked, index, 20).join(c.select("chunk_id", "page", "text"), "chunk_id")
+    marked = top.join(asked.select("query_id", F.when(F.col("query_id") % 3 == 0, "fails").otherwise("works").alias("question")), "query_id")
+    got = search.rerank_with(marked.select("query_id", "question", "chunk_id", "score", "page", "text"), lambda q, t: t.str.len().astype(float).where(q == "works"), 5)
+    return got.select("query_id", "chunk_id", "rank", "degraded")
+
+
+@query(w("hit sp ch", "SELECT x.example_id, round(count(best) / count(*), 6) AS recall, round(coalesce(1.0 / min(best), 0), 6) AS mrr FROM (SELECT hit.example_id, hit.document_id, min(rank) AS best FROM hit LEFT JOIN (SELECT query_id, split_part(chunk_id, ':', 1) AS document_id, rank FROM sp WHERE rank <= 5) t ON t.query_id = hit.example_id AND t.document_id = hit.document_id GROUP BY ALL) x GROUP BY 1"))
+def evaluator_hooks(spark, sf):
+    """M5: the evaluators on inputs and outputs of the BM25 run."""
+    c, index = v.default_index(spark, sf)
+    lists = ev.ranked_lists(search.sparse_search(v.questions(spark, sf), index, v.TOP_K), c)
+    e = v.examples(spark, sf).where(~F.col("should_refuse")).join(lists.withColumnRenamed("query_id", "example_id"), "example_id", "left")
+    ids = F.coalesce(F.transform("retrieved", lambda r: r["document_id"]), F.array().cast("array<string>"))
+    wanted = F.transform("hops", lambda h: h["document_id"])
+    return e.select("example_id", *(F.round(f(ids, wanted), 6).alias(name) for name, f in answers.EVALUATORS.items()))
+
+
+@query(w("ex hit met top", """SELECT ex.example_id, question, category, mode AS evidence_mode, should_refuse, coalesce((SELECT string_agg(document_id, ',' ORDER BY document_id) FROM hit WHERE hit.example_id = ex.example_id), '') AS sources,
+  (SELECT round(value, 6) FROM met WHERE met.example_id = ex.example_id AND metric = 'recall_at_5') AS recall_at_5, (SELECT value > 0 FROM met WHERE met.example_id = ex.example_id AND metric = 'passage_hit') AS quote_hit,
+  (SELECT count(*) FROM top WHERE top.example_id = ex.example_id) > 0 AS retrieved_something, coalesce((SELECT round(max(score), 4) FROM top WHERE top.example_id = ex.example_id), 0.0) AS top_score, round(e.value, 1) AS latency_ms FROM ex LEFT JOIN events e ON e.event_id = ex.example_id"""))
+def example_export(spark, sf):
+    """I17"""
+    c, index = v.default_index(spark, sf)
+    lists = ev.ranked_lists(search.sparse_search(v.questions(spark, sf), index, v.TOP_K), c).withColumnRenamed("query_id", "example_id")
+    e = materialize(v.examples(spark, sf))
+    latency = v.table(spark, sf, "events").select(F.col("event_id").alias("example_id"), F.col("value").alias("latency_ms"))
+    rows = ev.export_rows(e, lists, ev.example_metrics(e, lists), latency)
+    return rows.select("example_id", "question", "category", "evidence_mode", "should_refuse", F.array_join("sources", ",").alias("sources"), F.round("recall_at_5", 6).alias("recall_at_5"), "quote_hit", "retrieved_something", "top_score", "latency_ms")
+
+
+_DELTA = {
+    "q2": r"SELECT query_id, CASE WHEN query_id % 2 = 0 THEN regexp_replace(text, '^\S+ \S+ ', '') ELSE text END AS text FROM qs",
+    "qt2": f"SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), {_W})) AS term FROM q2",
+    "bm2": "SELECT query_id, chunk_id, sum(round(idf * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)) * 1e12)::BIGINT) / 1e12 AS score FROM qt2 JOIN post USING (term) JOIN ts USING (term) JOIN dl USING (chunk_id), cs GROUP BY ALL",
+    "sp2": "SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm2 WHERE score > 0",
+    "mr2": "SELECT example_id, CASE WHEN any_value(mode) = 'any' THEN coalesce(1.0 / min(rank), 0) ELSE sum(coalesce(1.0 / rank, 0)) / count(*) END AS value FROM (SELECT hit.example_id, ex.mode, hit.document_id, min(rank) AS rank FROM hit JOIN ex USING (example_id) LEFT JOIN (SELECT query_id, split_part(chunk_id, ':', 1) AS document_id, rank FROM sp2 WHERE rank <= 5) t ON t.query_id = hit.example_id AND t.document_id = hit.document_id GROUP BY ALL) GROUP BY 1",
+}
+
+
+@query(w("met qs post ts dl cs hit ex", "SELECT 'mrr' AS metric, round(a, 6) AS original, round(b, 6) AS without_titles, round(b - a, 6) AS delta, (SELECT count(*) FROM qs JOIN q2 USING (query_id) WHERE qs.text <> q2.text) AS changed FROM (SELECT avg(value) AS a FROM met WHERE metric = 'mrr'), (SELECT avg(value) AS b FROM mr2)", **_DELTA))
+def difficulty_delta(spark, sf):
+    """A question's first two words as its document's title, bracketed, for every other question."""
+    c, index = v.default_index(spark, sf)
+    e = materialize(v.examples(spark, sf))
+
+    def measure(asked: DataFrame) -> DataFrame:
+        lists = ev.ranked_lists(search.sparse_search(asked, index, v.TOP_K), c).withColumnRenamed("query_id", "example_id")
+        return ev.example_metrics(e, lists).where("metric = 'mrr'")
+
+    named = F.when(F.col("query_id") % 2 == 0, F.regexp_replace("text", r"^(\S+ \S+) ", "《$1》 ")).otherwise(F.col("text"))
+    return ev.difficulty_delta(v.questions(spark, sf).select("query_id", named.alias("text")), measure)
+
+
+_SET = {
+    **_LAB, "tt": _TITLES,
+    "hp": "SELECT ex.example_id, hit.document_id, CASE WHEN ex.example_id % 5 = 0 THEN 2 ELSE 1 END AS page FROM hit JOIN ex USING (example_id)",
+    "ov1": f"SELECT round(CASE WHEN length(q) < 2 THEN 0 ELSE len(list_intersect({_BG.format('q')}, {_BG.format('t')})) / len({_BG.format('q')}) END, 9) AS o, example_id FROM (SELECT example_id, regexp_replace(question, '\\s+', '', 'g') AS q, regexp_replace(quote, '\\s+', '', 'g') AS t FROM ex WHERE n > 0)",
+}
+
+
+def _overlap_rows(name: str, where: str) -> str:
+    return f"SELECT '{name}', i, round(list_sort(l)[CASE i WHEN 'median' THEN len(l) // 2 + 1 WHEN 'p90' THEN least(len(l) - 1, floor(len(l) * 0.9::DOUBLE)::INT) + 1 ELSE len(l) END], 6) FROM (SELECT list(o) AS l FROM ov1 WHERE {where}), (SELECT unnest(['median', 'p90', 'largest']) AS i) WHERE len(l) > 0"
+
+
+@query(w("ex hit qs", f"""SELECT section, item, value::DOUBLE AS value FROM (
+  SELECT 'examples' AS section, 'all' AS item, count(*)::DOUBLE AS value FROM ex UNION ALL SELECT 'examples', 'refusals', count(*) FILTER (should_refuse) FROM ex UNION ALL SELECT 'examples', 'multiple_hops', count(*) FILTER (n > 1) FROM ex
+  UNION ALL SELECT 'questions', 'unique', count(DISTINCT question) FROM ex UNION ALL SELECT 'questions', 'duplicated', count(*) FROM (SELECT question FROM ex GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'questions', 'naming_a_document', count(*) FROM ex WHERE {_LEAK}
+  UNION ALL SELECT 'categories', category, count(*) FROM ex GROUP BY category UNION ALL SELECT 'modes', mode, count(*) FROM ex WHERE NOT should_refuse GROUP BY mode
+  UNION ALL SELECT 'hops', CASE page WHEN 1 THEN 'verified' ELSE 'other_page' END, count(*) FROM hp GROUP BY page UNION ALL SELECT 'hops', 'page_out_of_range', count(*) FROM hp WHERE page > 1
+  UNION ALL {_overlap_rows('overlap', 'true')} UNION ALL {_overlap_rows('overlap_of_comparison', 'example_id % 2 = 0')})""", **_SET))
+def generated_set_audit(spark, sf):
+    """The label set with a wrong page for every fifth example, against its even examples."""
+    e = materialize(v.examples(spark, sf))
+    page = F.when(F.col("example_id") % 5 == 0, 2).otherwise(1)
+    off = e.withColumn("hops", F.transform("hops", lambda h: F.struct(h["document_id"].alias("document_id"), page.alias("page"), h["quote"].alias("quote"))))
+    return audit.generated_set_audit(off, v.pages(spark, sf), _titles(spark, sf), e.where("example_id % 2 = 0"))
+
+
+@query(w("ch", "SELECT document_id, count(*) AS chunks, sum(length(text))::BIGINT AS characters FROM ch GROUP BY 1"))
+def ingest_stream(spark, sf):
+    """The documents as a stream into a versioned chunk table."""
+    schema = v.table(spark, sf, "documents").schema
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents*.parquet").parquet(sf)
+    path = _folder(spark)
+    jobs.ingest_documents(arriving.select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page"), "text"), f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    return jobs.current_rows(spark, f"{path}/table", "document_id").groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("characters"))
+
+
+@query("SELECT count(*) AS exact, true AS enough FROM (SELECT q.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC) AS k FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 WHERE list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) > 0) WHERE k <= 10")
+def ann_recall(spark, sf):
+    """whether the buckets find at least nine tenths of the exact neighbours."""
+    exact, near = cosine_topk(spark, sf).select("query_id", "chunk_id"), ann_topk(spark, sf).select("query_id", "chunk_id", F.lit(1).alias("found"))
+    both = exact.join(near, ["query_id", "chunk_id"], "left")
+    return both.agg(F.count(F.lit(1)).alias("exact"), (F.coalesce(F.sum("found"), F.lit(0)) >= 0.9 * F.count(F.lit(1))).alias("enough"))
