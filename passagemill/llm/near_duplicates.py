@@ -111,7 +111,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
 def short_signatures(whole: np.ndarray) -> np.ndarray:
     """Two bits of each coordinate, four coordinates a byte: nearly as sharp an estimate in a sixteenth of the room."""
-    low = (whole & np.uint32(3)).astype(np.uint8).reshape(len(whole), -1, 4)
+    low = (whole & np.uint32(3)).astype(np.uint8).reshape(len(whole), _BYTES, 4)
     return low[:, :, 0] | low[:, :, 1] << 2 | low[:, :, 2] << 4 | low[:, :, 3] << 6
 
 
