@@ -1,21 +1,30 @@
-"""A bounded bitmap of ids, which spares a join the rows that surely have no partner."""
+"""A bounded bitmap of ids, which spares a join the rows that surely have no partner; the size of Arrow batches."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.functions.bitmaps import bitmap_of, has_bit, set_words
 from passagemill.sources.scratch import discard, materialize, shared_dir
 
-__all__ = ["BITMAP_BITS", "bitmap_of", "discard", "has_bit", "materialize", "shared_dir", "split_by_bitmap"]
+__all__ = ["BITMAP_BITS", "bitmap_of", "bounded_batches", "discard", "has_bit", "materialize", "shared_dir", "split_by_bitmap"]
 
 #: Bits of a membership bitmap at most: 18 MB as a broadcast table, whatever the number of ids.
 BITMAP_BITS = 1 << 27
 #: Words of 64 bits in a row of that table.
 _ROW = 64
+#: Rows of an Arrow batch at most: what a task holds of a table at once, in the JVM and in its Python worker.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS at most in this session; a smaller number that is set already stays."""
+    if not 0 < int(spark.conf.get(_BATCH_CONF)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, BATCH_ROWS)
 
 
 def split_by_bitmap(rows: DataFrame, key: str, ids: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
