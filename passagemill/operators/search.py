@@ -26,6 +26,8 @@ from .index import K1, B, Index
 UNIT = 1e12
 #: So many questions at most are broadcast against the vectors; more go block by block.
 BROADCAST_QUERIES = 50_000
+#: So many bytes of asked terms at most are broadcast against the postings.
+BROADCAST_TERMS = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -64,15 +66,23 @@ def _ranked(scored: DataFrame, k: int | None, *ties: str) -> DataFrame:
 def sparse_scores(queries: DataFrame, index: Index) -> DataFrame:
     """(query_id, chunk_id, score): BM25 over the chunks that hold a query term. [C1 C2 D4]
 
-    queries(query_id, text[, scope]). Term weights are summed with map-side combine; the hot side of a frequent term
-    is the postings, which Spark reads in place while the question side is small.
+    queries(query_id, text[, scope]). The asked terms with their statistics are written once and measured. Up to
+    BROADCAST_TERMS bytes they are broadcast: postings of other terms go in the scan, what is left is dealt out by chunk,
+    and pairs are made and summed where their chunk is, so a posting moves once however many questions ask for it and no
+    pair moves. Beyond that both sides meet by term, and pairs are summed with map-side combine.
     """
     scope = F.col("scope") if "scope" in queries.columns else F.lit("all")
     asked = queries.select("query_id", scope.alias("scope"), F.explode(terms(F.col("text"))).alias("term"))
     # statistics of the asked terms only: the semi join goes below the count of documents
     stats = index.terms.join(asked.select("scope", "term").distinct(), ["scope", "term"], "left_semi")
-    known = asked.join(stats, ["scope", "term"]).join(F.broadcast(index.corpus), "scope").select("query_id", "scope", "term", "idf", "avgdl")
-    hits = index.postings.join(known, ["scope", "term"])
+    known = materialize(asked.join(stats, ["scope", "term"]).join(F.broadcast(index.corpus), "scope").select("query_id", "scope", "term", "idf", "avgdl"))
+    postings = index.postings
+    # 64 bytes for the numbers and what a row takes besides
+    taken = known.agg(F.sum(64 + sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in ("query_id", "scope", "term")))).first()[0]
+    if (taken or 0) <= BROADCAST_TERMS:
+        known = F.broadcast(known)
+        postings = postings.join(known, ["scope", "term"], "left_semi").repartition("chunk_id")
+    hits = postings.join(known, ["scope", "term"])
     part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "chunk_id").agg((F.sum(F.round(part * UNIT).cast("long")) / UNIT).alias("score"))
 
