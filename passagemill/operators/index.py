@@ -49,8 +49,12 @@ def tokenised(chunks: DataFrame, scope: Column | None = None) -> DataFrame:
 
 
 def postings_of(rows: DataFrame) -> DataFrame:
-    """(scope, term, chunk_id, tf, dl) of tokenised rows."""
-    return rows.select("scope", "chunk_id", "dl", F.explode("tf").alias("x")).select("scope", "x.term", "chunk_id", "x.tf", "dl")
+    """(scope, term, chunk_id, tf, dl) of tokenised rows.
+
+    ``explode`` would let the optimizer put a test of the array's size below the counting and count anew for it; the
+    outer form gives one null for a chunk without tokens, which goes after it.
+    """
+    return rows.select("scope", "chunk_id", "dl", F.explode_outer("tf").alias("x")).where("x is not null").select("scope", "x.term", "chunk_id", "x.tf", "dl")
 
 
 def term_frequencies(chunks: DataFrame, scope: Column | None = None) -> DataFrame:
