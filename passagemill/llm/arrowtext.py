@@ -7,6 +7,7 @@ a Python object for each; memory follows the piece size, not the batch or the lo
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,9 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE = 1 << 19
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: tuple[np.ndarray, np.ndarray] | None = None
+_SEED, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA24BAED4963EE407)
 
 
 def text_rows(batch: pa.RecordBatch, column: str | int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,29 +72,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        size = max(n, PIECE + 4096)
-        up, down = np.full(size, _BASE), np.full(size, _INVERSE)
-        up[0] = down[0] = 1
-        _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers
+#: Spans of more bytes are hashed one by one.
+_SHORT = 64
+_LOW = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
-def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of a uint64 array: equal content gives an equal hash wherever it stands."""
-    up, down = _pow(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values + np.uint64(1)) * up[: len(values)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: equal content gives an equal hash wherever it stands.
+
+    Up to _SHORT bytes, eight bytes after each other are mixed into the hash by a step that is not linear, for all
+    spans side by side; longer spans take a cryptographic digest, so patterns in them can't cancel out.
+    """
+    length = (end - start).astype(np.int64)
+    out = mix(length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + _SEED)
+    long = np.flatnonzero(length > _SHORT)
+    size = np.where(length > _SHORT, 0, length)
+    eight = np.zeros(len(data) + 8, np.uint8)
+    eight[: len(data)] = data
+    eight = np.lib.stride_tricks.sliding_window_view(eight, 8)
+    todo = np.flatnonzero(size > 0)
+    at = 0
+    while len(todo):
+        word = eight[start[todo] + at].view("<u8").ravel() & _LOW[np.minimum(size[todo] - at, 8)]
+        out[todo] = mix((out[todo] ^ word) * _STEP + np.uint64(at + 1))
+        at += 8
+        todo = todo[size[todo] > at]
+    for i in long.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def word_table(separators: set[int], lower: bool) -> np.ndarray:
-    """Byte → 0 for a separator, else the byte (A-Z folded if asked) plus 1."""
-    table = np.arange(1, 257, dtype=np.uint64)
+    """Byte → 0 for a separator, else the byte (A-Z folded if asked). Byte 0 must be a separator or never occur in words;
+    where it is none (SPACES), it stands as 0xFF, which UTF-8 doesn't hold."""
+    table = np.arange(256).astype(np.uint8)
+    table[0] = 0xFF
     if lower:
-        table[ord("A") : ord("Z") + 1] += np.uint64(32)
+        table[ord("A") : ord("Z") + 1] += np.uint8(32)
     table[list(separators)] = 0
     return table
 
@@ -107,7 +120,7 @@ SPACED_WORDS = word_table(SPACES, lower=True)
 ALNUM_WORDS = word_table(NOT_ALNUM - {*range(ord("A"), ord("Z") + 1)}, lower=True)
 
 
-def _pieces(breaks: np.ndarray, data: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+def byte_pieces(breaks: np.ndarray, data: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
     """Cuts right after a break byte, about every ``size`` bytes, so that no word is divided."""
     lo, n = 0, len(data)
     while lo < n:
@@ -127,11 +140,10 @@ def _pieces(breaks: np.ndarray, data: np.ndarray, size: int) -> Iterator[tuple[i
         lo = hi
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word, and the index of each row's first word (n + 1 entries)."""
-    hashes, starts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+def _spans(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first byte, folded bytes, word starts, word ends) of pieces that no word crosses."""
     row_start = at[:-1]
-    for lo, hi in _pieces(table == 0, data, PIECE):
+    for lo, hi in byte_pieces(table == 0, data, PIECE):
         low = table[data[lo:hi]]
         inside = low != 0
         first = inside.copy()
@@ -140,7 +152,24 @@ def word_hashes(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np
         first[own] = inside[own]
         goes_on = np.zeros(len(low), bool)
         goes_on[:-1] = inside[1:] & ~first[1:]
-        s, e = np.flatnonzero(first), np.flatnonzero(inside & ~goes_on) + 1
+        yield lo, low, np.flatnonzero(first), np.flatnonzero(inside & ~goes_on) + 1
+
+
+def word_spans(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The folded bytes, start and end of every word in them, and the index of each row's first word (n + 1 entries)."""
+    low, start, end = [np.empty(0, np.uint8)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for lo, part, s, e in _spans(data, at, table):
+        low.append(part)
+        start.append(s + lo)
+        end.append(e + lo)
+    every = np.concatenate(start)
+    return np.concatenate(low), every, np.concatenate(end), np.searchsorted(every, at)
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word, and the index of each row's first word (n + 1 entries)."""
+    hashes, starts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for lo, low, s, e in _spans(data, at, table):
         hashes.append(span_hashes(low, s, e))
         starts.append(s + lo)
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), at)

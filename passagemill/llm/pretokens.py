@@ -145,4 +145,4 @@ def pretokens(data: np.ndarray, rows: np.ndarray, classes: np.ndarray, special:
     s = np.flatnonzero(start[:n])
     begin = at[s]
     end = np.append(begin[1:], at[n]) if n else begin
-    return begin, end, span_hashes(data.astype(np.uint64), begin, end)
+    return begin, end, span_hashes(data, begin, end)

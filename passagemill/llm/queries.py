@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from .byte_bpe import round_trip
 from .chat_format import format_conversations, read_back
 from .decontaminate import decontaminate
+from .exact_top_k import exact_top_k
 from .held_out import fold
+from .importance_resampling import resample
 from .language_id import learn as learn_languages
 from .language_id import predict as predict_language
 from .license_scan import license_scan
 from .near_duplicates import near_duplicates
+from .phrase_mining import mine_phrases
 from .quality_classifier import learn as learn_quality
 from .quality_classifier import score as score_quality
 from .quality_rules import quality_rules
@@ -95,8 +98,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(_table(spark, sf_dir, "documents"))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_counts, op2_license_scan, op3_near_duplicates, op4_quality_classifier, op5_bpe_round_trip, op6_quality_rules, op7_language_id, op8_chat_formatting, op9_toxicity, op10_decontamination]
+    own = [
+        op1_token_counts, op2_license_scan, op3_near_duplicates, op4_quality_classifier, op5_bpe_round_trip, op6_quality_rules, op7_language_id, op8_chat_formatting, op9_toxicity, op10_decontamination,
+        op11_phrase_mining, op12_exact_top_k, op13_importance_resampling,
+    ]
     return {f.__name__: f for f in own}
 
 
@@ -193,6 +212,69 @@ FROM dw LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+_OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, (VALUES (1), (2), (3), (4), (5)) sizes(m) WHERE len(w) >= m)
+), f AS (SELECT lang, m, phrase, count(*) AS n FROM grams GROUP BY ALL
+), total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE m = 1 GROUP BY 1
+), cand AS (SELECT lang, m, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND n >= 100
+), inner_phrases AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS held
+  FROM (SELECT lang, w, a, k, unnest(range(1, m - k + 2)) AS i FROM cand, (VALUES (2), (3), (4)) sizes(k) WHERE k < m) GROUP BY 1, 2
+), free AS (
+  SELECT c.* FROM cand c LEFT JOIN inner_phrases x ON x.lang = c.lang AND x.phrase = c.phrase WHERE x.held IS NULL OR 100 * x.held < 100 * c.a
+), cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS p, array_to_string(w[k + 1:m], ' ') AS q FROM (SELECT *, unnest(range(1, m)) AS k FROM free)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.n AS l, y.n AS r, t.n, ((1000::HUGEINT * c.a * t.n) // (x.n::HUGEINT * y.n))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.p JOIN f y ON y.lang = c.lang AND y.phrase = c.q JOIN total t ON t.lang = c.lang
+), least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM least QUALIFY rank <= 2000
+"""
+
+_OP12 = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.k AS own, q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON v.k <> q.k WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored QUALIFY rank <= 5
+"""
+
+_OP13 = r"""
+WITH RECURSIVE step(i, v, k) AS (
+  SELECT range, range, 0 FROM range(256) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END, k + 1 FROM step WHERE k < 8
+), crc AS (SELECT list(v ORDER BY i) AS t FROM step WHERE k = 8
+), dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), bw AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark
+), counted AS (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(w) AS f FROM dw) GROUP BY 1, 2
+), place AS (
+  SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(h) // 2 + 1), lambda i: ('0x' || h[2 * i - 1:2 * i])::BIGINT)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 10000 AS bucket
+  FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM counted UNION SELECT f FROM bw)), crc
+), s AS (SELECT bucket, sum(n)::BIGINT AS n FROM counted JOIN place USING (f) GROUP BY 1
+), t AS (SELECT bucket, count(*) AS n FROM bw JOIN place USING (f) GROUP BY 1
+), totals AS (SELECT coalesce((SELECT sum(n) FROM s), 0)::DOUBLE AS s, coalesce((SELECT sum(n) FROM t), 0)::DOUBLE AS t
+), gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (totals.s + 10000) / ((s.n + 1)::DOUBLE * (totals.t + 10000))))::BIGINT AS g FROM s LEFT JOIN t USING (bucket), totals
+), sums AS (SELECT doc_id, sum(n)::BIGINT AS n, sum(n * g)::BIGINT AS g FROM counted JOIN place USING (f) JOIN gain USING (bucket) GROUP BY 1
+), weighed AS (
+  SELECT dw.doc_id, len(w)::BIGINT AS n_features, CASE WHEN len(w) = 0 THEN 0 ELSE (sums.g - (((sums.g % sums.n) + sums.n) % sums.n)) // sums.n END::BIGINT AS weight,
+    ('0x' || substr(sha256('2024:' || coalesce(dw.doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM dw LEFT JOIN sums ON sums.doc_id IS NOT DISTINCT FROM dw.doc_id
+), scored AS (SELECT doc_id, n_features, weight, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score FROM weighed
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS fit FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * fit // 100 THEN place END AS rank FROM ranked
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express; the others have brute-force and held-out tests."""
-    return {"op3_near_duplicates": _OP3, "op6_quality_rules": _OP6, "op8_chat_formatting": _OP8, "op10_decontamination": _OP10}
+    return {"op3_near_duplicates": _OP3, "op6_quality_rules": _OP6, "op8_chat_formatting": _OP8, "op10_decontamination": _OP10, "op11_phrase_mining": _OP11, "op12_exact_top_k": _OP12, "op13_importance_resampling": _OP13}
