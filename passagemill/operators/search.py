@@ -1,4 +1,4 @@
-"""Channel rankings, their fusion, expansion and reranking, for all questions at once. [C1-C4 D4-D7 E1-E3 F1-F4 G1 H5 H6 I1-I5]
+"""Channel rankings, their fusion, expansion and reranking, for all questions at once. [C1-C4 D4-D7 E1-E3 F1-F3 G1 H5 H6 I1-I5]
 
 A ranking is (query_id, chunk_id, score, rank). Scores are kept to 1e-12 so that the order of additions can't change
 a rank: contributions are added as whole numbers of 1e-12.
@@ -141,8 +141,8 @@ class _Best:
 _BUFFER, _CELLS = 1 << 19, 1 << 21
 
 
-def _nearest(queries: DataFrame, vectors: DataFrame, k: int | None, normalized: bool, digits: int, ways: np.ndarray | None = None, bucket: float = 1.0) -> DataFrame:
-    """(query_id, chunk_id, score): candidates with the k best of each question; with ``ways``, of those that share a bucket."""
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int | None, normalized: bool, digits: int) -> DataFrame:
+    """(query_id, chunk_id, score): candidates with the k best of each question."""
     n = queries.count()
     blocks = max(1, -(-n // BROADCAST_QUERIES))
     asked_kind, kind = queries.schema["query_id"].dataType, vectors.schema["chunk_id"].dataType
@@ -152,11 +152,10 @@ def _nearest(queries: DataFrame, vectors: DataFrame, k: int | None, normalized:
         own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "vector").toArrow()  # about a block
         asked = _matrix(own["vector"])
         length = np.linalg.norm(asked, axis=1)
-        places = None if ways is None or not len(asked) else np.floor(asked @ ways.T / bucket)
-        shared = vectors.sparkSession.sparkContext.broadcast((own["query_id"].combine_chunks(), asked, length, places))
+        shared = vectors.sparkSession.sparkContext.broadcast((own["query_id"].combine_chunks(), asked, length))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, asked, length, places = shared.value
+            names, asked, length = shared.value
             best, step = _Best(len(asked), k), max(1, _CELLS // max(1, len(asked)))
             for batch in batches:
                 every = _matrix(batch.column("vector"))
@@ -168,11 +167,6 @@ def _nearest(queries: DataFrame, vectors: DataFrame, k: int | None, normalized:
                     if not normalized:
                         size = np.linalg.norm(own, axis=1)[:, None] * length
                         score = np.where(size == 0, 0.0, score / np.where(size == 0, 1.0, size))
-                    if places is not None:
-                        mine, near = np.floor(own @ ways.T / bucket), np.zeros(score.shape, bool)
-                        for t in range(len(ways)):
-                            near |= mine[:, t, None] == places[:, t]
-                        score = np.where(near, score, 0.0)
                     best.add(np.round(score, digits), batch.column("chunk_id").slice(lo, step))
             found = best.cut()
             yield pa.RecordBatch.from_arrays([names.take(pa.array(found["question"].to_numpy(np.int64))), pa.array(found["id"], _arrow(kind)), pa.array(found["score"].to_numpy(np.float64))], ["query_id", "chunk_id", "score"])
@@ -186,25 +180,6 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
 
 
-def approximate_search(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 12, bucket: float = 0.6, seed: int = 5) -> DataFrame:
-    """Cosine top-k over candidates that share a random-projection bucket; no candidate is cut by its distance. [F4]
-
-    queries(query_id, vector), vectors(chunk_id, vector) of length 1. A question with fewer than k candidates of
-    positive cosine is compared with every vector. Buckets are tested beside the matrix product of ``dense_search``.
-    Vectors without neighbours closer than chance need wide buckets, which spare little: measure the recall against
-    ``dense_search`` before narrowing them.
-    """
-    first = vectors.select(F.size("vector").alias("n")).first()
-    if first is None:
-        return dense_search(queries, vectors, k, normalized=True)
-    ways = np.random.default_rng(seed).normal(size=(tables, first.n))
-    ways /= np.linalg.norm(ways, axis=1, keepdims=True)
-    found = materialize(_ranked(_nearest(queries, vectors, k, True, 12, ways, bucket), k))
-    full = found.where(F.col("rank") == k).select("query_id")
-    rest = materialize(queries.join(full, "query_id", "left_anti"))
-    return found.join(full, "query_id", "left_semi").unionByName(dense_search(rest, vectors, k, normalized=True)) if rest.limit(1).count() else found
-
-
 def fuse(dense: DataFrame, sparse: DataFrame, chunks: DataFrame, how: Fusion, k: int) -> DataFrame:
     """(query_id, chunk_id, score, best_rank, rank, page, text): both rankings combined, the first k. [C4 D5 D6 E2 E3 G1 I3]
 
