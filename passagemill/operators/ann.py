@@ -44,7 +44,7 @@ class Cells:
 
 @dataclass(frozen=True)
 class AnnIndex:
-    """cells, codes(cell, chunk_id, code, wide) in the order of cells, vectors(chunk_id, vector) of length 1."""
+    """cells, codes(cell, chunk_id, code, wide, same) in the order of cells, vectors(chunk_id, vector) of length 1."""
 
     cells: Cells
     codes: DataFrame
@@ -121,10 +121,10 @@ def build_ann(vectors: DataFrame, k: int = 10, recall: float = 0.95, sample_rows
             level = np.rint((x - c.centers[at] - c.low) / c.step)
             code = np.clip(level, 0, _LEVELS).astype(np.uint8)
             wide = (level != code).any(axis=1)  # a code was cut, so no bound holds: always compared by the vector
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column("chunk_id"), pa.array([r.tobytes() for r in code], pa.binary()), pa.array(wide)], ["cell", "chunk_id", "code", "wide"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column("chunk_id"), pa.array([r.tobytes() for r in code], pa.binary()), pa.array(wide), batch.column("same")], ["cell", "chunk_id", "code", "wide", "same"])
 
     kind = vectors.schema["chunk_id"].dataType.simpleString()
-    codes = vectors.select("chunk_id", "vector").mapInArrow(run, f"cell int, chunk_id {kind}, code binary, wide boolean")
+    codes = vectors.select("chunk_id", "vector", F.xxhash64("vector").alias("same")).mapInArrow(run, f"cell int, chunk_id {kind}, code binary, wide boolean, same long")
     return AnnIndex(cells, materialize(codes.repartitionByRange("cell", "chunk_id").sortWithinPartitions("cell", "chunk_id")), vectors, rows)
 
 
@@ -134,22 +134,28 @@ class _Near:
     def __init__(self, questions: int, k: int, slack: np.ndarray) -> None:
         self.k, self.slack, self.least, self.parts, self.size = k, slack, np.full(questions, -np.inf), [], 0
 
-    def add(self, who: np.ndarray, score: np.ndarray, ids: np.ndarray, always: np.ndarray) -> None:
+    def add(self, who: np.ndarray, score: np.ndarray, ids: np.ndarray, always: np.ndarray, same: np.ndarray) -> None:
         at, q = np.nonzero((score >= self.least[who]) | always[:, None])
-        self.parts.append((who[q], score[at, q], ids[at], always[at]))
+        self.parts.append((who[q], score[at, q], ids[at], always[at], same[at]))
         self.size += len(at)
         if self.size > _BUFFER:
             self.cut()
 
     def cut(self) -> tuple[np.ndarray, ...]:
-        q, score, ids, always = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, bool))
-        order = np.lexsort((-score, q))
-        q, score, ids, always = q[order], score[order], ids[order], always[order]
+        q, score, ids, always, same = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64))
+        # of equal vectors the k with the smallest ids can be among the k nearest; ids come in order within a cell
+        order = np.lexsort((ids, same, q))
+        new = np.ones(len(order), bool)
+        new[1:] = (same[order[1:]] != same[order[:-1]]) | (q[order[1:]] != q[order[:-1]])
+        nth = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        order = order[nth < self.k]
+        order = order[np.lexsort((-score[order], q[order]))]
+        q, score, ids, always, same = q[order], score[order], ids[order], always[order], same[order]
         first, n = np.searchsorted(q, np.arange(len(self.least))), np.bincount(q, minlength=len(self.least))
         full = np.flatnonzero(n >= self.k)
         self.least[full] = np.maximum(self.least[full], score[first[full] + self.k - 1] - self.slack[full])
         kept = (score >= self.least[q]) | always
-        self.parts, self.size = [(q[kept], score[kept], ids[kept], always[kept])], int(kept.sum())
+        self.parts, self.size = [(q[kept], score[kept], ids[kept], always[kept], same[kept])], int(kept.sum())
         return self.parts[0]
 
 
@@ -172,7 +178,7 @@ def _candidates(queries: pa.Table, index: AnnIndex, k: int, probes: int) -> Data
         for batch in batches:
             at, n = batch.column("cell").to_numpy(), batch.num_rows
             ids.append(batch.column("chunk_id"))
-            wide = batch.column("wide").to_numpy(zero_copy_only=False)
+            wide, same = batch.column("wide").to_numpy(zero_copy_only=False), batch.column("same").to_numpy()
             code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(n, -1)
             for lo, hi in _runs(at):
                 some = who[bounds[at[lo]] : bounds[at[lo] + 1]]
@@ -180,9 +186,9 @@ def _candidates(queries: pa.Table, index: AnnIndex, k: int, probes: int) -> Data
                 for a in range(lo, hi if len(some) else lo, step):
                     b = min(hi, a + step)
                     rebuilt = cells.centers[at[lo]] + cells.low + code[a:b] * cells.step
-                    best.add(some, rebuilt @ asked[some].T, np.arange(base + a, base + b), wide[a:b])
+                    best.add(some, rebuilt @ asked[some].T, np.arange(base + a, base + b), wide[a:b], same[a:b])
             base += n
-        q, score, place, always = best.cut()
+        q, score, place, always, _ = best.cut()
         every = pa.chunked_array(ids, ids[0].type) if ids else pa.chunked_array([], _arrow(kind))
         yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), every.take(pa.array(place)).combine_chunks(), pa.array(score), pa.array(slack[q]), pa.array(always)], ["query_id", "chunk_id", "score", "slack", "always"])
 
@@ -190,7 +196,7 @@ def _candidates(queries: pa.Table, index: AnnIndex, k: int, probes: int) -> Data
     probed = np.unique(cell)
     if len(probed) < len(index.cells.centers):
         codes = codes.where(F.col("cell").isin(probed.tolist()))
-    return codes.select("cell", "chunk_id", "code", "wide").mapInArrow(run, schema)
+    return codes.select("cell", "chunk_id", "code", "wide", "same").mapInArrow(run, schema)
 
 
 def _runs(cells: np.ndarray) -> Iterator[tuple[int, int]]:
