@@ -28,6 +28,10 @@ UNIT = 1e12
 BROADCAST_QUERIES = 50_000
 #: So many bytes of asked terms at most are broadcast against the postings.
 BROADCAST_TERMS = 32 << 20
+#: Tasks over which a term is dealt out where the terms are not broadcast.
+SALTS = 32
+#: Rows of the first block of a task, and of any: the k-th best of the first ones bounds the next.
+_FIRST_ROWS, _MOST_ROWS = 1 << 8, 1 << 12
 
 
 @dataclass(frozen=True)
@@ -63,33 +67,164 @@ def _ranked(scored: DataFrame, k: int | None, *ties: str) -> DataFrame:
     return out if k is None else out.where(F.col("rank") <= k)
 
 
+def _asked_terms(queries: DataFrame, index: Index) -> tuple[DataFrame, bool]:
+    """((query_id, scope, term, idf, avgdl) of the asked terms that the index has, whether they may be broadcast)."""
+    scope = F.col("scope") if "scope" in queries.columns else F.lit("all")
+    asked = queries.select("query_id", scope.alias("scope"), F.explode(terms(F.col("text"))).alias("term"))
+    # statistics of the asked terms only: the semi join goes below the count of documents
+    stats = index.terms.join(asked.select("scope", "term").distinct(), ["scope", "term"], "left_semi")
+    known = materialize(asked.join(stats, ["scope", "term"]).join(F.broadcast(index.corpus.select("scope", "avgdl")), "scope").select("query_id", "scope", "term", "idf", "avgdl"))
+    # 64 bytes for the numbers and what a row takes besides
+    taken = known.agg(F.sum(64 + sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in ("query_id", "scope", "term")))).first()[0]
+    return known, (taken or 0) <= BROADCAST_TERMS
+
+
 def sparse_scores(queries: DataFrame, index: Index) -> DataFrame:
-    """(query_id, chunk_id, score): BM25 over the chunks that hold a query term. [C1 C2 D4]
+    """(query_id, chunk_id, score): BM25 over all chunks that hold a query term. [C1 C2 D4]
 
     queries(query_id, text[, scope]). The asked terms with their statistics are written once and measured. Up to
     BROADCAST_TERMS bytes they are broadcast: postings of other terms go in the scan, what is left is dealt out by chunk,
     and pairs are made and summed where their chunk is, so a posting moves once however many questions ask for it and no
-    pair moves. Beyond that both sides meet by term, and pairs are summed with map-side combine.
+    pair moves. Beyond that both sides meet by term and a part of the chunk's hash, so a frequent term is dealt out over
+    SALTS tasks, and pairs are summed with map-side combine.
     """
-    scope = F.col("scope") if "scope" in queries.columns else F.lit("all")
-    asked = queries.select("query_id", scope.alias("scope"), F.explode(terms(F.col("text"))).alias("term"))
-    # statistics of the asked terms only: the semi join goes below the count of documents
-    stats = index.terms.join(asked.select("scope", "term").distinct(), ["scope", "term"], "left_semi")
-    known = materialize(asked.join(stats, ["scope", "term"]).join(F.broadcast(index.corpus), "scope").select("query_id", "scope", "term", "idf", "avgdl"))
+    return _all_scores(*_asked_terms(queries, index), index)
+
+
+def _all_scores(known: DataFrame, small: bool, index: Index) -> DataFrame:
     postings = index.postings
-    # 64 bytes for the numbers and what a row takes besides
-    taken = known.agg(F.sum(64 + sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in ("query_id", "scope", "term")))).first()[0]
-    if (taken or 0) <= BROADCAST_TERMS:
+    if small:
         known = F.broadcast(known)
-        postings = postings.join(known, ["scope", "term"], "left_semi").repartition("chunk_id")
-    hits = postings.join(known, ["scope", "term"])
+        hits = postings.join(known, ["scope", "term"], "left_semi").repartition("chunk_id").join(known, ["scope", "term"])
+    else:
+        salted = postings.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int"))
+        hits = salted.join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["scope", "term", "salt"])
     part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "chunk_id").agg((F.sum(F.round(part * UNIT).cast("long")) / UNIT).alias("score"))
 
 
+class _Asked:
+    """The asked terms as arrays: pairs of (question, term), and for each term its weight and mean length."""
+
+    def __init__(self, known: pa.Table) -> None:
+        names = known["query_id"].combine_chunks().dictionary_encode()
+        self.names, self.question = names.dictionary, names.indices.to_numpy()
+        key = pc.binary_join_element_wise(known["scope"].cast(pa.string()), known["term"], "\0").combine_chunks().dictionary_encode()
+        self.keys, self.term = key.dictionary, key.indices.to_numpy()
+        self.idf, self.avgdl = np.zeros(len(self.keys)), np.ones(len(self.keys))
+        self.idf[self.term], self.avgdl[self.term] = known["idf"].to_numpy(), known["avgdl"].to_numpy()
+        order = np.lexsort((self.term, self.question))
+        self.question, self.term = self.question[order], self.term[order]
+
+    def impacts(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, contribution in units of 1e-12) of each asked term of each row, by row and term."""
+        lists = batch.column("tf")
+        flat = lists.flatten()
+        row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        held = pc.binary_join_element_wise(batch.column("scope").take(pa.array(row)), flat.field("term"), "\0")
+        term = pc.index_in(held, value_set=self.keys)
+        hit = np.flatnonzero(pc.is_valid(term).to_numpy(zero_copy_only=False))
+        row, term = row[hit], pc.fill_null(term, 0).to_numpy(zero_copy_only=False)[hit].astype(np.int64)
+        tf, dl = flat.field("tf").to_numpy(zero_copy_only=False)[hit], batch.column("dl").to_numpy(zero_copy_only=False)[row]
+        part = self.idf[term] * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / self.avgdl[term]))
+        order = np.lexsort((term, row))
+        return row[order], term[order], np.floor(part * UNIT + 0.5)[order]
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(n)
+    return np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _block_scores(asked: _Asked, row: np.ndarray, term: np.ndarray, part: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(question, row, score, pairs made) of a block of rows: all that may reach ``least``, the k-th best of each question.
+
+    The largest contribution of each term in the block bounds what a question can get there. Terms of a question that
+    together stay below its k-th best can't bring a row in: candidates come from the other terms alone, and a question
+    without any has none. Candidates then get the contributions of all terms of their question.
+    """
+    most = np.zeros(len(asked.keys))
+    np.maximum.at(most, term, part)
+    by_term = np.argsort(term, kind="stable")
+    first, n = np.searchsorted(term[by_term], np.arange(len(asked.keys))), np.bincount(term, minlength=len(asked.keys))
+    held = np.flatnonzero(n[asked.term] > 0)
+    question, own = asked.question[held], asked.term[held]
+    order = np.lexsort((most[own], question))
+    question, own = question[order], own[order]
+    upto = np.cumsum(most[own])
+    start = np.searchsorted(question, question)
+    upto -= np.where(start > 0, upto[start - 1], 0.0)
+    brings = upto >= least[question]
+    q, t = question[brings], own[brings]
+    at = by_term[_ranges(first[t], n[t])]
+    pair = np.unique(np.repeat(q, n[t]) * np.int64(1 << 32) + row[at])
+    made = int(n[t].sum())
+    q, r = pair >> 32, pair & ((1 << 32) - 1)
+    # each candidate's terms are looked up among the row's
+    low, high = np.searchsorted(asked.question, q), np.searchsorted(asked.question, q, "right")
+    candidate = np.repeat(np.arange(len(pair)), high - low)
+    key, wanted = row * np.int64(len(asked.keys)) + term, r[candidate] * np.int64(len(asked.keys)) + asked.term[_ranges(low, high - low)]
+    place = np.minimum(np.searchsorted(key, wanted), max(0, len(key) - 1))
+    score = np.bincount(candidate, weights=np.where(key[place] == wanted, part[place], 0.0) if len(key) else None, minlength=len(pair))
+    kept = score >= least[q]
+    return q[kept], r[kept], score[kept], made
+
+
+def _best_sparse(known: DataFrame, index: Index, k: int) -> DataFrame:
+    """(query_id, chunk_id, score, made, every): the k best of each task, and a row for each task with the numbers of pairs."""
+    table = known.toArrow()
+    asked_kind, kind = known.schema["query_id"].dataType, index.rows.schema["chunk_id"].dataType
+    schema = T.StructType([T.StructField("query_id", asked_kind), T.StructField("chunk_id", kind), T.StructField("score", T.DoubleType()), T.StructField("made", T.LongType()), T.StructField("every", T.LongType())])
+    if not table.num_rows:
+        return known.sparkSession.createDataFrame([], schema)
+    shared = known.sparkSession.sparkContext.broadcast(_Asked(table))  # within BROADCAST_TERMS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        best, made, every, step = _Best(len(asked.names), k), 0, 0, _FIRST_ROWS
+        for batch in batches:
+            lo = 0
+            while lo < batch.num_rows:
+                part = batch.slice(lo, step)
+                row, term, impact = asked.impacts(part)
+                every += int(np.bincount(term, minlength=len(asked.keys))[asked.term].sum())
+                q, r, score, n = _block_scores(asked, row, term, impact, best.least)
+                made += n
+                best.put(q, score, part.column("chunk_id").take(pa.array(r)))
+                best.cut()  # so that the next block meets the k-th best so far
+                lo, step = lo + step, min(2 * step, _MOST_ROWS)
+        found = best.cut()
+        n = len(found)
+        names = asked.names.take(pa.array(found["question"].to_numpy(np.int64)))
+        numbers = lambda x: pa.array([None] * n + [x], pa.int64())
+        end = lambda a, kind: pa.concat_arrays([a.cast(kind), pa.nulls(1, kind)])
+        yield pa.RecordBatch.from_arrays(
+            [end(names, names.type), end(_ids(found["id"], kind), _arrow(kind)), end(pa.array(found["score"].to_numpy(np.float64) / UNIT), pa.float64()), numbers(made), numbers(every)], ["query_id", "chunk_id", "score", "made", "every"]
+        )
+
+    scopes = known.select("scope").distinct()
+    rows = index.rows.join(F.broadcast(scopes), "scope", "left_semi")  # within the bound of the asked terms
+    return rows.select("scope", "chunk_id", "dl", "tf").mapInArrow(run, schema)
+
+
 def sparse_search(queries: DataFrame, index: Index, k: int | None) -> DataFrame:
-    """The k best chunks of each question by BM25, ties in chunk id order. [I1]"""
-    return _ranked(sparse_scores(queries, index), k)
+    """The k best chunks of each question by BM25, ties in chunk id order. [I1]
+
+    Asked terms within BROADCAST_TERMS meet the tokenised rows where these lie: a task adds up block by block what may
+    still reach its k best of a question, and hands these on. Without k, or with more terms, all pairs are scored.
+    """
+    known, small = _asked_terms(queries, index)
+    if k is None or not small or index.rows is None:
+        return _ranked(_all_scores(known, small, index), k)
+    return _ranked(_best_sparse(known, index, k).where("made is null").select("query_id", "chunk_id", "score"), k)
+
+
+def sparse_pairs(queries: DataFrame, index: Index, k: int) -> DataFrame:
+    """(every, made): pairs of a question and a posting of one of its terms, and those of them that ``sparse_search`` makes."""
+    known, small = _asked_terms(queries, index)
+    if not small:
+        raise ValueError("more asked terms than may be broadcast")
+    return _best_sparse(known, index, k).agg(F.coalesce(F.sum("every"), F.lit(0)).alias("every"), F.coalesce(F.sum("made"), F.lit(0)).alias("made"))
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int | None, normalized: bool = False, digits: int = 12) -> DataFrame:
@@ -126,6 +261,11 @@ class _Best:
         if self.k is not None and self.size > _BUFFER:
             self.cut()
 
+    def put(self, question: np.ndarray, score: np.ndarray, ids: pa.Array) -> None:
+        """Single pairs."""
+        self.parts.append(pd.DataFrame({"question": question, "score": score, "id": ids.to_pandas()}))
+        self.size += len(question)
+
     def cut(self) -> pd.DataFrame:
         every = pd.concat(self.parts) if self.parts else pd.DataFrame({"question": [], "score": [], "id": []})
         if self.k is not None:
@@ -169,12 +309,18 @@ def _nearest(queries: DataFrame, vectors: DataFrame, k: int | None, normalized:
                         score = np.where(size == 0, 0.0, score / np.where(size == 0, 1.0, size))
                     best.add(np.round(score, digits), batch.column("chunk_id").slice(lo, step))
             found = best.cut()
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(found["question"].to_numpy(np.int64))), pa.array(found["id"], _arrow(kind)), pa.array(found["score"].to_numpy(np.float64))], ["query_id", "chunk_id", "score"])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(found["question"].to_numpy(np.int64))), _ids(found["id"], kind), pa.array(found["score"].to_numpy(np.float64))], ["query_id", "chunk_id", "score"])
 
         out.append(vectors.select("chunk_id", "vector").mapInArrow(run, schema))
     return reduce(DataFrame.unionByName, out)
 
 
+def _ids(column: pd.Series, kind: T.DataType) -> pa.Array:
+    """Ids as one Arrow array; pandas may keep strings in several chunks."""
+    out = pa.array(column, _arrow(kind))
+    return out.combine_chunks() if isinstance(out, pa.ChunkedArray) else out
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     """Arrow's type of an id."""
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]

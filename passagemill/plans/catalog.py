@@ -16,7 +16,7 @@ from passagemill.functions.vectors import hash_counts, normalized
 from passagemill.operators import ann, answers, audit, corpus, search, statistics, telemetry
 from passagemill.operators import evaluation as ev
 from passagemill.operators.containment import containing
-from passagemill.operators.index import build_index, corpus_stats, term_frequencies
+from passagemill.operators.index import build_index, corpus_stats, term_frequencies, updated
 from passagemill.sources import cells, html, readers
 from passagemill.sources.scratch import materialize, shared_dir
 from passagemill.streaming import jobs
@@ -226,6 +226,49 @@ def bm25_topk(spark, sf):
     return _shown(search.sparse_search(v.questions(spark, sf), index, v.TOP_K))
 
 
+@query(w("qt post", "SELECT count(*) AS every, true AS spared FROM qt JOIN post USING (term)"))
+def bm25_pairs(spark, sf):
+    """pairs of a question and a posting of one of its terms, and whether under half of them are made for the first five."""
+    _, index = v.default_index(spark, sf)
+    return search.sparse_pairs(v.questions(spark, sf), index, v.TOP_K).select("every", (F.col("made") < 0.5 * F.col("every")).alias("spared"))
+
+
+_WHOLE = w("sp", f"SELECT query_id, chunk_id, {_RANK} FROM sp WHERE rank <= 5").replace(_C["qs"], "SELECT item_id AS query_id, coalesce(text, '') AS text FROM benchmark")
+
+
+@query(_WHOLE)
+def bm25_whole_texts(spark, sf):
+    """whole benchmark texts as questions."""
+    _, index = v.default_index(spark, sf)
+    return _shown(search.sparse_search(v.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), index, v.TOP_K))
+
+
+#: The corpus after documents of id 3 modulo 10 got more text and those of 4 modulo 20 went.
+_CHANGED = "FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN coalesce(text, '') || ' renewed clause of the amended law' ELSE text END AS text, source, lang FROM documents WHERE doc_id % 20 <> 4))"
+
+
+def _updated_index(spark, sf):
+    """The stored index brought up to the changed corpus by what changed alone."""
+    c, index = v.default_index(spark, sf)
+    number = F.col("document_id").cast("long")
+    changed = v.pages(spark, sf).where(number % 10 == 3).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" renewed clause of the amended law")))
+    new = corpus.chunk_pages(changed, carried=("kb_id", "version"))
+    gone = c.where((number % 10 == 3) | (number % 20 == 4)).select("chunk_id")
+    return updated(index, gone, new)
+
+
+@query(w("ts", "SELECT term, df, round(idf, 6) AS idf FROM ts").replace("FROM documents)", _CHANGED, 1))
+def index_delta(spark, sf):
+    """Statistics after a tenth of the documents changed and a twentieth went, by signed counts."""
+    return _updated_index(spark, sf).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(w("sp", f"SELECT query_id, chunk_id, {_RANK} FROM sp WHERE rank <= 5").replace("FROM documents)", _CHANGED, 1))
+def bm25_updated(spark, sf):
+    """A search over the index that was brought up to date."""
+    return _shown(search.sparse_search(v.questions(spark, sf), _updated_index(spark, sf), v.TOP_K))
+
+
 @query(w("ch qs", f"SELECT query_id, chunk_id, {_RANK} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b) WHERE rank <= 5",
   d2=f"SELECT version, chunk_id, len(regexp_extract_all(lower(text), {_W})) AS dl FROM ch", c2="SELECT version, count(*) AS n, avg(dl) AS avgdl FROM d2 GROUP BY 1",
   p2=f"SELECT version, chunk_id, term, count(*) AS tf FROM (SELECT version, chunk_id, unnest(regexp_extract_all(lower(text), {_W})) AS term FROM ch) GROUP BY ALL",

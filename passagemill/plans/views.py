@@ -14,7 +14,7 @@ from passagemill.operators import search
 from passagemill.operators.containment import containing
 from passagemill.operators.corpus import chunk_pages
 from passagemill.operators.index import Index, build_index
-from passagemill.sources.scratch import materialize
+from passagemill.sources.scratch import input_state, materialize, stored
 
 TOP_K, DEPTH = 5, 4
 
@@ -129,8 +129,14 @@ def retrieve_all(asked: DataFrame, chunked: DataFrame, index: Index, rule_rows:
 
 
 def default_index(spark: SparkSession, sf: str) -> tuple[DataFrame, Index]:
-    c = chunks(spark, sf)
-    return c, build_index(c)
+    """The chunks and their index, as tables that the first query of an application on this input writes for all that follow."""
+
+    def make(path: str) -> None:
+        chunks(spark, sf).write.parquet(f"{path}/chunks")
+        build_index(spark.read.parquet(f"{path}/chunks")).write(path)
+
+    path = stored(spark, f"index {sf} {input_state(table(spark, sf, 'documents'))}", make)
+    return spark.read.parquet(f"{path}/chunks"), Index.read(spark, path)
 
 
 def sparse_metrics(spark: SparkSession, sf: str, cutoffs: tuple[int, ...] = (1, 3, 5)) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
@@ -44,6 +45,34 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def stored(spark: SparkSession, name: str, make: Callable[[str], None]) -> str:
+    """The path of a table, or folder of tables, that this application has written once under ``name``: ``make(path)``.
+
+    It stays for the queries that follow and goes when the driver ends. A folder without its mark, left by a run that
+    failed, is written anew.
+    """
+    app = hashlib.sha256(f"{spark.sparkContext.applicationId} {name}".encode()).hexdigest()[:32]
+    path = f"{shared_dir(spark)}/stored-{app}"
+    fs, at = _place(spark, path)
+    _, done = _place(spark, f"{path}/_DONE")
+    if not fs.exists(done):
+        fs.delete(at, True)
+        fs.deleteOnExit(at)
+        make(path)
+        fs.create(done).close()
+    return path
+
+
+def input_state(df: DataFrame) -> str:
+    """Names, lengths and times of the files that df reads: what tells whether something stored is still of this input."""
+    out = []
+    for name in sorted(df.inputFiles()):
+        fs, at = _place(df.sparkSession, name)
+        status = fs.getFileStatus(at)
+        out.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(out).encode()).hexdigest()
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes materialized tables that nothing reads any more; other frames are passed over."""
     for df in tables:
