@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from passagemill.functions.text import SENTENCE_ENDS, bigram_overlap, sentences, unsupported_numbers, without_space
 
 from .containment import containing
+from .quantiles import MEDIAN, place, with_ranks
 
 # Marks of definitions, boilerplate sentences and boilerplate questions.
 DEFINITION = "所称|是指|本办法所称"
@@ -62,19 +63,17 @@ def structure_audit(examples: DataFrame, documents: DataFrame) -> DataFrame:
     d = examples.join(known, "document_id", "left").withColumn("n", F.length("question"))
     per = d.groupBy("question").agg(F.count(F.lit(1)).alias("c"))
     twice = per.agg(F.count_if(F.col("c") > 1).alias("duplicate_questions"), F.count(F.lit(1)).alias("unique_questions"))
-    upper = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n DESC)").cast("long")
-    one = d.agg(F.count(F.lit(1)).alias("examples"), F.count_if(blank("question") | blank("answer") | blank("quote") | blank("category")).alias("missing_fields"), F.count_if(F.col("_k").isNull()).alias("unknown_sources"), F.min("n").cast("long").alias("shortest"), upper.alias("median"), F.max("n").cast("long").alias("longest"))
-    return one.crossJoin(twice)  # one row each
+    one = d.agg(F.count(F.lit(1)).alias("examples"), F.count_if(blank("question") | blank("answer") | blank("quote") | blank("category")).alias("missing_fields"), F.count_if(F.col("_k").isNull()).alias("unknown_sources"), F.min("n").cast("long").alias("shortest"), F.max("n").cast("long").alias("longest"))
+    middle = with_ranks(one, d, "n", {"median": MEDIAN["upper"]}).withColumn("median", F.col("median").cast("long"))
+    return middle.crossJoin(twice)  # one row each
 
 
 def overlap_summary(rows: DataFrame) -> DataFrame:
     """(n, median, p90, largest) of question-quote overlap: upper median, place int(0.9 n). [D16 H16]"""
     d = rows.select(F.round(bigram_overlap(F.col("question"), F.col("quote")), 9).alias("o"))
-    n = d.count()
-    if not n:
-        return d.agg(F.count(F.lit(1)).alias("n"), F.max("o").alias("median"), F.max("o").alias("p90"), F.max("o").alias("largest"))
-    at = lambda i: F.expr(f"percentile_disc({(i + 0.5) / n}) WITHIN GROUP (ORDER BY o)")
-    return d.agg(F.count(F.lit(1)).alias("n"), F.round(at(n // 2), 6).alias("median"), F.round(at(min(n - 1, int(n * 0.9))), 6).alias("p90"), F.round(F.max("o"), 6).alias("largest"))
+    one = d.agg(F.count(F.lit(1)).alias("n"), F.max("o").alias("o"))
+    shown = [F.round(c, 6).alias(name) for c, name in (("median", "median"), ("p90", "p90"), ("o", "largest"))]
+    return with_ranks(one, d, "o", {"median": MEDIAN["upper"], "p90": place(0.9)}).select("n", *shown)
 
 
 def coverage(examples: DataFrame, documents: DataFrame) -> DataFrame:

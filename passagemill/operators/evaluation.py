@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from passagemill.functions import metrics as M
 from passagemill.functions.text import without_space, without_titles
 
+from .quantiles import MEDIAN, disc, with_ranks
+
 
 def targets(examples: DataFrame) -> DataFrame:
     """examples plus ``hops``: the listed evidence, else the single label, none for a refusal. [I6 C15]
@@ -79,8 +81,8 @@ def run_counters(results: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
 
 def latency_percentiles(rows: DataFrame, value: str, group: tuple[str, ...] = ()) -> DataFrame:
     """Nearest-rank p50, p95, p100 and the mean. [D11 K17]"""
-    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").cast("double")
-    return rows.groupBy(*group).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(value).cast("double").alias("p100"), F.round(F.avg(value), 6).alias("mean"))
+    one = rows.groupBy(*group).agg(F.max(value).cast("double").alias("p100"), F.round(F.avg(value), 6).alias("mean"))
+    return with_ranks(one, rows, value, {"p50": disc(0.5), "p95": disc(0.95)}, group).select(*group, "p50", "p95", "p100", "mean")
 
 
 def category_table(rows: DataFrame) -> DataFrame:
@@ -93,7 +95,8 @@ def category_table(rows: DataFrame) -> DataFrame:
     none = lambda *names: [F.lit(None).cast("double").alias(x) for x in names]
     answered = rows.where(~F.col("should_refuse")).rollup("config", "category").agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("examples"), rate("recall_at_3"), rate("page_hit"), rate("quote_hit"))
     answered = answered.where("g < 3").select("config", F.when(F.col("g") == 1, "(all)").otherwise(F.col("category")).alias("category"), "examples", "recall_at_3", "page_hit", "quote_hit", *none("retrieved_rate", "top_score_median"))
-    refused = rows.where("should_refuse").groupBy("config").agg(F.count(F.lit(1)).alias("examples"), F.round(F.avg(F.col("retrieved_any").cast("double")), 6).alias("retrieved_rate"), F.round(F.median("top_score"), 6).alias("top_score_median"))
+    refused = rows.where("should_refuse").groupBy("config").agg(F.count(F.lit(1)).alias("examples"), F.round(F.avg(F.col("retrieved_any").cast("double")), 6).alias("retrieved_rate"))
+    refused = with_ranks(refused, rows.where("should_refuse"), "top_score", MEDIAN, ("config",)).withColumn("top_score_median", F.round((F.col("lower") + F.col("upper")) / 2, 6))
     refused = refused.select("config", F.lit("(refusal)").alias("category"), "examples", *none("recall_at_3", "page_hit", "quote_hit"), "retrieved_rate", "top_score_median")
     return answered.unionByName(refused)
 

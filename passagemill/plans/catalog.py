@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from passagemill.functions import text as tx
 from passagemill.functions.vectors import hash_counts, normalized
-from passagemill.operators import ann, answers, audit, corpus, search, statistics, telemetry
+from passagemill.operators import ann, answers, audit, corpus, quantiles, search, statistics, telemetry
 from passagemill.operators import evaluation as ev
 from passagemill.operators.containment import containing
 from passagemill.operators.index import build_index, corpus_stats, term_frequencies, updated
@@ -547,7 +547,8 @@ def random_reference(spark, sf):
 def refusal_scores(spark, sf):
     """I22"""
     r = _results(spark, sf)
-    return r.groupBy("should_refuse").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("top_score"), 6).alias("low"), F.round(F.median("top_score"), 6).alias("mid"), F.round(F.max("top_score"), 6).alias("high"))
+    one = r.groupBy("should_refuse").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("top_score"), 6).alias("low"), F.round(F.max("top_score"), 6).alias("high"))
+    return quantiles.with_ranks(one, r, "top_score", quantiles.MEDIAN, ("should_refuse",)).select("should_refuse", "n", "low", F.round((F.col("lower") + F.col("upper")) / 2, 6).alias("mid"), "high")
 
 
 @query(w("met", "SELECT metric, round(avg(value), 6) AS value, round(avg(value) FILTER (example_id % 2 = 0), 6) AS baseline, round(avg(value) - avg(value) FILTER (example_id % 2 = 0), 6) AS delta FROM met GROUP BY 1 HAVING count(*) FILTER (example_id % 2 = 0) > 0"))
