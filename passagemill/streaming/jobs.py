@@ -6,7 +6,7 @@ by the watermark or by a timer.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -116,48 +116,106 @@ def finished_answers(tokens: DataFrame, late: str = "10 minutes", gap: str = "5
     return d.select("trace_id", F.array_join(F.transform(F.array_sort("t"), lambda x: x["token"]), "").alias("answer"))
 
 
+_DECISION = ["key", "event_id", "allowed", "remaining", "retry_after"]
+
+
 class Quota(StatefulProcessor):
-    """A key's window starts with its first event and starts anew when it is over; state: start and count. [J7]"""
+    """A key's window starts with its first event and starts anew when it is over; state: start and count. [J7]
+
+    Rows of a key come in several Arrow frames in any order; those of a batch are put in order before they are decided.
+    """
 
     def __init__(self, limit: int, seconds: float) -> None:
         self.limit, self.seconds = limit, seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.window = handle.getValueState("window", "start double, n long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+    def decide(self, key, ordered: Iterable[tuple[float, int]]) -> pd.DataFrame:
+        """Decisions on (time, event id) in order, and the window as it then stands."""
         start, n = self.window.get() if self.window.exists() else (None, 0)
-        for frame in rows:
-            out = []
-            for e, t in frame.sort_values(["t", "event_id"])[["event_id", "t"]].itertuples(index=False):
-                if start is None or t - start >= self.seconds:
-                    start, n = t, 0
-                n += 1
-                out.append((key[0], e, n <= self.limit, max(0, self.limit - n), max(1, int(self.seconds - (t - start)))))
-            yield pd.DataFrame(out, columns=["key", "event_id", "allowed", "remaining", "retry_after"])
+        out = []
+        for t, e in ordered:
+            if start is None or t - start >= self.seconds:
+                start, n = t, 0
+            n += 1
+            out.append((key[0], e, n <= self.limit, max(0, self.limit - n), max(1, int(self.seconds - (t - start)))))
         if start is not None:
             self.window.update((float(start), int(n)))
+        return pd.DataFrame(out, columns=_DECISION)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        every = pd.concat([frame[["t", "event_id"]] for frame in rows]).sort_values(["t", "event_id"])
+        yield self.decide(key, every.itertuples(index=False, name=None))
 
     def close(self) -> None:
         pass
 
 
-def quota_stream(events: DataFrame, limit: int, seconds: float) -> DataFrame:
-    """Decisions over a stream of events(key, event_id, ts); needs the RocksDB state store. [J7]"""
+class LateQuota(Quota):
+    """Rows wait in the state until the watermark has passed them, so that batches may come out of order, too. [J7]"""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.waiting = handle.getListState("waiting", "t double, event_id long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first, passed = None, timerValues.getCurrentWatermarkInMs() / 1000
+        for frame in rows:
+            frame = frame[frame["t"] > passed]
+            if frame.empty:
+                continue
+            self.waiting.appendList([(float(t), int(e)) for t, e in frame[["t", "event_id"]].itertuples(index=False, name=None)])
+            first = frame["t"].min() if first is None else min(first, frame["t"].min())
+        self._wake(first)
+        yield pd.DataFrame([], columns=_DECISION)
+
+    def _wake(self, first: float | None) -> None:
+        if first is not None:
+            self.handle.registerTimer(int(first * 1000) + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() / 1000
+        rows = sorted((r[0], r[1]) for r in self.waiting.get())
+        ready, rest = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
+        self.waiting.clear()
+        if rest:
+            self.waiting.put(rest)
+            self._wake(rest[0][0])
+        yield self.decide(key, ready)
+
+
+def quota_stream(events: DataFrame, limit: int, seconds: float, late: str | None = None) -> DataFrame:
+    """Decisions over a stream of events(key, event_id, ts); needs the RocksDB state store. [J7]
+
+    Without ``late`` a batch is decided when it comes, its rows in the order of time; rows that are older than those of
+    an earlier batch count in the window that is open. With ``late``, rows are decided once the watermark of so much
+    has passed them, in the order of time over all batches; rows behind the watermark are dropped. A task holds the
+    rows of one key in a batch, or those that wait; ``maxFilesPerTrigger`` and ``late`` bound them.
+    """
     kind = events.schema["key"].dataType.simpleString()
-    rows = events.select("key", "event_id", (F.unix_micros("ts") / 1e6).alias("t"))
-    return rows.groupBy("key").transformWithStateInPandas(Quota(limit, seconds), f"key {kind}, event_id long, allowed boolean, remaining long, retry_after long", "Append", "None")
+    out = f"key {kind}, event_id long, allowed boolean, remaining long, retry_after long"
+    time = (F.unix_micros("ts") / 1e6).alias("t")
+    if late is None:
+        return events.select("key", "event_id", time).groupBy("key").transformWithStateInPandas(Quota(limit, seconds), out, "Append", "None")
+    rows = events.withWatermark("ts", late).select("key", "event_id", time, "ts")
+    return rows.groupBy("key").transformWithStateInPandas(LateQuota(limit, seconds), out, "Append", "EventTime")
 
 
 class Claims(StatefulProcessor):
-    """Failures of a document since its last enqueue; a timer marks a claim that nobody finished. [J3]"""
+    """Failures of a document since its last enqueue; a timer marks a claim that nobody finished. [J3]
+
+    Rows of a document come in several Arrow frames in any order; those of a batch are taken in the order of seq. A row
+    that comes after one of a higher seq has been taken is too late to change the state and is passed over.
+    """
 
     def __init__(self, budget: int, stale_ms: int) -> None:
         self.budget, self.stale_ms = budget, stale_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.failures = handle.getValueState("failures", "n int")
+        self.failures = handle.getValueState("failures", "n int, seq long")
         self.timer = handle.getValueState("timer", "at long")
 
     def _forget_timer(self) -> None:
@@ -165,29 +223,32 @@ class Claims(StatefulProcessor):
             self.handle.deleteTimer(self.timer.get()[0])
             self.timer.clear()
 
-    def handleInputRows(self, key, rows, timer):
-        n = self.failures.get()[0] if self.failures.exists() else 0
-        out = []
-        for frame in rows:
-            for outcome in frame.sort_values("seq")["outcome"]:
-                self._forget_timer()
-                if outcome is None or pd.isna(outcome):
-                    n, state = 0, "due"
-                elif outcome == "failed":
-                    n += 1
-                    state = "parked" if n >= self.budget else "due"
-                elif outcome == "claimed":
-                    state = "running"
-                    at = timer.getCurrentProcessingTimeInMs() + self.stale_ms
-                    self.handle.registerTimer(at)
-                    self.timer.update((at,))
-                else:
-                    state = outcome
-                out.append((key[0], n, state))
-        self.failures.update((n,))
-        yield pd.DataFrame(out[-1:], columns=["document_id", "failures", "state"])
-
-    def handleExpiredTimer(self, key, timer, expired):
+    def handleInputRows(self, key, rows, timerValues):
+        n, seen = self.failures.get() if self.failures.exists() else (0, None)
+        state = None
+        every = pd.concat([frame[["seq", "outcome"]] for frame in rows]).sort_values("seq", kind="stable")
+        for seq, outcome in every.itertuples(index=False, name=None):
+            if seen is not None and seq < seen:
+                continue
+            seen = int(seq)
+            self._forget_timer()
+            if outcome is None or pd.isna(outcome):
+                n, state = 0, "due"
+            elif outcome == "failed":
+                n += 1
+                state = "parked" if n >= self.budget else "due"
+            elif outcome == "claimed":
+                state = "running"
+                at = timerValues.getCurrentProcessingTimeInMs() + self.stale_ms
+                self.handle.registerTimer(at)
+                self.timer.update((at,))
+            else:
+                state = outcome
+        if state is not None:
+            self.failures.update((n, seen))
+        yield pd.DataFrame([(key[0], n, state)] if state is not None else [], columns=["document_id", "failures", "state"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.timer.clear()
         n = self.failures.get()[0] if self.failures.exists() else 0
         yield pd.DataFrame([(key[0], n, "stale")], columns=["document_id", "failures", "state"])

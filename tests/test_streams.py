@@ -1,3 +1,7 @@
+import random
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from passagemill.operators import telemetry
@@ -59,16 +63,68 @@ def test_windows(spark, tmp_path):
     assert [(r.path, r.n) for r in got] == [("/a/{id}", 2)]
 
 
-def test_quota_stream_equals_batch(spark, tmp_path):
+@pytest.fixture
+def rocks(spark):
+    conf = {"spark.sql.streaming.stateStore.providerClass": jobs.ROCKS, "spark.sql.execution.arrow.maxRecordsPerBatch": "10"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def moments(n, seed=1):
+    """(key, event_id, ts) in disorder: many more rows of a key than an Arrow frame of the fixture has."""
+    rng = random.Random(seed)
+    rows = [(rng.choice(["k", "k", "k", "l"]), i, f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}") for i, s in enumerate(sorted(rng.randint(0, 1500) for _ in range(n)))]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_quota_stream_equals_batch(spark, tmp_path, rocks):
     src = str(tmp_path / "ev")
-    schema = write(spark, [("k", i, f"2024-01-01 00:00:{s:02d}") for i, s in enumerate([0, 1, 2, 10, 11])], "key string, event_id long, ts string", src)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKS)
+    schema = write(spark, moments(200), "key string, event_id long, ts string", src)
+    got = collect_stream(spark, jobs.quota_stream(spark.readStream.schema(schema).parquet(src), 2, 30), "qs")
+    batch = telemetry.quota_decisions(spark.read.parquet(src), 2, 30).collect()
+    assert len(got) == 200 and sorted(map(tuple, got)) == sorted(map(tuple, batch))
+
+
+def test_quota_stream_waits_for_late_rows(spark, tmp_path, rocks):
+    """Files out of order within the watermark give what the batch gives; rows behind it are dropped."""
+    src, flush = str(tmp_path / "ev"), [(k, 900, "2024-01-01 03:00:00") for k in "kl"]
+    rows = sorted(moments(120, 5), key=lambda r: r[2])
+    parts = [rows[40:80], rows[:40], rows[80:], flush, [("k", 999, "2024-01-01 00:00:01")], [(k, 901, "2024-01-01 09:00:00") for k in "kl"]]
+    for i, part in enumerate(parts):
+        random.Random(i).shuffle(part)
+        schema = write(spark, part, "key string, event_id long, ts string", src)
+        time.sleep(1.1)  # files are taken in the order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = [tuple(r) for r in collect_stream(spark, jobs.quota_stream(stream, 2, 30, "1 hour"), "qlate") if r.event_id < 900]
+    batch = telemetry.quota_decisions(spark.read.parquet(src).where("event_id < 900"), 2, 30).collect()
+    assert sorted(got) == sorted(map(tuple, batch))
+
+
+def test_retry_stream_takes_rows_in_order(spark, tmp_path, rocks):
+    src, rng = str(tmp_path / "log"), random.Random(2)
+    rows = [(f"d{d}", s, rng.choice([None, "claimed", "failed", "failed", "done"]) if s else None) for d in range(3) for s in range(45)]
+    rng.shuffle(rows)
+    schema = write(spark, rows, "document_id string, seq long, outcome string", src)
+    # timers of processing time keep a stream going, so it is stopped once all rows are in
+    q = jobs.retry_stream(spark.readStream.schema(schema).parquet(src)).writeStream.format("memory").queryName("rs").outputMode("update").start()
     try:
-        got = collect_stream(spark, jobs.quota_stream(spark.readStream.schema(schema).parquet(src), 2, 10), "qs")
+        until = time.time() + 40
+        while time.time() < until and spark.table("rs").count() < 3:
+            time.sleep(0.5)
     finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    batch = telemetry.quota_decisions(spark.read.parquet(src), 2, 10).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, batch))
+        q.stop()
+    got = {r.document_id: (r.failures, r.state) for r in spark.table("rs").collect()}
+    for d in ("d0", "d1", "d2"):
+        n, state = 0, None
+        for _, _, o in sorted((r for r in rows if r[0] == d), key=lambda r: r[1]):
+            n = 0 if o is None else n + (o == "failed")
+            state = "due" if o is None else {"failed": "parked" if n >= 3 else "due", "claimed": "running"}.get(o, o)
+        assert got[d] == (n, state)
 
 
 def test_evaluate_new(spark, tmp_path):
