@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import ALNUM_WORDS, gram_hashes, lean, row_groups, take_ranges, text_rows, word_hashes
-from .shared import BITMAP_BITS, bitmap_of, has_bit, materialize
+from .shared import BITMAP_BITS, bitmap_of, has_bit, materialize, with_id
 
 #: Words of a window, of a fingerprint's gram, and grams of which the least is kept: 8 + 6 - 1 = 13, so any shared run
 #: of 13 words holds one whole run of 6 grams and with it a fingerprint that both sides keep.
@@ -161,8 +161,7 @@ def _by_broadcast(docs: DataFrame, tests: TestSet) -> DataFrame:
                     [batch.column("doc_id")[lo:hi], pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array([_digest(list(x)) if x else none for x in names]), pa.array((n_hit > 0) & (20 * n_hit >= n_words))], _OUT
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(lean(run), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return docs.mapInArrow(lean(run), with_id(docs, "doc_id", "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"))
 
 
 def _by_join(docs: DataFrame, windows: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
@@ -201,8 +200,7 @@ def _by_join(docs: DataFrame, windows: DataFrame, bits: int = BITMAP_BITS) -> Da
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), spots)], ["doc_id", "n_words", "spots"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    looked = docs.mapInArrow(lean(run), f"doc_id {kind}, n_words long, spots array<struct<start:long,m:int,hash:long>>")
+    looked = docs.mapInArrow(lean(run), with_id(docs, "doc_id", "n_words long, spots array<struct<start:long,m:int,hash:long>>"))
     looked = materialize(looked.withColumn("row", F.monotonically_increasing_id()))
     places = looked.select("row", F.explode("spots").alias("p")).select("row", "p.start", "p.m", "p.hash")
     hits = materialize(places.join(tests, ["m", "hash"]).select("row", "start", "m", "item_id"))

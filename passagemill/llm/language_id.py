@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import lean, row_groups, text_rows
+from .shared import with_id
 
 #: Components of a vector, and letters of an n-gram.
 DIMENSIONS, GRAM = 1024, 3
@@ -118,7 +119,7 @@ def profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text"
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", rows_per_language: int = ROWS_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Languages and their prototypes from a sample of about ``rows_per_language`` rows of each, chosen by id hash.
+    """Languages and their prototypes from a sample of about ``rows_per_language`` rows of each, chosen by id hash, without id by the text's.
 
     The share to draw of each language is one row of a table that is broadcast, so that no text is shuffled; more than
     LANGUAGES of them are an error.
@@ -129,7 +130,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", t
     if len(listed) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     share = F.broadcast(labelled.sparkSession.createDataFrame(listed, "name string, share double"))
-    sample = known.where(F.col(text_col).isNotNull()).join(share, F.col(lang_col) == F.col("name")).where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    sample = known.where(F.col(text_col).isNotNull()).join(share, F.col(lang_col) == F.col("name")).where(F.pmod(F.xxhash64(id_col, F.when(F.col(id_col).isNull(), F.col(text_col))), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     rows = profiles(sample, lang_col, text_col).orderBy("lang").toArrow()  # one row for each language
     return rows["lang"].to_pylist(), rows["vector"].combine_chunks().flatten().to_numpy().reshape(-1, DIMENSIONS)
 
@@ -158,5 +159,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                 pred = [UNKNOWN if u else langs[k] for u, k in zip(unknown.tolist(), best.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(pred, pa.string()), pa.array(score), pa.array(letters.astype(np.int64)), *(batch.column(2 + i)[lo:hi] for i in range(len(carried)))], ["doc_id", "lang_pred", "score", "n_letters", *carried])
 
-    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
-    return docs.select(id_col, text_col, *carried).mapInArrow(lean(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, n_letters long{kinds}")
+    schema = with_id(docs, id_col, "lang_pred string, score double, n_letters long")
+    for c in carried:
+        schema.add(c, docs.schema[c].dataType)
+    return docs.select(id_col, text_col, *carried).mapInArrow(lean(run), schema)

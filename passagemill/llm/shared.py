@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passagemill.functions.bitmaps import bitmap_of, has_bit, set_words
 from passagemill.sources.scratch import discard, materialize, shared_dir
 
-__all__ = ["BITMAP_BITS", "bitmap_of", "bounded_batches", "discard", "has_bit", "materialize", "shared_dir", "split_by_bitmap"]
+__all__ = ["BITMAP_BITS", "bitmap_of", "bounded_batches", "discard", "has_bit", "materialize", "shared_dir", "split_by_bitmap", "with_id"]
 
 #: Bits of a membership bitmap at most: 18 MB as a broadcast table, whatever the number of ids.
 BITMAP_BITS = 1 << 27
@@ -21,6 +22,11 @@ BATCH_ROWS = 1000
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def with_id(docs: DataFrame, id_col: str, rest: str) -> T.StructType:
+    """The schema of doc_id, of the type of ``id_col`` whatever that is (also a struct of a whole row), and of ``rest``."""
+    return T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T.StructType.fromDDL(rest)])
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of BATCH_ROWS at most in this session; a smaller number that is set already stays."""
     if not 0 < int(spark.conf.get(_BATCH_CONF)) <= BATCH_ROWS:

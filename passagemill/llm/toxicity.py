@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import lean, row_groups, text_rows
-from .shared import bitmap_of, discard, has_bit, materialize
+from .shared import bitmap_of, discard, has_bit, materialize, with_id
 
 #: About so many labelled rows of either class are learned from (the documented bound of the sample).
 ROWS_PER_CLASS = 20_000
@@ -249,4 +249,4 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
                 p = shared.value.scores(x)
                 yield pa.RecordBatch.from_arrays([batch.column(id_col)[lo:hi], pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(id_col, text_col).mapInArrow(lean(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), with_id(docs, id_col, "score double, predicted int"))
