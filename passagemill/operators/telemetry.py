@@ -117,6 +117,21 @@ def trace_rollup(spans: DataFrame) -> DataFrame:
     return own.join(deep, "trace_id")
 
 
+def stage_times(spans: DataFrame) -> DataFrame:
+    """(trace_id, name, spans, total_ms, own_ms): the time of each stage of a trace, and what its child spans leave of it. [J8 H22]
+
+    spans(trace_id, span_id, parent_id, name, started_at, ended_at). Children are added up by their parent before they
+    meet it, so a span with very many children is one row; a span that is still open (no end) counts and adds no time.
+    Children that run side by side may take more than their parent: its own time is then 0. Spans of one id are one.
+    """
+    micros = F.coalesce(F.unix_micros("ended_at") - F.unix_micros("started_at"), F.lit(0).cast("long"))
+    one = spans.groupBy("trace_id", "span_id").agg(F.min_by(F.struct("parent_id", "name", micros.alias("took")), F.struct("started_at", "name")).alias("x")).select("trace_id", "span_id", "x.*")
+    below = one.where("parent_id is not null").groupBy("trace_id", F.col("parent_id").alias("span_id")).agg(F.sum("took").alias("below"))
+    own = F.greatest(F.col("took") - F.coalesce("below", F.lit(0).cast("long")), F.lit(0).cast("long"))
+    each = one.join(below, ["trace_id", "span_id"], "left").groupBy("trace_id", "name").agg(F.count(F.lit(1)).alias("spans"), F.sum("took").alias("took"), F.sum(own).alias("own"))
+    return each.select("trace_id", "name", "spans", F.round(F.col("took") / 1000, 3).alias("total_ms"), F.round(F.col("own") / 1000, 3).alias("own_ms"))
+
+
 def quota_decisions(events: DataFrame, limit: int, seconds: int) -> DataFrame:
     """(key, event_id, allowed, remaining, retry_after) with windows that start at a key's first event. [J7]
 

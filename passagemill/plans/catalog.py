@@ -1048,6 +1048,20 @@ def trace_rollup(spark, sf):
     return telemetry.trace_rollup(d).select("trace_id", "spans", "duration_ms", "errors", "depth")
 
 
+@query("""WITH e AS (SELECT user_id, event_id, event_type, (value * 1000)::BIGINT AS took, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+  s AS (SELECT user_id, k, CASE WHEN k > 1 THEN k // 4 + (k % 4 > 0)::INT - (k // 4 + (k % 4 > 0)::INT = k)::INT END AS parent, event_type AS name, took FROM e),
+  b AS (SELECT user_id, parent AS k, sum(took) AS below FROM s WHERE parent IS NOT NULL GROUP BY ALL)
+  SELECT user_id::VARCHAR AS trace_id, name, count(*) AS spans, round(sum(took) / 1000, 3) AS total_ms, round(sum(greatest(took - coalesce(below, 0), 0)) / 1000, 3) AS own_ms FROM s LEFT JOIN b USING (user_id, k) GROUP BY ALL""")
+def stage_times(spark, sf):
+    """A user's events as spans, four below each, that take as many milliseconds as their value says."""
+    own = Window.partitionBy("user_id").orderBy("event_id")
+    start = F.col("ts").cast("timestamp")
+    d = v.table(spark, sf, "events").select("user_id", F.row_number().over(own).alias("k"), "event_type", start.alias("started_at"), F.timestamp_micros(F.unix_micros(start) + F.round(F.col("value") * 1000).cast("long")).alias("ended_at"))
+    up = F.ceil(F.col("k") / 4)
+    parent = F.when(F.col("k") > 1, F.when(up == F.col("k"), up - 1).otherwise(up))
+    return telemetry.stage_times(d.select(F.col("user_id").cast("string").alias("trace_id"), F.col("k").cast("string").alias("span_id"), parent.cast("string").alias("parent_id"), F.col("event_type").alias("name"), "started_at", "ended_at"))
+
+
 @query("""WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
   r AS (SELECT key, event_id, t, k, t AS start, 1 AS n FROM e WHERE k = 1 UNION ALL
     SELECT e.key, e.event_id, e.t, e.k, CASE WHEN e.t - r.start >= 86400 THEN e.t ELSE r.start END, CASE WHEN e.t - r.start >= 86400 THEN 1 ELSE r.n + 1 END FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1)
