@@ -584,6 +584,16 @@ def paired_bootstrap(spark, sf):
     return statistics.paired_bootstrap(statistics.pairs_of(_two_configs(spark, sf), "bm25"))
 
 
+@query(w("met", "SELECT config, metric, n, round(list_sum(d) / n, 6) AS delta, round(100 / n, 6) AS step_pp, true AS around FROM dd", **{k: x for k, x in _LONG.items() if k not in ("it", "ms")}))
+def bootstrap_cells(spark, sf):
+    """The same differences, drawn by cells; whether the interval lies around the difference and is that of the single draws to within two steps."""
+    pairs = materialize(statistics.pairs_of(_two_configs(spark, sf), "bm25"))
+    single = statistics.paired_bootstrap(pairs).select("config", "metric", F.col("low").alias("l"), F.col("high").alias("h"))
+    near = (F.abs(F.col("low") - F.col("l")) * 50 <= F.col("step_pp")) & (F.abs(F.col("high") - F.col("h")) * 50 <= F.col("step_pp"))
+    both = statistics.cell_bootstrap(pairs).join(single, ["config", "metric"])
+    return both.select("config", "metric", "n", "delta", "step_pp", ((F.col("low") <= F.col("delta")) & (F.col("delta") <= F.col("high")) & near).alias("around"))
+
+
 _AG = """SELECT 'quality_toxic' AS metric, quality::DOUBLE AS judge, toxic::DOUBLE AS label FROM labels UNION ALL SELECT 'toxic_self', CASE WHEN doc_id % 11 = 0 THEN NULL ELSE toxic END, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 1 - toxic ELSE toxic END FROM labels"""
 
 
