@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,7 +17,7 @@ from passagemill.operators import evaluation as ev
 from passagemill.operators.containment import containing
 from passagemill.operators.index import build_index, corpus_stats, term_frequencies, updated
 from passagemill.sources import cells, html, readers
-from passagemill.sources.scratch import materialize, shared_dir
+from passagemill.sources.scratch import folder, materialize
 from passagemill.streaming import jobs
 
 from . import views as v
@@ -1100,10 +1099,6 @@ def unsent_examples(spark, sf):
 # ---- files, hooks and reports
 
 
-def _folder(spark) -> str:
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-
-
 @query("""SELECT path, reason FROM (SELECT source || '/' || doc_id || ['.txt', '.PDF', '.md', '.zip'][doc_id % 4 + 1] AS path, CASE WHEN doc_id % 4 IN (1, 3) THEN 'unsupported_suffix' WHEN coalesce(strlen(text), 0) = 0 THEN 'empty' END AS reason FROM documents) WHERE reason IS NOT NULL""")
 def file_rejects(spark, sf):
     """A1 A2: documents as files of four suffixes."""
@@ -1115,13 +1110,13 @@ def file_rejects(spark, sf):
 
 @query(w("ex hit", "SELECT ex.example_id, ex.question, category, should_refuse, mode, count(hit.document_id) AS hops, coalesce(string_agg(hit.document_id, ',' ORDER BY hit.document_id), '') AS documents FROM ex LEFT JOIN hit USING (example_id) GROUP BY ALL"))
 def label_files(spark, sf):
-    """The label set written as objects with examples, a file for each category, read and bound to documents."""
+    """The label set written as lines of objects with examples below a folder for each category, read and bound to documents."""
     e = v.examples(spark, sf)
     hops = F.transform("hops", lambda h: F.struct(F.concat(h["document_id"], F.lit(".txt")).alias("source_filename"), h["page"].alias("page"), h["quote"].alias("quote")))
     row = F.struct(F.concat_ws("|", F.col("example_id").cast("string"), "question").alias("question"), F.col("answer").alias("expected_answer"), "category", "should_refuse", F.col("mode").alias("evidence_mode"), hops.alias("expected_evidence"))
-    path = _folder(spark)
-    e.groupBy("category").agg(F.to_json(F.struct(F.collect_list(row).alias("examples"))).alias("value")).write.partitionBy("category").text(path)  # a file for each
-    read = readers.label_set(spark, path).withColumn("example_id", F.split("question", r"\|")[0].cast("long")).withColumn("question", F.substring_index("question", "|", -1))
+    path = folder(spark)
+    readers.nested(e.select("category", row.alias("r")), "category").select("category", F.to_json(F.struct(F.col("rows.r").alias("examples"))).alias("value")).write.partitionBy("category").text(path)
+    read = readers.label_set(spark, path, lines=True).withColumn("example_id", F.split("question", r"\|")[0].cast("long")).withColumn("question", F.substring_index("question", "|", -1))
     files = v.pages(spark, sf).select(F.concat("document_id", F.lit(".txt")).alias("filename"), "document_id")
     bound = readers.bind_hops(read, files)
     return bound.select("example_id", "question", "category", "should_refuse", "mode", F.size("hops").cast("long").alias("hops"), F.array_join(F.array_sort(F.transform("hops", lambda h: h["document_id"])), ",").alias("documents"))
@@ -1130,7 +1125,7 @@ def label_files(spark, sf):
 @query(w("qs", "SELECT query_id::VARCHAR AS item, text AS question, (query_id % 7)::INT AS page FROM qs"))
 def label_csv(spark, sf):
     """The flat label set written as CSV and read again."""
-    path = _folder(spark)
+    path = folder(spark)
     v.questions(spark, sf).select(F.col("query_id").alias("item"), F.col("text").alias("question"), (F.col("query_id") % 7).alias("page")).write.option("escape", '"').csv(path, header=True)
     return readers.label_csv(spark, path).select("item", "question", "page")
 
@@ -1140,9 +1135,9 @@ def artifact_rows(spark, sf):
     """An experiment artifact written as JSON, its examples read with their config."""
     per = v.sparse_metrics(spark, sf).groupBy("example_id").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
     e = v.examples(spark, sf).join(per, "example_id", "left").select(F.col("example_id").cast("string").alias("example_id"), "question", "category", "should_refuse", "metrics")
-    path = _folder(spark)
-    e.groupBy(F.lit("bm25").alias("name")).agg(F.collect_list(F.struct("example_id", "question", "category", "should_refuse", "metrics")).alias("per_example")).select(F.array(F.struct("name", "per_example")).alias("configs")).write.json(path)
-    return readers.artifact_rows(spark, path).select("config", "example_id", "question", "category", "should_refuse", F.round(F.col("metrics")["mrr"], 6).alias("mrr"))
+    path = folder(spark)
+    readers.nested(e.withColumn("name", F.lit("bm25")), "name", "per_example").select(F.array(F.struct("name", "per_example")).alias("configs")).write.json(path)
+    return readers.artifact_rows(spark, path, lines=True).select("config", "example_id", "question", "category", "should_refuse", F.round(F.col("metrics")["mrr"], 6).alias("mrr"))
 
 
 @query("SELECT 'c' || (doc_id % 3) AS config, 'q' || doc_id AS question, quality::DOUBLE AS judge, toxic::DOUBLE AS correctness FROM labels WHERE doc_id % 5 <> 0")
@@ -1150,10 +1145,10 @@ def reviewer_files(spark, sf):
     """A reviewer's template filled in, written as an object with labels, read and matched with the judged rows."""
     d = v.table(spark, sf, "labels").select(F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")).alias("config"), F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("question"), F.col("quality").cast("double").alias("judge"), "doc_id", "toxic")
     filled = answers.reviewer_template(d.select("config", "question", "judge")).join(d.where("doc_id % 5 <> 0").select("config", "question", "toxic"), ["config", "question"])
-    path = _folder(spark)
+    path = folder(spark)
     row = F.struct("config", "question", F.col("toxic").cast("double").alias("correctness"), "note")
-    filled.groupBy("config").agg(F.to_json(F.struct(F.collect_list(row).alias("labels"))).alias("value")).write.partitionBy("config").text(path)
-    both, _ = answers.match_labels(d.select("config", "question", "judge"), readers.reviewer_labels(spark, path))
+    readers.nested(filled.select("config", row.alias("r")), "config").select("config", F.to_json(F.struct(F.col("rows.r").alias("labels"))).alias("value")).write.partitionBy("config").text(path)
+    both, _ = answers.match_labels(d.select("config", "question", "judge"), readers.reviewer_labels(spark, path, lines=True))
     return both.select("config", "question", "judge", "correctness")
 
 
@@ -1163,9 +1158,9 @@ def import_manifest(spark, sf):
     n = v.chunks(spark, sf).groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     text = F.coalesce("text", F.lit(""))
     d = v.pages(spark, sf).join(n, "document_id", "left").select("kb_id", "document_id", F.concat("document_id", F.lit(".txt")).alias("filename"), F.octet_length(text).cast("long").alias("size"), F.sha2(text, 256).alias("sha256"), F.coalesce("n", F.lit(0)).alias("chunks"))
-    path = _folder(spark)
-    d.groupBy("kb_id").agg(F.collect_list(F.struct("document_id", "filename", "size", "sha256", "chunks")).alias("documents")).select("documents").write.json(path)
-    return spark.read.schema("documents array<struct<document_id:string,filename:string,size:long,sha256:string,chunks:int>>").json(path).select(F.explode("documents").alias("d")).select("d.*")
+    path = folder(spark)
+    readers.nested(d, "kb_id", "documents").select("documents").write.json(path)
+    return readers.import_manifest(spark, path, lines=True)
 
 
 @query("SELECT unnest(['missing kb_id', 'unexpected label', 'type of vec_id: bigint', (SELECT count(*) FROM embeddings WHERE vec_id % 10 = 0) || ' doubled keys', (SELECT count(*) FROM embeddings WHERE len(embedding) <> 32) + (SELECT count(*) FROM embeddings WHERE vec_id % 10 = 0 AND len(embedding) <> 32) || ' vectors of another dimension']) AS fault")
@@ -1180,7 +1175,7 @@ def index_faults(spark, sf):
 @query(w("met", "SELECT 'example_results' AS part, count(DISTINCT example_id) * 2 AS n FROM met UNION ALL SELECT 'metrics_long', count(*) * 2 FROM met UNION ALL SELECT 'runs', 2"))
 def run_store(spark, sf):
     """A run appended twice."""
-    long, path = materialize(v.sparse_metrics(spark, sf)), _folder(spark)
+    long, path = materialize(v.sparse_metrics(spark, sf)), folder(spark)
     for name in ("r1", "r2"):
         own = long.withColumn("run_id", F.lit(name))
         readers.append_run(path, own.groupBy("run_id").agg(F.count(F.lit(1)).alias("rows")), own.select("run_id", "example_id").distinct(), own)
@@ -1191,7 +1186,7 @@ def run_store(spark, sf):
 @query("SELECT event_type AS source_config, event_id, value FROM events")
 def grouped_artifact(spark, sf):
     """Events as rows of their type's config, nested as JSON lines and read again."""
-    path = _folder(spark)
+    path = folder(spark)
     readers.write_grouped_json(v.table(spark, sf, "events").select(F.col("event_type").alias("source_config"), "event_id", "value"), path)
     return spark.read.schema("source_config string, rows array<struct<event_id:long,value:double>>").json(path).select("source_config", F.explode("rows").alias("r")).select("source_config", "r.event_id", "r.value")
 
@@ -1300,7 +1295,7 @@ def ingest_stream(spark, sf):
     """The documents as a stream into a versioned chunk table."""
     schema = v.table(spark, sf, "documents").schema
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents*.parquet").parquet(sf)
-    path = _folder(spark)
+    path = folder(spark)
     jobs.ingest_documents(arriving.select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page"), "text"), f"{path}/table", f"{path}/checkpoint").awaitTermination()
     return jobs.current_rows(spark, f"{path}/table", "document_id").groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("characters"))
 

@@ -59,15 +59,32 @@ _HOP = "struct<source_filename:string,page:int,expected_page:int,evidence_quote:
 _LABEL = f"question string, expected_answer string, page int, expected_page int, category string, evidence_quote string, quote string, source_filename string, should_refuse boolean, evidence_mode string, expected_evidence array<{_HOP}>"
 
 
-def label_set(spark: SparkSession, path: str) -> DataFrame:
+#: Rows that are nested in one line of JSON, about.
+NESTED = 1000
+
+
+def nested(rows: DataFrame, by: str, name: str = "rows", most: int = NESTED) -> DataFrame:
+    """(by, name array): the rows of a key nested, about ``most`` in a row; more of a key take several rows.
+
+    Rows are dealt out by their hash over as many parts as all rows need, so a key with most of them is spread over
+    all parts, and no array grows with the table.
+    """
+    rest = [c for c in rows.columns if c != by]
+    parts = max(1, -(-rows.count() // most))
+    text = F.to_json(F.struct(*rest))  # also of maps, which have no hash
+    return rows.groupBy(by, F.pmod(F.xxhash64(text), F.lit(parts)).alias("_part")).agg(F.collect_list(F.struct(*rest)).alias(name)).drop("_part")
+
+
+def label_set(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(question, answer, category, should_refuse, mode, hops) of a label file: a bare list, or an object with examples. [A7]
 
     Aliases page/expected_page and evidence_quote/quote are read alike; an unknown mode is ``all``. A file of another
-    shape is an error.
+    shape is an error. ``lines``: each line is such a list or object, as large sets are written (``nested``), and files
+    are split between tasks; else a file is one.
     """
-    lines = spark.read.text(path, wholetext=True)
+    files = spark.read.text(path, wholetext=not lines)
     body = F.trim(F.regexp_replace("value", "^﻿", ""))
-    listed = lines.select(F.when(body.startswith("["), F.from_json(body, f"array<struct<{_struct(_LABEL)}>>")).when(body.startswith("{"), F.from_json(body, f"struct<examples:array<struct<{_struct(_LABEL)}>>>")["examples"]).alias("rows"))
+    listed = files.select(F.when(body.startswith("["), F.from_json(body, f"array<struct<{_struct(_LABEL)}>>")).when(body.startswith("{"), F.from_json(body, f"struct<examples:array<struct<{_struct(_LABEL)}>>>")["examples"]).alias("rows"))
     checked = listed.select(F.explode(F.when(F.col("rows").isNull(), F.raise_error(F.lit("a label set is a list or an object with examples"))).otherwise(F.col("rows"))).alias("r")).select("r.*")
     return normal_labels(checked)
 
@@ -117,23 +134,26 @@ _EVIDENCE = "array<struct<document_id:string,page:int,text:string>>"
 ARTIFACT = f"configs array<struct<name:string,metrics:map<string,double>,per_example:array<struct<example_id:string,question:string,category:string,should_refuse:boolean,metrics:map<string,double>,judge:struct<correctness:double,faithfulness:double,completeness:double,reason:string>,evidence:{_EVIDENCE}>>>>, dataset struct<name:string,examples:int>, corpus struct<fingerprint:string,chunks:int>"
 
 
-def artifact_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(config, example_id, question, …): per-example rows of an experiment artifact with their config. [A9]"""
-    d = spark.read.schema(ARTIFACT).json(path, multiLine=True)
+def artifact_rows(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(config, example_id, question, …): per-example rows of an experiment artifact with their config. [A9]
+
+    ``lines``: each line is a part of the artifact, in the same form; else a file is one value.
+    """
+    d = spark.read.schema(ARTIFACT).json(path, multiLine=not lines)
     return d.select(F.explode("configs").alias("c")).select(F.col("c.name").alias("config"), F.explode("c.per_example").alias("r")).select("config", "r.*")
 
 
-def reviewer_labels(spark: SparkSession, path: str) -> DataFrame:
-    """(config, question, correctness, faithfulness, completeness, note) of a list or an object with labels. [A10]"""
+def reviewer_labels(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(config, question, correctness, faithfulness, completeness, note) of a list or an object with labels, or of one in each line. [A10]"""
     row = "struct<config:string,question:string,correctness:double,faithfulness:double,completeness:double,note:string>"
     body = F.trim("value")
     rows = F.when(body.startswith("["), F.from_json(body, f"array<{row}>")).otherwise(F.from_json(body, f"struct<labels:array<{row}>>")["labels"])
-    return spark.read.text(path, wholetext=True).select(F.explode(rows).alias("r")).select("r.*")
+    return spark.read.text(path, wholetext=not lines).select(F.explode(rows).alias("r")).select("r.*")
 
 
-def import_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(document_id, filename, size, sha256, chunks) of an import manifest. [A11]"""
-    d = spark.read.schema("documents array<struct<document_id:string,filename:string,size:long,sha256:string,chunks:int>>").json(path, multiLine=True)
+def import_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(document_id, filename, size, sha256, chunks) of an import manifest, or of one in each line. [A11]"""
+    d = spark.read.schema("documents array<struct<document_id:string,filename:string,size:long,sha256:string,chunks:int>>").json(path, multiLine=not lines)
     return d.select(F.explode("documents").alias("d")).select("d.*")
 
 
@@ -158,9 +178,8 @@ def append_run(path: str, runs: DataFrame, results: DataFrame, long: DataFrame)
 
 
 def write_grouped_json(rows: DataFrame, path: str, by: str = "source_config") -> None:
-    """One JSON line for each source config with its rows nested. [A18]"""
-    rest = [c for c in rows.columns if c != by]
-    rows.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("rows")).write.mode("overwrite").json(path)
+    """JSON lines of a source config with its rows nested, about NESTED in a line. [A18]"""
+    nested(rows, by).write.mode("overwrite").json(path)
 
 
 def unsent(examples: DataFrame, remote: DataFrame) -> DataFrame:

@@ -34,9 +34,7 @@ def materialize(df: DataFrame) -> DataFrame:
     The folder goes by ``discard``, or when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    fs, at = _place(spark, path)
-    fs.deleteOnExit(at)
+    path = folder(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
@@ -45,6 +43,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def folder(spark: SparkSession) -> str:
+    """A new path in the shared folder for files; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    fs, at = _place(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
 def stored(spark: SparkSession, name: str, make: Callable[[str], None]) -> str:
     """The path of a table, or folder of tables, that this application has written once under ``name``: ``make(path)``.
 

@@ -105,3 +105,20 @@ def test_reviewer_template(spark):
 def test_chrome(spark):
     d = spark.range(1).select(tx.content_lines(F.lit("正文第一行内容\n网站地图\n× \nx\n" + "a" * 30)).alias("t"))
     assert d.first().t == "正文第一行内容"
+
+
+def test_nested_lines_split_a_hot_key(spark, tmp_path):
+    """A key with nearly all rows takes many lines; a set reads alike as lines and as one value; maps and nulls come back."""
+    rows = spark.range(5000).select(F.when(F.col("id") % 50 == 0, F.lit(None)).otherwise("hot").alias("k"), "id", F.create_map(F.lit("m"), F.col("id").cast("double")).alias("x"))
+    lines = readers.nested(rows, "k", most=100)
+    sizes = [len(r.rows) for r in lines.collect()]
+    assert sum(sizes) == 5000 and max(sizes) < 200 and len(sizes) > 50
+    readers.write_grouped_json(rows, f"{tmp_path}/out", "k")
+    back = spark.read.schema("k string, rows array<struct<id:long,x:map<string,double>>>").json(f"{tmp_path}/out").select("k", F.explode("rows").alias("r")).select("k", "r.id", "r.x")
+    assert sorted((r.k or "", r.id, r.x["m"]) for r in back.collect()) == sorted((r.k or "", r.id, r.x["m"]) for r in rows.collect())
+    assert readers.nested(rows.limit(0), "k").count() == 0
+    one = '{"examples": [{"question": "a", "page": 1}, {"question": "b", "expected_page": 2}]}'
+    (tmp_path / "one.json").write_text(one.replace(",", ",\n"))
+    (tmp_path / "lines.json").write_text('[{"question": "a", "page": 1}]\n{"examples": [{"question": "b", "expected_page": 2}]}\n')
+    read = lambda name, lines: sorted(map(str, readers.label_set(spark, f"{tmp_path}/{name}", lines).collect()))
+    assert read("one.json", False) == read("lines.json", True) and len(read("one.json", False)) == 2
