@@ -1,4 +1,4 @@
-"""Operational event data, batch forms. [D19-D22 D25 E5 E6 F7 H12-H14 H22 J2 J3 J7 J8]"""
+"""Operational event data, batch forms. [D19-D22 D25 E5 E6 F7 H12-H14 H22 J2 J3 J8]"""
 
 from __future__ import annotations
 
@@ -130,27 +130,3 @@ def stage_times(spans: DataFrame) -> DataFrame:
     own = F.greatest(F.col("took") - F.coalesce("below", F.lit(0).cast("long")), F.lit(0).cast("long"))
     each = one.join(below, ["trace_id", "span_id"], "left").groupBy("trace_id", "name").agg(F.count(F.lit(1)).alias("spans"), F.sum("took").alias("took"), F.sum(own).alias("own"))
     return each.select("trace_id", "name", "spans", F.round(F.col("took") / 1000, 3).alias("total_ms"), F.round(F.col("own") / 1000, 3).alias("own_ms"))
-
-
-def quota_decisions(events: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """(key, event_id, allowed, remaining, retry_after) with windows that start at a key's first event. [J7]
-
-    events(key, event_id, ts). The fold over a key's events is sequential by definition; it keeps a start and a count,
-    and events of a key stream through it in order, so its memory does not grow with the key.
-    """
-    import pandas as pd
-
-    def fold(frames):
-        start = count = key = None
-        for pdf in frames:
-            out = []
-            for k, e, t in zip(pdf["key"], pdf["event_id"], pdf["t"], strict=True):
-                if k != key or t - start >= seconds:
-                    key, start, count = k, t, 0
-                count += 1
-                out.append((k, e, count <= limit, max(0, limit - count), max(1, int(seconds - (t - start)))))
-            yield pd.DataFrame(out, columns=["key", "event_id", "allowed", "remaining", "retry_after"])
-
-    rows = events.select("key", "event_id", (F.unix_micros("ts") / 1e6).alias("t"))
-    ordered = rows.repartition("key").sortWithinPartitions("key", "t", "event_id")
-    return ordered.mapInPandas(fold, f"key {events.schema['key'].dataType.simpleString()}, event_id long, allowed boolean, remaining long, retry_after long")

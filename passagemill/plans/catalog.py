@@ -16,6 +16,7 @@ from passagemill.operators import ann, answers, audit, corpus, quantiles, search
 from passagemill.operators import evaluation as ev
 from passagemill.operators.containment import containing
 from passagemill.operators.index import build_index, corpus_stats, term_frequencies, updated
+from passagemill.operators.quota import quota_decisions
 from passagemill.sources import cells, html, readers
 from passagemill.sources.scratch import folder, materialize
 from passagemill.streaming import jobs
@@ -1078,7 +1079,7 @@ def stage_times(spark, sf):
 def quota_windows(spark, sf):
     """J7"""
     e = v.table(spark, sf, "events").select(F.col("user_id").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return telemetry.quota_decisions(e, 3, 86_400)
+    return quota_decisions(e, 3, 86_400)
 
 
 @query("SELECT doc_id FROM labels WHERE doc_id % 3 <> 0")

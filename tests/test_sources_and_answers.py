@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import text as tx
 from passagemill.operators import answers, audit, telemetry
+from passagemill.operators.quota import quota_decisions
 from passagemill.sources import cells, html, readers
 
 PAGE = """<html><head><title>T</title><script>x()</script></head><body><nav>menu</nav><div class="site-header">gone</div>
@@ -76,7 +77,7 @@ def test_judge_replies(spark):
 def test_quota(spark):
     ev = [("k", i, f"2024-01-01 00:00:{s:02d}") for i, s in enumerate([0, 1, 2, 10, 11])]
     d = spark.createDataFrame(ev, "key string, event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
-    got = [(r.event_id, r.allowed, r.remaining) for r in telemetry.quota_decisions(d, 2, 10).orderBy("event_id").collect()]
+    got = [(r.event_id, r.allowed, r.remaining) for r in quota_decisions(d, 2, 10).orderBy("event_id").collect()]
     assert got == [(0, True, 1), (1, True, 0), (2, False, 0), (3, True, 1), (4, True, 0)]
 
 

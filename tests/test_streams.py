@@ -4,7 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from passagemill.operators import telemetry
+from passagemill.operators.quota import quota_decisions
 from passagemill.streaming import jobs
 
 
@@ -86,7 +86,7 @@ def test_quota_stream_equals_batch(spark, tmp_path, rocks):
     src = str(tmp_path / "ev")
     schema = write(spark, moments(200), "key string, event_id long, ts string", src)
     got = collect_stream(spark, jobs.quota_stream(spark.readStream.schema(schema).parquet(src), 2, 30), "qs")
-    batch = telemetry.quota_decisions(spark.read.parquet(src), 2, 30).collect()
+    batch = quota_decisions(spark.read.parquet(src), 2, 30).collect()
     assert len(got) == 200 and sorted(map(tuple, got)) == sorted(map(tuple, batch))
 
 
@@ -101,7 +101,7 @@ def test_quota_stream_waits_for_late_rows(spark, tmp_path, rocks):
         time.sleep(1.1)  # files are taken in the order of their times
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     got = [tuple(r) for r in collect_stream(spark, jobs.quota_stream(stream, 2, 30, "1 hour"), "qlate") if r.event_id < 900]
-    batch = telemetry.quota_decisions(spark.read.parquet(src).where("event_id < 900"), 2, 30).collect()
+    batch = quota_decisions(spark.read.parquet(src).where("event_id < 900"), 2, 30).collect()
     assert sorted(got) == sorted(map(tuple, batch))
 
 
