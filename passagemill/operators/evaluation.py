@@ -116,10 +116,11 @@ def pending(examples: DataFrame, finished: DataFrame, fingerprint: str) -> DataF
     return examples.join(finished.where(F.col("fingerprint") == fingerprint).select("example_id"), "example_id", "left_anti")
 
 
-def report_table(means: DataFrame, metrics: list[str]) -> DataFrame:
-    """(config, one column for each metric), a dash where there is none. [A16]"""
+def report_table(means: DataFrame, metrics: list[str], digits: int = 3) -> DataFrame:
+    """(config, one column of text for each metric), a dash where there is none; halves go to the even digit. [A16]"""
+    pattern = "0." + "0" * digits
     wide = means.groupBy("config").pivot("metric", metrics).agg(F.first("mean"))
-    return wide.select("config", *(F.coalesce(F.format_number(m, 4), F.lit("-")).alias(m) for m in metrics))
+    return wide.select("config", *(F.coalesce(F.call_function("format_number", F.col(m), F.lit(pattern)), F.lit("—")).alias(m) for m in metrics))
 
 
 def displacement(before: DataFrame, after: DataFrame) -> DataFrame:

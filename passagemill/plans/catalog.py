@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.functions import text as tx
 from passagemill.functions.vectors import hash_counts, normalized
-from passagemill.operators import ann, answers, audit, corpus, quantiles, search, statistics, telemetry
+from passagemill.operators import ann, answers, audit, corpus, quantiles, rewriting, search, statistics, telemetry
 from passagemill.operators import evaluation as ev
 from passagemill.operators.containment import containing
 from passagemill.operators.index import build_index, corpus_stats, term_frequencies, updated
@@ -392,18 +393,52 @@ def query_expansion(spark, sf):
     return search.expand(v.questions(spark, sf), v.rules(spark))
 
 
-@query(w("post ts dl cs ch qs", "SELECT query_id, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM vr WHERE rank <= 5", **_EXP,
-  vt=f"SELECT DISTINCT query_id, variant, unnest(regexp_extract_all(lower(text), {_W})) AS term FROM xp",
-  vb="SELECT query_id, variant, chunk_id, sum(round(idf * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)) * 1e12)::BIGINT) / 1e12 AS score FROM vt JOIN post USING (term) JOIN ts USING (term) JOIN dl USING (chunk_id), cs GROUP BY ALL",
-  vs="SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, chunk_id) AS rank FROM vb WHERE score > 0",
-  vf="SELECT query_id, chunk_id, sum(CASE WHEN several THEN round(1e12 / (60 + rank))::BIGINT ELSE round(score * 1e12)::BIGINT END) / 1e12 AS score, min(rank) AS best FROM vs JOIN (SELECT query_id, max(variant) > min(variant) AS several FROM vs WHERE rank <= 20 GROUP BY 1) USING (query_id) WHERE rank <= 20 GROUP BY ALL",
-  vr="SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, page, text, chunk_id) AS rank FROM vf JOIN ch USING (chunk_id)"))
+_VARIANTS = {
+    "vt": f"SELECT DISTINCT query_id, variant, unnest(regexp_extract_all(lower(text), {_W})) AS term FROM xp",
+    "vb": "SELECT query_id, variant, chunk_id, sum(round(idf * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)) * 1e12)::BIGINT) / 1e12 AS score FROM vt JOIN post USING (term) JOIN ts USING (term) JOIN dl USING (chunk_id), cs GROUP BY ALL",
+    "vs": "SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, chunk_id) AS rank FROM vb WHERE score > 0",
+    "vf": "SELECT query_id, chunk_id, sum(CASE WHEN several THEN round(1e12 / (60 + rank))::BIGINT ELSE round(score * 1e12)::BIGINT END) / 1e12 AS score, min(rank) AS best FROM vs JOIN (SELECT query_id, max(variant) > min(variant) AS several FROM vs WHERE rank <= 20 GROUP BY 1) USING (query_id) WHERE rank <= 20 GROUP BY ALL",
+    "vr": "SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, page, text, chunk_id) AS rank FROM vf JOIN ch USING (chunk_id)",
+}
+
+
+@query(w("post ts dl cs ch qs", "SELECT query_id, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM vr WHERE rank <= 5", **_EXP, **_VARIANTS))
 def variant_fusion(spark, sf):
     """I4 K8"""
     c, index = v.default_index(spark, sf)
     return _shown(v.retrieve(v.questions(spark, sf), c, index, "sparse", rewrite=v.rules(spark)))
 
 
+_FORMS = {
+    "fm": "SELECT query_id, 0 AS i, text FROM qs UNION ALL SELECT query_id, 1, array_to_string(list_reverse(string_split(text, ' ')), ' ') FROM qs UNION ALL SELECT query_id, 2, array_to_string(list_filter(string_split(text, ' '), lambda x: length(x) > 3), ' ') FROM qs",
+    "xp": "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY min(i)) - 1 AS variant, text FROM fm WHERE text <> '' GROUP BY query_id, text",
+}
+
+
+def _rewritten(questions: DataFrame) -> DataFrame:
+    """Forms of questions by a caller's function: its words backwards, and those of more than three letters."""
+
+    def rewrite(text: str) -> list[str]:
+        words = text.split(" ")
+        return [" ".join(reversed(words)), " ".join(x for x in words if len(x) > 3)]
+
+    rewriting.register_rewriter(questions.sparkSession, "rewrite_questions", rewrite)
+    return rewriting.rewritten(questions, "rewrite_questions")
+
+
+@query(w("qs", "SELECT query_id, variant::INT AS variant, text, false AS degraded FROM xp", **_FORMS))
+def rewriter_hook(spark, sf):
+    """M3 M4 G2"""
+    return _rewritten(v.questions(spark, sf))
+
+
+@query(w("post ts dl cs ch qs", "SELECT query_id, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM vr WHERE rank <= 5", **_FORMS, **_VARIANTS))
+def rewriter_retrieval(spark, sf):
+    """The ranking of a question's forms as one."""
+    c, index = v.default_index(spark, sf)
+    return _shown(v.retrieve(v.questions(spark, sf), c, index, "sparse", rewrite=lambda asked: _rewritten(asked).drop("degraded")))
+
+
 # ---- labels and metrics
 
 
@@ -441,7 +476,47 @@ def metric_means(spark, sf):
     return ev.metric_means(v.sparse_metrics(spark, sf))
 
 
-@query()
+def _again(blocks: dict[str, str], mark: str, names: str, **other: str) -> dict[str, str]:
+    """The blocks under names with a mark, reading each other and those of ``names`` under marked names, ``other`` under others."""
+    renamed = {n: n + mark for n in [*blocks, *names.split()]} | other
+    return {n + mark: re.sub(r"(?<![\w.])(?<!AS )(" + "|".join(sorted(renamed, key=len, reverse=True)) + r")\b(?!\()", lambda m: renamed[m[0]], q) for n, q in blocks.items()}
+
+
+def _matrix_sql(tail: str) -> str:
+    """Metrics of the eleven settings, each from blocks of its own over shared channels, then ``tail`` over mm(config, metric, mean, n)."""
+    pick = lambda names: {n: _C[n] for n in names.split()}
+    single = {"xq": "SELECT query_id || '#' || variant AS query_id, text FROM xp"}
+    blocks: dict[str, str] = {**_EXP, **single, **_again(pick("qt bm sp"), "_x", "", qs="xq")}
+    wide = {n: q.replace("::BIGINT AS query_id", " AS query_id") for n, q in pick("feat sgn cell nrm cosn de").items()}
+    blocks |= _again(wide, "_x", "", qs="xq")
+    ends = []
+    for i, (name, mode, how, rerank, rewrite) in enumerate(v.CONFIGS):
+        mark = f"_{i}"
+        if mode == "hybrid":
+            blocks |= _again(_fuse_blocks(search.fusion(how)), mark, "", **({"de": "de_x", "sp": "sp_x"} if rewrite else {}))
+            source = f"fr{mark}"
+        else:
+            source = {"sparse": "sp", "dense": "de"}[mode]
+            blocks[f"fr{mark}"] = f"SELECT {source}.*, text FROM {source} JOIN ch USING (chunk_id)"
+        if rewrite:
+            blocks[f"vs{mark}"] = f"SELECT split_part(query_id, '#', 1)::BIGINT AS query_id, split_part(query_id, '#', 2)::INT AS variant, chunk_id, score, rank FROM fr{mark} WHERE rank <= 20"
+            blocks |= _again({"vf": _VARIANTS["vf"], "vr": _VARIANTS["vr"].replace("score, row_number()", "score, text, row_number()")}, mark, "vs")
+        last = f"vr{mark}" if rewrite else f"fr{mark}"
+        if rerank:
+            blocks[f"cand{mark}"] = f"SELECT * FROM {last} WHERE rank <= 20"
+            blocks |= _again(_RR, mark, "cand")
+            last = f"rr{mark}"
+        blocks[f"out{mark}"] = f"SELECT query_id, chunk_id, score, rank FROM {last} WHERE rank <= 5 AND score > 0"
+        blocks |= _again(pick("top tr pr mx met"), mark, "", sp=f"out{mark}")
+        ends.append(f"SELECT '{name}' AS config, metric, round(avg(value), 6) AS mean, count(*) AS n FROM met{mark} GROUP BY metric")
+    return w("de sp ch qs ex hit", tail, **blocks, mm=" UNION ALL ".join(ends))
+
+
+#: Columns of the report table. [A16]
+_SHOWN_METRICS = ["recall_at_1", "recall_at_3", "recall_at_5", "mrr", "ndcg_at_3", "ndcg_at_5", "page_hit", "passage_at_1", "passage_mrr", "all_targets_at_5", "any_target_at_5"]
+
+
+@query(_matrix_sql("SELECT config, metric, mean, n FROM mm"))
 def experiment_matrix(spark, sf):
     """Means of all metrics of eleven settings, from shared channel rankings."""
     c, index = v.default_index(spark, sf)
@@ -454,6 +529,12 @@ def experiment_matrix(spark, sf):
     return ev.metric_means(long.withColumn("config", F.split("key", "#")[0]), ("config",)).select("config", "metric", "mean", "n")
 
 
+@query(_matrix_sql("SELECT config, " + ", ".join(f"coalesce(printf('%.3f', max(mean) FILTER (metric = '{m}')), '—') AS {m}" for m in _SHOWN_METRICS) + " FROM mm GROUP BY config"))
+def report_table(spark, sf):
+    """A16"""
+    return ev.report_table(experiment_matrix(spark, sf), _SHOWN_METRICS)
+
+
 def _results(spark, sf) -> DataFrame:
     """One row for each example of the BM25 run; the events' values stand for latencies."""
     _, index = v.default_index(spark, sf)
@@ -640,6 +721,20 @@ def regression_gate(spark, sf):
     return statistics.regression_gate(mean(e.where("user_id % 5 <> 4")), mean(e.where("user_id % 5 <> 3 and event_id % 2 = 0")), 0.5)
 
 
+@query("""WITH a AS (UNPIVOT (SELECT 'events' AS source, count(*)::VARCHAR AS examples, min(event_id)::VARCHAR AS first, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds, NULL::VARCHAR AS note FROM events) ON COLUMNS(*) INTO NAME field VALUE value),
+  b AS (UNPIVOT (SELECT 'events' AS source, count(*)::VARCHAR AS examples, min(event_id)::VARCHAR AS first, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds, 'without errors' AS note FROM events WHERE event_type <> 'error') ON COLUMNS(*) INTO NAME field VALUE value)
+  SELECT field, a.value AS current, b.value AS baseline FROM a FULL JOIN b USING (field) WHERE a.value IS DISTINCT FROM b.value""")
+def report_identity(spark, sf):
+    """In what the run over all events and the one without errors are not comparable."""
+    e = v.table(spark, sf, "events")
+
+    def identity(d: DataFrame, note: Column) -> DataFrame:
+        one = d.agg(F.lit("events").alias("source"), F.count(F.lit(1)).cast("string").alias("examples"), F.min("event_id").cast("string").alias("first"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"), note.alias("note"))
+        return one.unpivot([], one.columns, "field", "value").where("value is not null")
+
+    return statistics.same_identity(identity(e, F.lit(None).cast("string")), identity(e.where("event_type <> 'error'"), F.lit("without errors")))
+
+
 @query("SELECT event_type, count(*) AS n, count(*) FILTER (f < 0.5) AS flagged, count(*) FILTER (f >= 0.5 AND f < 1) AS partial, count(*) FILTER (f >= 1) AS \"full\", count(*) FILTER (f = 0 AND c = 0 AND p = 0) AS collapsed, round(avg(f), 4) AS mean_faithfulness, round(avg(c), 4) AS mean_correctness, round(avg(p), 4) AS mean_completeness FROM (SELECT event_type, least(1, greatest(0, floor(value) / 20)) AS f, (user_id % 5) / 4 AS c, (event_id % 3) / 2 AS p FROM events) GROUP BY 1")
 def calibration_summary(spark, sf):
     """D18 S8 H20"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,14 +85,18 @@ def channels(asked: DataFrame, chunked: DataFrame, index: Index, depth: int | No
     return search.dense_search(asked_vectors(asked), vectors(chunked), depth), search.sparse_search(asked, index, depth)
 
 
-def retrieve(asked: DataFrame, chunked: DataFrame, index: Index, mode: str = "hybrid", fusion: str | None = "rrf", rerank: bool = False, rewrite: DataFrame | None = None, k: int = TOP_K, multiplier: int = DEPTH) -> DataFrame:
+def retrieve(asked: DataFrame, chunked: DataFrame, index: Index, mode: str = "hybrid", fusion: str | None = "rrf", rerank: bool = False, rewrite: DataFrame | Callable[[DataFrame], DataFrame] | None = None, k: int = TOP_K, multiplier: int = DEPTH) -> DataFrame:
     """(query_id, chunk_id, score, rank): the whole chain for all questions in one plan. [I5 F2 K5-K9]
 
     Each channel gives k × multiplier candidates, fusion keeps as many, variants of a question are fused, a reranker
-    sees the original question, and what is left after the cut must still score above 0.
+    sees the original question, and what is left after the cut must still score above 0. ``rewrite`` is a table of rules
+    or a function from questions to (query_id, variant, text).
     """
     depth = max(k, k * multiplier)
-    expanded = search.expand(asked, rewrite) if rewrite is not None else asked.withColumn("variant", F.lit(0))
+    if rewrite is None:
+        expanded = asked.withColumn("variant", F.lit(0))
+    else:
+        expanded = rewrite(asked) if callable(rewrite) else search.expand(asked, rewrite)
     each = expanded.withColumn("query_id", F.concat_ws("#", F.col("query_id").cast("string"), F.col("variant").cast("string")))
     if mode == "sparse":
         got = search.sparse_search(each, index, depth)

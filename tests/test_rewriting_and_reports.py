@@ -28,3 +28,19 @@ def test_the_key_keeps_its_type_and_faults_are_named(spark):
         spark.sql("SELECT * FROM plain_forms(TABLE(SELECT 'word' AS text))").collect()
     with pytest.raises(Exception, match="not string"):
         spark.sql("SELECT * FROM plain_forms(TABLE(SELECT 1 AS query_id, 2 AS text))").collect()
+
+
+def test_report_table_rows(spark):
+    from passagemill.operators.evaluation import report_table
+
+    d = spark.createDataFrame([("a", "m", 0.0625), ("a", "n", 1234.5), ("b", "m", None), ("b", "o", 1.0)], "config string, metric string, mean double")
+    assert sorted(map(tuple, report_table(d, ["m", "n"]).collect())) == [("a", "0.062", "1234.500"), ("b", "—", "—")]
+
+
+def test_identity_of_runs(spark):
+    from passagemill.operators.statistics import same_identity
+
+    a = spark.createDataFrame([("x", "1"), ("y", None), ("z", "2"), ("n", None)], "field string, value string")
+    b = spark.createDataFrame([("x", "1"), ("y", "3"), ("w", "4"), ("n", None)], "field string, value string")
+    assert sorted(map(tuple, same_identity(a, b).collect())) == [("w", None, "4"), ("y", None, "3"), ("z", "2", None)]
+    assert same_identity(a, a).isEmpty()
