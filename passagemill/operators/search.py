@@ -394,11 +394,17 @@ def embed_with(texts: DataFrame, embed, text_col: str = "text") -> DataFrame:
     return texts.select(F.col(text_col).alias("text")).where("text is not null").distinct().mapInPandas(run, "text string, vector array<double>")
 
 
+MOST_RULES = 10_000
+
+
 def expand(queries: DataFrame, rules: DataFrame, variants: int = 3) -> DataFrame:
     """(query_id, variant, text): the question and up to variants - 1 expansions, by rules in order. [H5 G2 M3]
 
-    rules(seq, trigger, expansion array). Rules are few by nature (a hand-written table), questions many.
+    rules(seq, trigger, expansion array). Rules are few by nature (a hand-written table), questions many. The rules are
+    broadcast; a table of more than ``MOST_RULES`` is refused.
     """
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} expansion rules")
     plain = queries.select("query_id", collapse_space(F.col("text")).alias("text"))
     hit = plain.join(F.broadcast(rules), F.contains(plain.text, rules.trigger))
     first = Window.partitionBy("query_id").orderBy("seq")

@@ -44,3 +44,13 @@ def test_identity_of_runs(spark):
     b = spark.createDataFrame([("x", "1"), ("y", "3"), ("w", "4"), ("n", None)], "field string, value string")
     assert sorted(map(tuple, same_identity(a, b).collect())) == [("w", None, "4"), ("y", None, "3"), ("z", "2", None)]
     assert same_identity(a, a).isEmpty()
+
+
+def test_too_many_rules_are_refused(spark):
+    from passagemill.operators import search
+
+    rules = spark.range(search.MOST_RULES + 1).selectExpr("int(id) AS seq", "string(id) AS trigger", "array('x') AS expansion")
+    asked = spark.createDataFrame([(1, "ask 7")], "query_id long, text string")
+    with pytest.raises(ValueError, match="expansion rules"):
+        search.expand(asked, rules)
+    assert {r.text for r in search.expand(asked, rules.where("seq < 9")).collect()} == {"ask 7", "ask 7 x"}
