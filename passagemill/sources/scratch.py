@@ -96,7 +96,7 @@ def noted() -> Iterator[list[DataFrame]]:
     try:
         yield made
     finally:
-        _notes.remove(made)
+        _notes[:] = [n for n in _notes if n is not made]  # by identity: a list around it may hold the same tables
 
 
 def _place(spark: SparkSession, path: str):
