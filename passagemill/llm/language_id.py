@@ -60,8 +60,8 @@ def _gram_vectors(grams: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def _bundles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the sum of its n-gram vectors, and its number of letters."""
+def _bundles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the sum of its n-gram vectors, its number of letters, and that of its distinct n-grams."""
     cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     width = np.cumsum(1 + (cp > 0x7F).astype(np.int8) + (cp > 0x7FF) + (cp > 0xFFFF))
     rows = np.searchsorted(width, at[:-1], "right") if len(cp) else np.zeros(len(at) - 1, np.int64)
@@ -75,9 +75,9 @@ def _bundles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(text), bool)
     keep[1:] = (text[1:] > 0) | (text[:-1] > 0) | (owner[1:] != owner[:-1])
     text, owner = text[keep], owner[keep]
-    out = np.zeros((len(at) - 1, DIMENSIONS), np.float32)
+    out, n_grams = np.zeros((len(at) - 1, DIMENSIONS), np.float32), np.zeros(len(at) - 1, np.int64)
     if len(text) < GRAM:
-        return out, n_letters
+        return out, n_letters, n_grams
     grams = text[:-2] << np.uint64(42) | text[1:-1] << np.uint64(21) | text[2:]
     own = (owner[:-2] == owner[2:]) & (text[1:-1] > 0)
     grams, owner = grams[own], owner[:-2][own]
@@ -90,7 +90,8 @@ def _bundles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             n = min(512, len(at) - 1 - r)
             counts = np.bincount((owner[some] - r) * len(vectors) + back[some] - lo, minlength=n * len(vectors)).reshape(n, -1)
             out[r : r + n] += counts.astype(np.float32) @ vectors
-    return out, n_letters
+            n_grams[r : r + n] += (counts > 0).sum(axis=1)
+    return out, n_letters, n_grams
 
 
 def profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -105,7 +106,7 @@ def profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text"
             data, at = text_rows(batch, text_col)
             names = batch.column(lang_col).to_pylist()
             for lo, hi in row_groups(at, 1 << 19):
-                vectors, _ = _bundles(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+                vectors, _, _ = _bundles(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                 norm = np.linalg.norm(vectors, axis=1, keepdims=True)
                 vectors /= np.where(norm == 0, 1, norm)
                 for name in set(names[lo:hi]):
@@ -136,7 +137,8 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", t
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score, n_letters, *carried) for every row: the language of the nearest prototype and its cosine, at least 0.
+    """(doc_id, lang_pred, score, n_letters, n_grams, *carried) for every row: the language of the nearest prototype and its cosine, at least 0;
+    its letters and distinct n-grams.
 
     Null and empty texts and texts without a letter: ``und`` with score 0; so for every text if nothing was learned.
     ``carried`` columns are handed on and play no part. Ties go to the first language in string order. Long texts are bundled whole, in blocks of n-grams.
@@ -150,16 +152,16 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
         for batch in batches:
             data, at = text_rows(batch, 1)
             for lo, hi in row_groups(at, 1 << 19):
-                vectors, letters = _bundles(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+                vectors, letters, grams = _bundles(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                 size = np.linalg.norm(vectors, axis=1)
                 cosine = (vectors @ unit.T) / np.where(size == 0, 1, size)[:, None] if langs else np.zeros((hi - lo, 1))
                 best = cosine.argmax(axis=1)
                 unknown = (letters == 0) | (not langs)
                 score = np.where(unknown, 0.0, np.clip(cosine[np.arange(hi - lo), best], 0, 1)).astype(np.float64)
                 pred = [UNKNOWN if u else langs[k] for u, k in zip(unknown.tolist(), best.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(pred, pa.string()), pa.array(score), pa.array(letters.astype(np.int64)), *(batch.column(2 + i)[lo:hi] for i in range(len(carried)))], ["doc_id", "lang_pred", "score", "n_letters", *carried])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(pred, pa.string()), pa.array(score), pa.array(letters.astype(np.int64)), pa.array(grams), *(batch.column(2 + i)[lo:hi] for i in range(len(carried)))], ["doc_id", "lang_pred", "score", "n_letters", "n_grams", *carried])
 
-    schema = with_id(docs, id_col, "lang_pred string, score double, n_letters long")
+    schema = with_id(docs, id_col, "lang_pred string, score double, n_letters long, n_grams long")
     for c in carried:
         schema.add(c, docs.schema[c].dataType)
     return docs.select(id_col, text_col, *carried).mapInArrow(lean(run), schema)
