@@ -1390,7 +1390,7 @@ def generated_set_audit(spark, sf):
 def ingest_stream(spark, sf):
     """The documents as a stream into a versioned chunk table."""
     schema = v.table(spark, sf, "documents").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents*.parquet").parquet(sf)
+    arriving = spark.readStream.schema(schema).parquet(f"{sf}/{{documents.parquet}}")  # a pattern, as a stream takes no single file; the table is a file or a folder of parts
     path = folder(spark)
     jobs.ingest_documents(arriving.select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page"), "text"), f"{path}/table", f"{path}/checkpoint").awaitTermination()
     return jobs.current_rows(spark, f"{path}/table", "document_id").groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("characters"))

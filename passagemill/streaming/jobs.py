@@ -36,8 +36,16 @@ def replace_rows(batch: DataFrame, path: str, key: str, version: int, keys: Data
     known.distinct().write.mode("overwrite").parquet(f"{path}/keys/version={version}")
 
 
+#: Keys that came again, up to which they are broadcast to the rows, so that no row moves.
+BROADCAST_KEYS = 1 << 16
+
+
 def current_rows(spark: SparkSession, path: str, key: str, before: int | None = None) -> DataFrame | None:
-    """The rows of each key's newest version, of those below ``before`` if given; None if there is no table yet."""
+    """The rows of each key's newest version, of those below ``before`` if given; None if there is no table yet.
+
+    Only keys of several versions have rows that are out of date. They are counted first: where there are none, rows
+    are read as they are, and a few are broadcast. A null is a key, too.
+    """
     try:
         keys = spark.read.parquet(f"{path}/keys")
     except AnalysisException as e:
@@ -47,8 +55,13 @@ def current_rows(spark: SparkSession, path: str, key: str, before: int | None =
     rows = spark.read.parquet(f"{path}/rows")
     if before is not None:  # a batch that is run again must not read what it writes
         keys, rows = keys.where(F.col("version") < before), rows.where(F.col("version") < before)
-    newest = keys.groupBy(key).agg(F.max("version").alias("version"))
-    return rows.join(newest, [key, "version"], "left_semi").drop("version")
+    rows = rows.join(F.broadcast(keys.select("version").distinct()), "version", "left_semi")  # a number for each batch
+    again = keys.groupBy(F.col(key).alias("_key")).agg(F.min("version").alias("_first"), F.max("version").alias("_newest")).where("_first < _newest")
+    n = again.count()
+    if n:
+        again = F.broadcast(again) if n <= BROADCAST_KEYS else again
+        rows = rows.join(again, F.col(key).eqNullSafe(F.col("_key")) & (F.col("version") < F.col("_newest")), "left_anti")
+    return rows.drop("version")
 
 
 def ingest_files(spark: SparkSession, source: str, table: str, checkpoint: str) -> StreamingQuery:

@@ -28,6 +28,42 @@ def test_ingest_is_idempotent(spark, tmp_path):
     assert got == {("d1:0", 11), ("d2:0", 800), ("d2:1", 220)}
 
 
+def test_documents_arrive_from_a_file_or_a_folder_of_parts(spark, tmp_path):
+    """Every part of the table arrives, documents without id as well, and no other table."""
+    from passagemill.plans import catalog, views
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    docs.repartition(5).write.parquet(str(tmp_path / "parts/documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "one"))
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    docs.limit(7).write.parquet(str(tmp_path / "parts/documents_old.parquet"))
+    for sf in (str(tmp_path), str(tmp_path / "parts")):
+        got = catalog.QUERIES["ingest_stream"](spark, sf).collect()
+        want = views.chunks(spark, sf).groupBy("document_id").agg(F.count(F.lit(1)), F.sum(F.length("text"))).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and len(got) > 100
+
+
+def test_newest_rows_do_not_move_and_unfinished_versions_are_not_read(spark, tmp_path, monkeypatch):
+    rows = lambda *r: spark.createDataFrame(r, "id string, x int")
+    at = str(tmp_path / "t")
+    jobs.replace_rows(rows(("a", 1), ("a", 2), (None, 3), ("b", 4)), at, "id", 0)
+    moved = lambda: "SortMergeJoin" in jobs.current_rows(spark, at, "id")._jdf.queryExecution().executedPlan().toString()
+    auto = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(auto)
+    spark.conf.set(auto, "-1")
+    assert not moved()
+    jobs.replace_rows(rows(("a", 5), (None, 6)), at, "id", 1)
+    jobs.replace_rows(rows(("c", 7)), at, "id", 2, rows(("c", 0), ("b", 0)))
+    rows(("a", 8)).write.parquet(f"{at}/rows/version=3")  # its keys are not there yet
+    for most in (1 << 16, 0):
+        monkeypatch.setattr(jobs, "BROADCAST_KEYS", most)
+        assert {tuple(r) for r in jobs.current_rows(spark, at, "id").collect()} == {("a", 5), (None, 6), ("c", 7)}
+        assert {tuple(r) for r in jobs.current_rows(spark, at, "id", 2).collect()} == {("a", 5), (None, 6), ("b", 4)}
+        assert moved() == (most == 0)
+    spark.conf.set(auto, before)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src/a.html").write_text("<p>Hello</p><script>x</script>")
