@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from passagemill.functions.draws import hashed_slots
 from passagemill.sources.scratch import materialize
 
 
@@ -141,17 +146,53 @@ def agreement(rows: DataFrame, group: tuple[str, ...] = ("metric",), threshold:
     return d.withColumn("band", band).withColumn("agreement", F.round("_o", 6)).withColumn("judge_rate", F.round("_j", 6)).withColumn("label_rate", F.round("_l", 6)).drop("_o", "_j", "_l", "_e")
 
 
+#: Slots and iterations that are drawn at once, and draws of a task, about.
+SLOTS, AT_ONCE, DRAWS = 1 << 14, 1 << 4, 1 << 23
+
+
+def _drawn_cells(counts: DataFrame, group: str, iterations: int, seed: int) -> DataFrame:
+    """(group, it, n, x, y, z) of counts(group, a, b, c, n): of n draws of each iteration how many are below a, a + b and a + b + c.
+
+    A draw is that of ``_draw``. The work is dealt by (iterations, slots), a known number of draws to a task, as its rows
+    are too few for Spark to see it; groups of the same iterations and slots meet in a task and share the hashes. A row
+    that comes out is a part of an iteration.
+    """
+    listed = counts.select(group, "n", *(sum((F.col(k) for k in cells), F.lit(0)).cast("long").alias(name) for name, cells in (("x", "a"), ("y", "ab"), ("z", "abc"))))
+    draws = listed.agg(F.sum(F.col("n").cast("double"))).first()[0] or 0
+    steps = lambda last, step: F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(step).cast("long")))
+    work = listed.withColumn("it", steps(F.lit(iterations - 1).cast("long"), AT_ONCE)).withColumn("slot", steps(F.col("n") - 1, SLOTS))
+    dealt = work.repartition(int(draws * iterations // DRAWS) + 1, "it", "slot").sortWithinPartitions("it", "slot", F.desc("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hashes = None, np.empty((0, 0), np.uint32)
+        for whole in batches:
+            for low in range(0, whole.num_rows, 1 << 8):
+                batch, out = whole.slice(low, 1 << 8), []
+                for k, (n, x, y, z, it, slot) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 7)), strict=True)):
+                    its, size = range(it, min(it + AT_ONCE, iterations)), min(SLOTS, n - slot)
+                    if held != (it, slot) or hashes.shape[1] < size:
+                        held, hashes = (it, slot), hashed_slots(seed, its, slot, slot + size)
+                    for i, h in zip(its, hashes, strict=True):
+                        h = h[:size]
+                        place = h - h // np.uint32(n) * np.uint32(n) if n < 1 << 32 else h
+                        out.append((k, i, n, *(int(np.count_nonzero(place < upto)) for upto in (x, y, z))))
+                columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(columns[0]), *columns[1:]], [group, "it", "n", "x", "y", "z"])
+
+    schema = T.StructType([T.StructField(group, counts.schema[group].dataType), *(T.StructField(c, T.LongType()) for c in ("it", "n", "x", "y", "z"))])
+    return dealt.mapInArrow(run, schema).groupBy(group, "it", "n").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("z").alias("z"))
+
+
 def kappa_interval(rows: DataFrame, group: str = "metric", threshold: float = 0.5, iterations: int = 2000, seed: int = 42, confidence: float = 0.95, least_rows: int = 3, least_draws: int = 50) -> DataFrame:
     """(group, low, high): percentile interval of kappa by resampling the rows both raters scored. [S4]
 
     A resample needs only the four confusion counts, so a drawn place becomes one of four cells: rows in a fixed
-    order of cells, place below its running count. No row leaves the aggregate.
+    order of cells, place below its running count. No row leaves the aggregate. The cost is that of iterations x rows
+    hashes.
     """
     j, x = F.col("judge") >= threshold, F.col("label") >= threshold
     d = rows.where("judge is not null and label is not null").groupBy(group).agg(F.count_if(j & x).alias("a"), F.count_if(j & ~x).alias("b"), F.count_if(~j & x).alias("c"), F.count(F.lit(1)).alias("n"))
-    drawn = _slots(d.where(F.col("n") >= least_rows), iterations, group).withColumn("p", _draw(seed, F.col("it"), F.col("slot"), F.col("n")))
-    upto = lambda c: F.count_if(F.col("p") < c)
-    each = drawn.groupBy(group, "it", "n").agg(upto(F.col("a")).alias("x"), upto(F.col("a") + F.col("b")).alias("y"), upto(F.col("a") + F.col("b") + F.col("c")).alias("z"))
+    each = _drawn_cells(materialize(d.where(F.col("n") >= least_rows)), group, iterations, seed)
     jp, lp = F.col("y") / F.col("n"), (F.col("x") + F.col("z") - F.col("y")) / F.col("n")
     seen, by_chance = (F.col("x") + F.col("n") - F.col("z")) / F.col("n"), jp * lp + (1 - jp) * (1 - lp)
     kappa = F.when(by_chance < 1, F.round((seen - by_chance) / F.when(by_chance < 1, 1 - by_chance), 9))
