@@ -136,12 +136,13 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", t
     return rows["lang"].to_pylist(), rows["vector"].combine_chunks().flatten().to_numpy().reshape(-1, DIMENSIONS)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = (), named_col: str | None = None) -> DataFrame:
     """(doc_id, lang_pred, score, n_letters, n_grams, *carried) for every row: the language of the nearest prototype and its cosine, at least 0;
     its letters and distinct n-grams.
 
     Null and empty texts and texts without a letter: ``und`` with score 0; so for every text if nothing was learned.
-    ``carried`` columns are handed on and play no part. Ties go to the first language in string order. Long texts are bundled whole, in blocks of n-grams.
+    ``carried`` columns are handed on and play no part; nor does ``named_col``, whose language's cosine is ``named_score``, the last column (null if
+    it was not learned). Ties go to the first language in string order. Long texts are bundled whole, in blocks of n-grams.
     """
     names, prototypes = model
     norm = np.linalg.norm(prototypes, axis=1, keepdims=True)
@@ -149,6 +150,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, unit = shared.value
+        place = {name: k for k, name in enumerate(langs)}
         for batch in batches:
             data, at = text_rows(batch, 1)
             for lo, hi in row_groups(at, 1 << 19):
@@ -159,9 +161,16 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                 unknown = (letters == 0) | (not langs)
                 score = np.where(unknown, 0.0, np.clip(cosine[np.arange(hi - lo), best], 0, 1)).astype(np.float64)
                 pred = [UNKNOWN if u else langs[k] for u, k in zip(unknown.tolist(), best.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(pred, pa.string()), pa.array(score), pa.array(letters.astype(np.int64)), pa.array(grams), *(batch.column(2 + i)[lo:hi] for i in range(len(carried)))], ["doc_id", "lang_pred", "score", "n_letters", "n_grams", *carried])
+                columns = [batch.column(0)[lo:hi], pa.array(pred, pa.string()), pa.array(score), pa.array(letters.astype(np.int64)), pa.array(grams), *(batch.column(2 + i)[lo:hi] for i in range(len(carried)))]
+                if named_col:
+                    own = [place.get(name) for name in batch.column(2 + len(carried))[lo:hi].to_pylist()]
+                    columns.append(pa.array([None if k is None else float(np.clip(cosine[r, k], 0, 1)) for r, k in enumerate(own)], pa.float64()))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     schema = with_id(docs, id_col, "lang_pred string, score double, n_letters long, n_grams long")
     for c in carried:
         schema.add(c, docs.schema[c].dataType)
-    return docs.select(id_col, text_col, *carried).mapInArrow(lean(run), schema)
+    if named_col:
+        schema.add("named_score", "double")
+    more = [F.col(named_col).cast("string").alias("named_score")] if named_col else []
+    return docs.select(id_col, text_col, *carried, *more).mapInArrow(lean(run), schema)

@@ -71,6 +71,23 @@ def test_texts_in_no_known_language_go_although_short_ones_are_as_far(spark):
     assert {r.doc_id for r in out.where("source = 'made'").collect()} == {-99, *range(-14, -2)}
 
 
+def test_texts_in_another_language_than_they_name_go(spark):
+    """Texts under a wrong name go, also where 3% have one; the same texts stay without a name, and those of two languages under either one."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = docs.where("n_chars between 300 and 3000").orderBy("doc_id").limit(300)
+    langs = F.array(*map(F.lit, ("en", "fr", "de", "es")))
+    other = langs[((F.array_position(langs, F.col("lang")) + F.col("doc_id") % 3) % 4).cast("int")]
+    wrong = texts.withColumns({"lang": other, "source": F.lit("wrong")})
+    nameless = texts.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("none")})
+    both = "\n".join(docs.where(f"lang = '{x}' and n_chars between 1500 and 2500").orderBy("doc_id").first().text for x in ("en", "de"))
+    mixed = spark.createDataFrame([(1, both, x, "mixed", len(both)) for x in ("en", "de")], docs.schema)
+    out = corpus_pipeline.keep_known_languages(spark, docs.unionByName(wrong).unionByName(nameless).unionByName(mixed), "/root/testdata/sf0.1")
+    kept = F.when(F.col("source").isin("wrong", "none", "mixed"), F.col("source")).otherwise("given")
+    n = {r.kept: r.n for r in out.groupBy(kept.alias("kept")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert n.get("wrong", 0) <= 12 and n["none"] >= 298 and n["given"] >= 0.999 * docs.count()
+    assert n["mixed"] == 2
+
+
 def test_two_runs_and_lazy_stages(spark):
     """A stage that is read late still has its tables after others ran; the session's batches are as before."""
     sf = "/root/testdata/sf0.001"
